@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import read
+from ._shared import crc_mod5, read
 from .url_filter import Rule
 
 #: The rules of op9.
@@ -28,6 +28,21 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), sha256_text(F.col("decoded")).alias("decoded_sha256"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import KINDS, scan
+
+    found = scan(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+    def n(kind: str) -> F.Column:
+        return F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+    base = F.filter("secrets", lambda s: s.kind != KINDS[3])
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), sha256_text(joined(base)).alias("base_sha256"), joined(F.col("secrets")).alias("spans"), n("random"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_contamination
 
@@ -35,6 +50,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", sha256_text(F.array_join("item_ids", ",")).alias("items_sha256"), "contaminated")
 
 
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import score_texts
+
+    return score_texts(read(spark, sf_dir, "documents"), crc_mod5("doc_id") == 1)
+
+
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search(rows, rows.where("vec_id % 20 = 0"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import count_tokens
 
@@ -42,6 +70,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify, learn
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = learn(docs.where(crc_mod5("doc_id") != 0))
+    done = identify(docs.drop("lang"), profiles)
+    return done.select("doc_id", (crc_mod5("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+
+
 def toxic_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list of op9: canonical URLs of the pages whose id is labelled toxic."""
     from .url_filter import canonical, url_parts
@@ -66,7 +103,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op3_decontamination, op7_token_counts, op9_url_filter, op10_line_dedup]
+    found = [op1_bpe, op2_secrets, op3_decontamination, op5_hmm, op6_ann, op7_token_counts, op8_language_id, op9_url_filter, op10_line_dedup]
     return {f.__name__: f for f in found}
 
 
