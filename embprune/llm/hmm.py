@@ -25,7 +25,9 @@ from pyspark.sql import types as T
 from ._shared import stage_table
 
 STATES = 4
-ITERATIONS = 3
+ITERATIONS = 5
+#: First probability of staying in a state: long stays let states become topics and languages.
+STAY = 0.9
 #: Symbols with emissions of their own: 0 is the end, 1 all words beyond the most frequent, then those.
 STATE_WORDS = 1 << 13
 TIER_WORDS = 1 << 17
@@ -145,8 +147,9 @@ def first_model(corpus: Corpus, states: int, seed: int) -> Model:
     rng = np.random.default_rng(seed)
     share = np.array([corpus.ends, corpus.rare_n, *corpus.counts[: corpus.own]], np.float64) + 0.5
     emit = share * rng.uniform(0.25, 1.75, (states, len(share)))
-    move = rng.uniform(0.5, 1.5, (states, states))
-    return Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+    move = np.full((states, states), (1 - STAY) / max(states - 1, 1))
+    np.fill_diagonal(move, STAY if states > 1 else 1.0)
+    return Model(np.full(states, 1 / states), move, emit / emit.sum(1, keepdims=True))
 
 
 def expected(model: Model, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

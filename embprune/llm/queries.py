@@ -50,6 +50,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", sha256_text(F.array_join("item_ids", ",")).alias("items_sha256"), "contaminated")
 
 
+def op4_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=2)
+
+
 def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hmm import score_texts
 
@@ -103,7 +109,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bpe, op2_secrets, op3_decontamination, op5_hmm, op6_ann, op7_token_counts, op8_language_id, op9_url_filter, op10_line_dedup]
+    found = [op1_bpe, op2_secrets, op3_decontamination, op4_near_dup, op5_hmm, op6_ann, op7_token_counts, op8_language_id, op9_url_filter, op10_line_dedup]
     return {f.__name__: f for f in found}
 
 
@@ -122,6 +128,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN its USING (rid)
 """
 
+OP4_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, CASE WHEN len(w) < 2 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+h AS MATERIALIZED (SELECT rid, n, hash(g) AS g FROM s JOIN n USING (rid)),
+l AS MATERIALIZED (SELECT a.rid AS x, b.rid AS y FROM h a JOIN h b ON a.g = b.g AND a.rid <> b.rid AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  GROUP BY a.rid, b.rid, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r(rid, node) AS (SELECT rid, rid FROM d UNION SELECT r.rid, l.y FROM r JOIN l ON l.x = r.node),
+c AS (SELECT r.rid, min(t.doc_id) AS component_id FROM r JOIN d t ON t.rid = r.node GROUP BY r.rid)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
+
 _PARTS = rf"""SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), {_AZ}) AS host,
   coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages"""
 
@@ -148,4 +166,4 @@ FROM d JOIN (SELECT rid, count(*) AS n_lines, count(*) FILTER (gone) AS n_droppe
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op9_url_filter": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op3_decontamination": OP3_SQL, "op4_near_dup": OP4_SQL, "op9_url_filter": OP9_SQL, "op10_line_dedup": OP10_SQL}
