@@ -18,6 +18,10 @@ _OWN: dict[str, str] = {}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Bytes of a batch that a worker handles at once.
+SLICE_BYTES = 8 << 20
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
@@ -56,6 +60,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about `most` bytes, which bounds what a worker makes of it at once."""
+    step = max(1, batch.num_rows * most // max(batch.nbytes, 1))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
+
+
 def arrow_columns(
     df: DataFrame,
     inputs: list[str],
@@ -65,7 +76,7 @@ def arrow_columns(
     """`df` with columns computed batch by batch in Arrow; columns of the same names are replaced.
 
     `start` runs once per task and returns a function that takes the `inputs` as Arrow arrays and returns
-    one array per field. All other columns pass through untouched.
+    one array per field. All other columns pass through untouched. Batches are cut to about SLICE_BYTES.
     """
     made = [f.name for f in fields]
     taken = {n.lower() for n in made}
@@ -74,7 +85,7 @@ def arrow_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             new = work(*(batch.column(batch.schema.get_field_index(n)) for n in inputs))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in keep] + new, keep + made)
 

@@ -29,9 +29,8 @@ _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PLAIN = re.compile("[\x00-\u052f]*")
 #: Pieces that no pre-token crosses, for texts that are not plain.
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Pre-tokens that a worker keeps, from text to text and task to task, and characters that it splits at a time.
-CACHE_SIZE = 1 << 19
-LOT_CHARS = 1 << 22
+#: Pre-tokens that a worker keeps, from text to text and task to task.
+CACHE_SIZE = 1 << 18
 
 
 def _plain_pattern() -> re.Pattern:
@@ -84,7 +83,7 @@ class Vocabulary:
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where it has none."""
-        key = a << 32 | b
+        key = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.order[at], -1)
 
@@ -128,10 +127,10 @@ def merge_all(parts: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.nda
     n = len(data)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes)
-    symbols = vocab.of_byte[data]
-    after = np.arange(1, n + 1)
+    symbols = vocab.of_byte[data].astype(np.int32)
+    after = np.arange(1, n + 1, dtype=np.int32)
     after[ends[sizes > 0] - 1] = -1
-    before = np.arange(-1, n - 1)
+    before = np.arange(-1, n - 1, dtype=np.int32)
     begins = (ends - sizes)[sizes > 0]
     before[begins] = -1
     live = np.ones(n, bool)
@@ -219,35 +218,31 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _lots(texts: pa.Array):
-    lot, held = [], 0
-    for text in texts:
-        lot.append(text.as_py() or "")
-        held += len(lot[-1])
-        if held > LOT_CHARS:
-            yield lot
-            lot, held = [], 0
-    yield lot
+def decoded_text(ids: bytes, table: list[bytes]) -> str:
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", decoded: str | None = None) -> DataFrame:
     """`docs` with `ids` (the ids as little-endian unsigned 32-bit integers, one binary cell) and `n_tokens`.
 
     Ids are those of the tokenizers library without added special tokens; a special token's string inside a text is
     that token. A null or empty text has no ids. Whole texts; rows stay one for one; input columns named ids or
-    n_tokens are replaced. The path must hold on executors too.
+    n_tokens are replaced. With `decoded`, a column of that name has the ids decoded again, as `decode` does, in the
+    same pass. The path must hold on executors too.
     """
+    names = [("ids", T.BinaryType()), ("n_tokens", T.LongType())] + [(decoded, T.StringType())] * bool(decoded)
 
     def start():
         own = encoder(tokenizer_path)
 
         def work(texts):
-            ids = [x for lot in _lots(texts) for x in own.encode(lot)]
-            return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            ids = own.encode([t.as_py() or "" for t in texts])
+            made = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+            return made + ([pa.array([decoded_text(x, own.vocab.token_bytes) for x in ids], pa.string())] if decoded else [])
 
         return work
 
-    return arrow_columns(docs, [text_col], [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())], start)
+    return arrow_columns(docs, [text_col], [T.StructField(n, t) for n, t in names], start)
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
@@ -260,7 +255,7 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", to: str = "
         table = Vocabulary(tokenizer_path).token_bytes
 
         def work(cells):
-            return [pa.array([b"".join(map(table.__getitem__, np.frombuffer(c or b"", np.dtype("<u4")).tolist())).decode("utf-8", "replace") for c in (cell.as_py() for cell in cells)], pa.string())]
+            return [pa.array([decoded_text(c.as_py() or b"", table) for c in cells], pa.string())]
 
         return work
 

@@ -24,7 +24,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    done = bpe.decode(bpe.encode(docs, path).drop("text"), path)
+    done = bpe.encode(docs, path, decoded="decoded")
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), sha256_text(F.col("decoded")).alias("decoded_sha256"))
 
 
