@@ -42,7 +42,7 @@ def is_known(run: str) -> bool:
     # Random strings change between letters and digits often; identifiers keep to words and numbers.
     plain = [c.isdigit() for c in run if c.isalnum()]
     changes = sum(a != b for a, b in zip(plain, plain[1:]))
-    return changes <= 2 or changes * 8 < len(run)
+    return changes <= 2
 
 
 def base_spans(text: str, low: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
