@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ._shared import stage_table
 
-#: Rows on which the partitions and the classifier are fitted, those of the smallest hash of id and vector.
+#: Rows on which the partitions and the classifier are fitted: about so many, chosen by a hash of id and vector, at most
+#: twice as many.
 SAMPLE = 8192
 PARTITIONS = 16
 GRAPH_NEIGHBOURS = 10
@@ -181,7 +182,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
     if not lengths:
         return spark.createDataFrame([], schema)
     same = F.size("vector") == lengths[0]["n"]
-    chosen = good.where(same).orderBy(F.xxhash64("id", "vector"), "id").limit(sample).select("vector").collect()
+    share = F.pmod(F.xxhash64("id", "vector"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / lengths[0]["count"]))
+    chosen = good.where(same & share).select("vector").limit(2 * sample).collect()
     router, visits = fit(matrix([r.vector for r in chosen]), parts, k, target)
     held = spark.sparkContext.broadcast(router)
 
