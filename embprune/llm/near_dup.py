@@ -169,7 +169,12 @@ def confirmed(candidates: DataFrame, classes: DataFrame, docs: DataFrame, id_col
     Sets lie in blocks by class; each candidate's own set goes to the blocks of its partners. Where many candidates meet
     at one block (partners of a hub), they are dealt over copies of it.
     """
-    involved = candidates.select("a").union(candidates.select(F.explode("bs"))).distinct().withColumnRenamed("a", "cid")
+    def names(batches):
+        # The different classes of each batch: no row for each pair.
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.chunked_array([b.column(0), b.column(1).flatten()]).unique()], ["cid"])
+
+    involved = candidates.select("a", "bs").mapInArrow(names, "cid long").distinct()
     involved = stage_table(involved.join(classes.select("cid", "rep_id", "digest"), "cid"), "nd-involved")
     sets = stage_table(full_sets(docs, id_col, text_col, width, involved), "nd-sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
@@ -321,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(first.union(second))
     drop_table(members)
     placed = classes.select("digest", "cid", "least").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    ids = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
+    ids = stage_table(placed.groupBy("comp").agg(F.min("least").alias("component_id")), "nd-ids")
     placed = stage_table(placed.select("digest", "comp").join(ids, "comp").select("digest", "component_id"), "nd-placed")
     alone = signed.where("digest IS NULL").select("id", "n", F.col("id").alias("component_id"))
     done = signed.where("digest IS NOT NULL").select("id", "n", "digest").join(placed, "digest").select("id", "n", "component_id").union(alone)
