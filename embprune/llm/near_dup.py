@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop_table, stage_table
+from ._shared import drop_table, slices, stage_table
 
 SYMBOLS, CHUNK = 120, 5
 CHUNKS = SYMBOLS // CHUNK
@@ -32,7 +32,7 @@ DISTANCE = 2 * CHUNKS - 1
 #: Members of a group that are compared at once with as many others.
 BLOCK = 2048
 #: Bytes of sets that a verifying task holds of either side.
-SET_BYTES = 24 << 20
+SET_BYTES = 16 << 20
 #: Rows of (class, id) that are broadcast at most (40 bytes each).
 BROADCAST_ROWS = 1 << 19
 #: Stands for a null id where a row is looked up by it.
@@ -102,7 +102,7 @@ def signed_documents(docs: DataFrame, id_col: str, text_col: str, width: int) ->
     """(id, digest, n, sig) of every row: digest of the set (null where it is empty), its size, its signature."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             digest, size, sig = [], [], []
             for text in b.column(1):
                 found = shingle_set(text.as_py(), width)
@@ -149,7 +149,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int, involved:
     side = F.broadcast(involved) if involved.count() <= BROADCAST_ROWS else involved
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             cids, sizes, sets = [], [], []
             for cid, digest, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 found = shingle_set(text.as_py(), width)
