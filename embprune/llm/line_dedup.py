@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import arrow_columns, drop_table, stage_table
+from ._shared import arrow_columns, drop_table, slices, stage_table
 
 #: Runs of one level that are merged into a run of the next.
 FANOUT = 2
@@ -48,7 +48,7 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, min_chars: int, batch
 
     def run(parts):
         batch = TaskContext.get().partitionId() % batches
-        for part in parts:
+        for part in (p for whole in parts for p in slices(whole)):
             docs_, h1, h2 = [], [], []
             for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 for key in {k for k in _keys(text, min_chars) if k is not None}:
@@ -135,6 +135,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return work
 
     fields = [T.StructField(text_col, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-    order = docs.columns
+    order = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     done = arrow_columns(joined, [text_col, "__gone"], fields, start).drop("__gone")
-    return done.select(*[c for c in order if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    return done.select(*order, "n_lines", "n_dropped")
