@@ -1,63 +1,23 @@
-"""What the operators of this subpackage share: working tables and Arrow columns."""
+"""What the operators of this subpackage share: Arrow columns, counts, and the library's working tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Working folders of sessions that name none; only local sessions get here.
-_OWN: dict[str, str] = {}
-
-#: A-Z and a-z, for `translate`, which unlike `lower` leaves other letters alone.
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from ..sources.tables import drop_table, stage_table
+from ..sources.tables import read_table as read
 
+__all__ = ["LOWER", "SLICE_BYTES", "UPPER", "arrow_columns", "crc_mod5", "drop_table", "most_frequent", "read", "slices", "stage_table"]
 
 #: Bytes of a batch that a worker handles at once.
 SLICE_BYTES = 8 << 20
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Where it is unset, a local session gets a temporary folder and any other a folder in the warehouse.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-embprune-")
-        else:
-            _OWN[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_embprune_work"
-    return _OWN[app]
-
-
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written to the shared folder and read back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Delete the files of a table that `stage_table` wrote and no later plan reads."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(conf).delete(path, True)
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+#: A-Z and a-z, for `translate`, which unlike `lower` leaves other letters alone.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -95,3 +55,21 @@ def arrow_columns(
 def crc_mod5(column: str) -> F.Column:
     """crc32(id as text) mod 5; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 5
+
+
+def most_frequent(counts: DataFrame, key: str, n: str, most: int) -> list[tuple[str, int]]:
+    """The keys of the highest counts with these, highest first, ties by key: at most `most`.
+
+    Counts are told apart in steps of a sixteenth of a power of two; the step in which `most` is passed is left out with
+    all below it. So no task sends more than belongs to the result, which an ordering with a limit would.
+    """
+    step = F.floor(F.log2(n) * 16)
+    sizes = {r.step: r.size for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("size")).collect()}
+    cut, held = None, 0
+    for s in sorted(sizes, reverse=True):
+        held += sizes[s]
+        if held > most:
+            break
+        cut = s
+    rows = counts.where(step >= cut).select(key, n).collect() if cut is not None else []
+    return sorted(((r[0], r[1]) for r in rows), key=lambda r: (-r[1], r[0]))

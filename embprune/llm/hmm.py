@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import stage_table
+from ._shared import most_frequent, slices, stage_table
 
 STATES = 4
 ITERATIONS = 5
@@ -95,8 +95,8 @@ class Corpus:
 
 def corpus_of(counts: DataFrame, tier_words: int = TIER_WORDS) -> Corpus:
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("token") == "", F.col("c"))).alias("e")).first()
-    top = counts.where("token <> ''").orderBy(F.desc("c"), "token").limit(tier_words).collect()
-    return Corpus(total.n or 0, total.v, total.e or 0, [r.token for r in top], [r.c for r in top])
+    top = most_frequent(counts.where("token <> ''"), "token", "c", tier_words)
+    return Corpus(total.n or 0, total.v, total.e or 0, [w for w, _ in top], [c for _, c in top])
 
 
 _CODED = T.StructType(
@@ -120,7 +120,7 @@ def coded(docs: DataFrame, corpus: Corpus) -> DataFrame:
         miss = len(c.words)
         end_base = math.log10(c.ends + 0.5) - c.base_log
         rid = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows = []
             for doc_id, text, out in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 words = tokens(text.as_py())

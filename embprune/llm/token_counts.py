@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import arrow_columns
+from ._shared import arrow_columns, most_frequent, stage_table
 
 TABLE_SIZE = 1 << 16
 SUMMARY_SIZE = 1 << 12
@@ -99,7 +99,8 @@ def frequent_pre_tokens(docs: DataFrame, text_col: str, table_size: int = TABLE_
         yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.string()), pa.array(list(top.values()), pa.int64())], ["unit", "n"])
 
     counts = docs.select(text_col).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    return [r.unit for r in counts.orderBy(F.desc("n"), "unit").limit(table_size).collect()]
+    counts = stage_table(counts, "frequent-units")
+    return [unit for unit, _ in most_frequent(counts, "unit", "n", table_size)]
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = 2048, table_size: int = TABLE_SIZE) -> DataFrame:
@@ -138,7 +139,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
 
         return work
 
-    done = arrow_columns(docs.drop("n_tokens"), [text_col], [T.StructField("n_tokens", T.LongType())], start)
+    made = ["n_bytes", "n_tokens", "over_limit"]
+    kept = [c for c in docs.columns if c.lower() not in made]
+    done = arrow_columns(docs.select(*kept), [text_col], [T.StructField("n_tokens", T.LongType())], start)
     done = done.withColumns({"n_bytes": F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long"), "over_limit": F.col("n_tokens") > limit})
-    kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
-    return done.select(*kept, "n_bytes", "n_tokens", "over_limit")
+    return done.select(*kept, *made)
