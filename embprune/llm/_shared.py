@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import drop_table, stage_table
 from ..sources.tables import read_table as read
 
-__all__ = ["LOWER", "SLICE_BYTES", "UPPER", "arrow_columns", "crc_mod5", "drop_table", "most_frequent", "read", "slices", "stage_table"]
+__all__ = ["LOWER", "SLICE_BYTES", "UPPER", "arrow_columns", "bound_batches", "crc_mod5", "drop_table", "most_frequent", "read", "slices", "stage_table"]
 
 #: Bytes of a batch that a worker handles at once.
 SLICE_BYTES = 8 << 20
@@ -20,6 +20,13 @@ SLICE_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Have Spark hand texts to workers in batches of SLICE_BYTES, where the session keeps the default of 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("bB") == str(64 << 20):
+        spark.conf.set(key, str(SLICE_BYTES))
+
+
 def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about `most` bytes, which bounds what a worker makes of it at once."""
     step = max(1, batch.num_rows * most // max(batch.nbytes, 1))
@@ -38,6 +45,7 @@ def arrow_columns(
     `start` runs once per task and returns a function that takes the `inputs` as Arrow arrays and returns
     one array per field. All other columns pass through untouched. Batches are cut to about SLICE_BYTES.
     """
+    bound_batches(df.sparkSession)
     made = [f.name for f in fields]
     taken = {n.lower() for n in made}
     kept = [f for f in df.schema.fields if f.name.lower() not in taken]
@@ -48,6 +56,7 @@ def arrow_columns(
         for batch in (part for whole in batches for part in slices(whole)):
             new = work(*(batch.column(batch.schema.get_field_index(n)) for n in inputs))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in keep] + new, keep + made)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, T.StructType(kept + fields))
 

@@ -1,6 +1,6 @@
 r"""Byte-level BPE encoding and decoding with a pair occurrence index.
 
-Texts are cut into pre-tokens with the tokenizer's pattern. All pre-tokens of a lot that the worker's cache lacks lie one after the
+Texts are cut into pre-tokens with the tokenizer's pattern. All pre-tokens of a lot that the task's cache lacks lie one after the
 other in one array of symbols, linked to their neighbours. An index maps the rank of each pair to all its positions.
 The ranks that occur are applied in ascending order: all occurrences of a pair are merged in one step and the lists
 of the pairs that this makes are extended. Each text's ids are then gathered from those of its pre-tokens.
@@ -29,7 +29,7 @@ _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PLAIN = re.compile("[\x00-\u052f]*")
 #: Pieces that no pre-token crosses, for texts that are not plain.
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Pre-tokens that a worker keeps, from text to text and task to task.
+#: Pre-tokens that a task keeps from text to text.
 CACHE_SIZE = 1 << 18
 
 
@@ -172,7 +172,7 @@ class Encoder:
     """Encodes texts in lots and keeps the ids of up to CACHE_SIZE pre-tokens."""
 
     def __init__(self, path: str):
-        self.vocab = Vocabulary(path)
+        self.vocab = vocabulary(path)
         self.split = _plain_pattern().findall
         special = sorted(self.vocab.special, key=len, reverse=True)
         self.specials = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
@@ -213,9 +213,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> Encoder:
+def vocabulary(path: str) -> Vocabulary:
     """One for each worker process, which serves many tasks."""
-    return Encoder(path)
+    return Vocabulary(path)
 
 
 def decoded_text(ids: bytes, table: list[bytes]) -> str:
@@ -233,7 +233,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", decoded
     names = [("ids", T.BinaryType()), ("n_tokens", T.LongType())] + [(decoded, T.StringType())] * bool(decoded)
 
     def start():
-        own = encoder(tokenizer_path)
+        own = Encoder(tokenizer_path)
 
         def work(texts):
             ids = own.encode([t.as_py() or "" for t in texts])
@@ -252,7 +252,7 @@ def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", to: str = "
     """
 
     def start():
-        table = Vocabulary(tokenizer_path).token_bytes
+        table = vocabulary(tokenizer_path).token_bytes
 
         def work(cells):
             return [pa.array([decoded_text(c.as_py() or b"", table) for c in cells], pa.string())]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import most_frequent, slices, stage_table
+from ._shared import bound_batches, most_frequent, slices, stage_table
 
 STATES = 4
 ITERATIONS = 5
@@ -276,6 +276,7 @@ def score_texts(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", tex
     log10 probability of the whole text. A null or empty text is the end token alone. Rows stay one for one, repeated rows and
     null ids too. Without training rows every token has probability 1 in the base and the model is near uniform.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     counts = stage_table(word_counts(rows.where(~F.col("held_out")), "text"), "lm-counts")
     corpus = corpus_of(counts, tier_words)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import arrow_columns
+from ._shared import arrow_columns, bound_batches
 
 DIM = 1024
 SEED = 20240229
@@ -98,6 +98,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
         names = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[n].astype(np.int64).tolist() for n in names], pa.list_(pa.int64()))], ["lang", "vector"])
 
+    bound_batches(docs.sparkSession)
     known = docs.select(text_col, lang_col).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     parts = known.mapInArrow(run, "lang string, vector array<long>").select("lang", F.posexplode("vector"))
     found: dict[str, np.ndarray] = {}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import arrow_columns, drop_table, slices, stage_table
+from ._shared import arrow_columns, bound_batches, drop_table, slices, stage_table
 
 #: Runs of one level that are merged into a run of the next.
 FANOUT = 2
@@ -105,6 +105,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that share an id are judged alike, and a null id is below all others. All other columns stay; input columns named
     n_lines or n_dropped are replaced.
     """
+    bound_batches(docs.sparkSession)
     lines = stage_table(line_rows(docs, id_col, text_col, min_chars, batches), "lines")
     runs = LineRuns(min_docs)
     for b in range(batches):

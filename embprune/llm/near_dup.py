@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop_table, slices, stage_table
+from ._shared import bound_batches, drop_table, slices, stage_table
 
 SYMBOLS, CHUNK = 120, 5
 CHUNKS = SYMBOLS // CHUNK
@@ -308,6 +308,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 80 <= percent <= 100:
         raise ValueError("percent must be 80 to 100: signatures are laid out for that")
+    bound_batches(docs.sparkSession)
     signed = stage_table(signed_documents(docs, id_col, text_col, shingle_words), "nd-signed")
     classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), F.min(F.coalesce("id", F.lit(NO_ID))).alias("rep_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = stage_table(classes.withColumn("cid", F.monotonically_increasing_id()), "nd-classes")

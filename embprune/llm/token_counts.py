@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import arrow_columns, most_frequent, stage_table
+from ._shared import arrow_columns, bound_batches, most_frequent, stage_table
 
 TABLE_SIZE = 1 << 16
 SUMMARY_SIZE = 1 << 12
@@ -98,6 +98,7 @@ def frequent_pre_tokens(docs: DataFrame, text_col: str, table_size: int = TABLE_
                     top[t] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(top), pa.string()), pa.array(list(top.values()), pa.int64())], ["unit", "n"])
 
+    bound_batches(docs.sparkSession)
     counts = docs.select(text_col).mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
     counts = stage_table(counts, "frequent-units")
     return [unit for unit, _ in most_frequent(counts, "unit", "n", table_size)]

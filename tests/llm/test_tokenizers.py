@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 from embprune.llm import bpe, queries, token_counts
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+LIBRARY = Tokenizer.from_file(BYTES)
 ODD = ["", None, " ", "aaaaaaaaaaaaa aaa  aaaa\n\n\nx", "a <|endoftext|> b<|startoftext|><|endoftext|>", "\x1c \x1f'sx't 12 ½² Ⅷ", "中文字符 é 👍🏽 ՘ a₏", "ΑΣ ΣΑΣ, İ Ⱥ", "x" * 50_000, "".join(map(chr, range(1, 0x600))), "same", "same"]
 
 
@@ -28,7 +29,7 @@ def test_merge_results_come_after_their_parts(encoder):
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60) | st.text(alphabet="ab \n't", max_size=40))
 def test_encoding_equals_the_library(text):
-    encoder, library = bpe.encoder(BYTES), Tokenizer.from_file(BYTES)
+    encoder, library = bpe.Encoder(BYTES), LIBRARY
     assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
