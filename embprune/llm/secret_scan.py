@@ -1,8 +1,10 @@
 r"""Secret scan: patterns for known kinds, and a token-efficiency test for strings that no pattern knows.
 
 A string of letters, digits and `+/_=-` that a vocabulary of natural text cuts into many short tokens is random. It is
-reported as kind `random` where its characters per token are below `MAX_RATIO`, unless it is a known digest or an
-identifier (see `is_known`) or overlaps a span of a pattern. Spans are (kind, start, end) in code points, end exclusive.
+reported as kind `random` where its characters per token are below `MAX_RATIO`, unless it is made of known digests, words
+and numbers (see `is_known`). Where a whole string is not random, each part of it between `+/_=-` is tested alone. Of a
+string that a pattern's span overlaps, what the spans leave is tested. Spans are (kind, start, end) in code points, end
+exclusive.
 """
 
 from __future__ import annotations
@@ -31,18 +33,30 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 _DIGEST_SIZES = {32, 40, 48, 56, 64, 96, 128}
-_UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+_UUID = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Fa-f])")
+_PART = re.compile(r"[A-Za-z0-9]+")
+#: Letters between changes of case: `HTTPServer` is `HTTP` and `Server`.
+_PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+#: Share of a string's letters and digits that may be letters outside of words (the T of a time, the v of a version).
+MAX_ODD = 0.2
 
-def is_known(run: str) -> bool:
-    """Known digests (hex of the usual sizes, UUIDs) and identifiers; without letters and digits both, no string is random."""
-    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
-        return True
-    if _UUID.fullmatch(run) or len(run) in _DIGEST_SIZES and _DIGEST.fullmatch(run):
-        return True
-    # Random strings change between letters and digits often; identifiers keep to words and numbers.
-    plain = [c.isdigit() for c in run if c.isalnum()]
-    changes = sum(a != b for a, b in zip(plain, plain[1:]))
-    return changes <= 2
+
+def is_word(piece: str, encode, max_ratio: float = MAX_RATIO) -> bool:
+    """Three letters and more that the vocabulary cuts into few tokens, as they are or in lower case."""
+    return len(piece) >= 3 and any(len(piece) >= max_ratio * len(encode(p)) for p in {piece, piece.lower()})
+
+
+def is_known(run: str, encode, max_ratio: float = MAX_RATIO) -> bool:
+    """Known digests (hex of the usual sizes, UUIDs), and identifiers: words and plain numbers between `+/_=-` and changes
+    of case, with few other letters."""
+    rest = [p for p in _PART.findall(_UUID.sub("-", run)) if not (len(p) in _DIGEST_SIZES and _DIGEST.fullmatch(p))]
+    size = sum(map(len, _PART.findall(run)))
+    odd = sum(len(x) for p in rest for x in _PIECE.findall(p) if not is_word(x, encode, max_ratio))
+    return odd <= MAX_ODD * size
+
+
+def is_random(run: str, encode, max_ratio: float = MAX_RATIO) -> bool:
+    return len(run) >= MIN_RUN and len(run) < max_ratio * len(encode(run)) and not is_known(run, encode, max_ratio)
 
 
 def base_spans(text: str, low: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -73,11 +87,17 @@ def find(text: str, encode, max_ratio: float = MAX_RATIO) -> list[tuple[int, int
     base = base_spans(text, text.lower(), runs)
     extra = []
     for i, j in runs:
-        if any(s < j and i < e for s, _, e in base):
-            continue
-        run = text[i:j]
-        if not is_known(run) and len(run) < max_ratio * len(encode(run)):
-            extra.append((i, 3, j))
+        # What the patterns' spans leave of the run.
+        left, at = [], i
+        for start, _, end in base:
+            if start < j and i < end:
+                left.append((at, start))
+                at = max(at, end)
+        for x, y in [*left, (at, j)]:
+            if is_random(text[x:y], encode, max_ratio):
+                extra.append((x, 3, y))
+            else:
+                extra += [(m.start(), 3, m.end()) for m in _PART.finditer(text, x, max(x, y)) if is_random(m[0], encode, max_ratio)]
     return sorted(base + extra) if extra else base
 
 

@@ -67,3 +67,23 @@ def test_query_counts_and_digests(spark, make_docs, tmp_path):
         assert [s for s in r.spans.split(",") if s and not s.startswith("random")] == [s for s in text.split(",") if s]
     assert len(rows) == len(CASES) + 3
     assert secret_scan.scan(make_docs([]), PATH).collect() == []
+
+
+@pytest.mark.parametrize("size", [16, 20, 24, 32])
+@pytest.mark.parametrize("letters", [string.ascii_letters + string.digits, string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase])
+def test_random_strings_of_any_size_and_kind_are_found(size, letters):
+    rng, encode = random.Random(size), secret_scan.encoding(PATH).encode_ordinary
+    keys = ["".join(rng.choice(letters) for _ in range(size)) for _ in range(300)]
+    assert sum(any(k == 3 for _, k, _ in secret_scan.find(f"the key {k} is here", encode)) for k in keys) >= 0.97 * len(keys)
+
+
+def test_random_part_after_words_and_beside_a_span():
+    encode, key = secret_scan.encoding(PATH).encode_ordinary, "q7Zk2LxV9mWp4RtB"
+    for text in (f"x authorization_information_response={key} y", f"/international/conference/organization/{key}/information"):
+        assert any(k == 3 and text[i:j].find(key) >= 0 for i, k, j in secret_scan.find(text, encode)), text
+    text = f"{key}/" + "0123456789abcdef" * 2
+    found = secret_scan.find(text, encode)
+    assert [(secret_scan.KINDS[k], i, j) for i, k, j in found if k == 2] == brute(text)
+    assert any(k == 3 and text[i:j].startswith(key) and j <= 17 for i, k, j in found)
+    for known in ["MD5=D41D8CD98F00B204E9800998ECF8427E", "getUserProfileByIdentifier", "HTTPServerConnectionFactory2", "AUTHORIZATION_SERVICE_NAME", "id-550e8400-e29b-41d4-a716-446655440000", "Rechtsschutzversicherungsgesellschaften"]:
+        assert not any(k == 3 for _, k, _ in secret_scan.find(f"the {known} is here", encode)), known
