@@ -62,14 +62,27 @@ def kmeans_update(spark, d):
 
 
 def kmeans_fit(spark, d):
+    """The first PASSES passes, which are what its SQL unrolls; `kmeans_fit_whole` goes to the change bound."""
     return kmeans.fit(roles.vectors(spark, d), _first_centers(spark, d), max_iterations=PASSES)[0].select("id", "cluster")
 
 
 def kmeans_resume(spark, d):
+    """As `kmeans_fit`, in two goes; `kmeans_resume_whole` goes to the change bound."""
     state, centers, done = kmeans.fit(roles.vectors(spark, d), _first_centers(spark, d), max_iterations=1)
     return kmeans.fit(state, centers, max_iterations=PASSES, first=done)[0].select("id", "cluster")
 
 
+def kmeans_fit_whole(spark, d):
+    """`kmeans_fit` to the change bound, as the operator; no SQL, since the number of passes depends on the vectors."""
+    return kmeans.fit(roles.vectors(spark, d), _first_centers(spark, d))[0].select("id", "cluster")
+
+
+def kmeans_resume_whole(spark, d):
+    """`kmeans_resume` to the change bound."""
+    state, centers, done = kmeans.fit(roles.vectors(spark, d), _first_centers(spark, d), max_iterations=PASSES)
+    return kmeans.fit(state, centers, first=done)[0].select("id", "cluster")
+
+
 def _by_label(spark, d):
     return roles.vectors(spark, d).withColumn("cluster", F.col("label").cast("int"))
 
@@ -164,4 +177,4 @@ SELECT CAST(row_number() OVER (ORDER BY nr, h, id) - 1 AS INTEGER) AS cluster, i
     "dedup_all": f"WITH {_HASHED} SELECT DISTINCT b.id, b.cluster FROM b LEFT JOIN s USING (id) WHERE coalesce(max_sim, 0) <= 1 - 0.124::DOUBLE",
 }
 
-JOBS = {f.__name__: f for f in (pairwise_dot, euclidean_distance, seed_centers, dedup_centers, kmeans_assign, kmeans_update, kmeans_fit, kmeans_resume, cluster_sums, cluster_sizes, assignment_change_ratio, join_assignments, write_by_cluster, write_id_list, cluster_pair_sims, cluster_pair_sims_blocked, dedup_keep, dedup_all)} | {"l2_normalize": l2_normalized}
+JOBS = {f.__name__: f for f in (pairwise_dot, euclidean_distance, seed_centers, dedup_centers, kmeans_assign, kmeans_update, kmeans_fit, kmeans_resume, kmeans_fit_whole, kmeans_resume_whole, cluster_sums, cluster_sizes, assignment_change_ratio, join_assignments, write_by_cluster, write_id_list, cluster_pair_sims, cluster_pair_sims_blocked, dedup_keep, dedup_all)} | {"l2_normalize": l2_normalized}

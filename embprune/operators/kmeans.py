@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -123,9 +125,10 @@ def cluster_sizes(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-def fit(rows: DataFrame, centers: DataFrame, limit: float = 1e-7, max_iterations: int = 100, first: int = 0) -> tuple[DataFrame, DataFrame, int]:
+def fit(rows: DataFrame, centers: DataFrame, limit: float = 1e-7, max_iterations: int | None = None, first: int = 0) -> tuple[DataFrame, DataFrame, int]:
     """(assigned, centers, iterations) after the passes until fewer than `limit` of the rows change, from the second on.
 
+    `max_iterations` ends the fit earlier, with a warning where more rows than that still change; by default nothing does.
     Each pass is written to the shared folder. The centres are the means of the last assignment. To resume, give the
     assignment and centres of an earlier pass and its number in `first`.
     """
@@ -134,9 +137,11 @@ def fit(rows: DataFrame, centers: DataFrame, limit: float = 1e-7, max_iterations
         state = stage_table(assign(state, centers), "assigned")
         centers = stage_table(update(state, centers), "centers")
         iteration += 1
-        if iteration >= max_iterations:
+        ratio = (change_ratio(state).first().ratio or 0.0) if iteration > 1 else 1.0
+        if ratio < limit:
             break
-        if iteration > 1 and (change_ratio(state).first().ratio or 0.0) < limit:
+        if max_iterations is not None and iteration >= max_iterations:
+            warnings.warn(f"k-means ended unconverged at pass {iteration}: a share of {ratio} of the rows still changed", stacklevel=2)
             break
     return state, centers, iteration
 

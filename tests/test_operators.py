@@ -196,3 +196,25 @@ def test_masks_and_accuracy(spark):
     saved = table(spark, [(0, "d", 0.5)], "epoch int, dataset string, accuracy double")
     new = table(spark, [(0, "d", 0.9), (1, "d", 0.7)], "epoch int, dataset string, accuracy double")
     assert sorted(tuple(r) for r in zeroshot.accuracy_resume(saved, new).collect()) == [(0, "d", 0.5), (1, "d", 0.7)]
+
+
+def test_kmeans_goes_to_the_change_bound_and_says_where_it_does_not(cloud, spark):
+    from embprune.jobs import cluster_jobs
+    from embprune.jobs.registry import jobs
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], np.float64)
+    centers, before, passes = x[:8].copy(), None, 0
+    while True:
+        at = ((centers * centers).sum(1) - 2 * x @ centers.T).argmin(1)
+        centers = np.array([x[at == c].mean(0) if (at == c).any() else centers[c] for c in range(8)])
+        passes += 1
+        if before is not None and (at == before).all():
+            break
+        before = at
+    assert passes > cluster_jobs.PASSES
+    want = {r.vec_id: c for r, c in zip(rows, at.tolist())}
+    for name in ("kmeans_fit_whole", "kmeans_resume_whole"):
+        assert {r.id: r.cluster for r in jobs()[name](spark, "/root/testdata/sf0.001").collect()} == want
+    with pytest.warns(UserWarning, match="unconverged at pass 2"):
+        kmeans.fit(cloud[1], kmeans.seed_centers(cloud[1], 5, 1), max_iterations=2)
