@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from embprune.llm import bpe, decontaminate, language_id, line_dedup, near_dup
 from embprune.llm._shared import crc_mod5, read, stage_table
 
-#: Kept ids that may be broadcast as the rows to drop; beyond it the join shuffles.
+#: Numbers of rows to drop that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1 << 20
+ROW = "_row"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +33,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one of the smallest id stays."""
-    found = near_dup.near_duplicates(docs)
-    gone = stage_table(found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where(~F.col("kept")).select("doc_id"), "pipeline-copies")
+    """Of documents linked by five-word shingles at a similarity of 0.8 or more, one stays: that of the smallest id, nulls last.
+
+    Rows are told apart by a number that is written once, so repeated rows and ids and null ids are copies as any other.
+    """
+    order = docs.columns
+    rows = stage_table(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+    found = near_dup.near_duplicates(rows, row_col=ROW)
+    gone = stage_table(found.where(~F.col("stays")).select(F.col("row").alias(ROW)), "pipeline-copies")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(side, "doc_id", "left_anti").select(*docs.columns)
+    return rows.join(side, ROW, "left_anti").select(*order)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -98,8 +98,8 @@ def may_be_similar(n_a, n_b, percent: int):
     return 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
 
 
-def signed_documents(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, digest, n, sig) of every row: digest of the set (null where it is empty), its size, its signature."""
+def signed_documents(docs: DataFrame, id_col: str, text_col: str, width: int, row_col: str | None = None) -> DataFrame:
+    """(id, digest, n, sig, row) of every row: digest of the set (null where it is empty), its size, its signature, `row_col`."""
 
     def run(batches):
         for b in (part for whole in batches for part in slices(whole)):
@@ -109,9 +109,10 @@ def signed_documents(docs: DataFrame, id_col: str, text_col: str, width: int) ->
                 size.append(len(found))
                 digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 sig.append(signature(found).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.binary())], ["id", "digest", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), b.column(2)], ["id", "digest", "n", "sig", "row"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, digest binary, n long, sig binary")
+    row = F.lit(None) if row_col is None else F.col(row_col)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row.cast("long").alias("row")).mapInArrow(run, "id long, digest binary, n long, sig binary, row long")
 
 
 def key_rows(classes: DataFrame, percent: int) -> DataFrame:
@@ -298,9 +299,12 @@ def across_components(members: DataFrame, labels: DataFrame, classes: DataFrame,
     return ordered.mapInArrow(run, "a long, bs array<long>")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, row_col: str | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `docs`.
 
+    With `row_col`, a written column of different numbers, also `row` and `stays`, which is true for one row of each
+    component: that of the smallest id, nulls last, then of the smallest number.
+
     Links join documents of which 100 * intersection >= percent * union of the shingle sets; component_id is the smallest
     id reachable and kept marks its document. A null or empty text, or one without words, has an empty set and is linked
     with nothing. A null id never becomes a component's id while another is there; where there is none the id is null
@@ -309,8 +313,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 80 <= percent <= 100:
         raise ValueError("percent must be 80 to 100: signatures are laid out for that")
     bound_batches(docs.sparkSession)
-    signed = stage_table(signed_documents(docs, id_col, text_col, shingle_words), "nd-signed")
-    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), F.min(F.coalesce("id", F.lit(NO_ID))).alias("rep_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    signed = stage_table(signed_documents(docs, id_col, text_col, shingle_words, row_col), "nd-signed")
+    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), F.min(F.coalesce("id", F.lit(NO_ID))).alias("rep_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("head"))
     classes = stage_table(classes.withColumn("cid", F.monotonically_increasing_id()), "nd-classes")
     keys = key_rows(classes, percent)
     shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("cid").alias("hub")).where("members > 1").select("key", "hub")
@@ -326,9 +330,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = links_of(across_components(members, labels, classes, percent), "rest")
     labels = components(first.union(second))
     drop_table(members)
-    placed = classes.select("digest", "cid", "least").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    ids = stage_table(placed.groupBy("comp").agg(F.min("least").alias("component_id")), "nd-ids")
-    placed = stage_table(placed.select("digest", "comp").join(ids, "comp").select("digest", "component_id"), "nd-placed")
-    alone = signed.where("digest IS NULL").select("id", "n", F.col("id").alias("component_id"))
-    done = signed.where("digest IS NOT NULL").select("id", "n", "digest").join(placed, "digest").select("id", "n", "component_id").union(alone)
-    return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    placed = classes.select("digest", "cid", "least", "head").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    ids = stage_table(placed.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("head").getField("row").alias("first_row")), "nd-ids")
+    placed = stage_table(placed.select("digest", "comp").join(ids, "comp").select("digest", "component_id", "first_row"), "nd-placed")
+    alone = signed.where("digest IS NULL").select("id", "n", F.col("id").alias("component_id"), "row", F.lit(True).alias("stays"))
+    done = signed.where("digest IS NOT NULL").select("id", "n", "digest", "row").join(placed, "digest").select("id", "n", "component_id", "row", (F.col("row") == F.col("first_row")).alias("stays")).union(alone)
+    rows = () if row_col is None else ("row", "stays")
+    return done.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"), *rows)

@@ -86,3 +86,11 @@ def test_rows_with_nulls_pass_every_stage(spark, make_docs):
         docs = stage(spark, docs, SF)
     assert docs.count() >= 1
     assert all(stage(spark, make_docs([]), SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_one_row_of_each_group_stays_with_repeated_and_null_ids(spark, make_docs):
+    long, other, third = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    texts = [long, long, long + " x", long, other, other, third, third + " y", "", ""]
+    docs = make_docs(texts, ids=[1, 1, 1, None, None, None, None, 7, 5, 5])
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(kept, key=repr) in [sorted([(1, t), (None, other), (7, third + " y"), (5, ""), (5, "")], key=repr) for t in (long, long + " x")]
