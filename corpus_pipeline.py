@@ -19,10 +19,22 @@ ROW = "_row"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go: no language can be told. Profiles are learnt from the labelled rows of this stage's input."""
-    profiles = language_id.learn(docs.where(crc_mod5("doc_id") != 0))
+    """Documents whose language the profiles can't tell go: those without a letter, and those below the floor of the scores.
+
+    Profiles are learnt from the labelled rows of this stage's input outside crc mod 5 = 0, the floor is the smallest score
+    of the labelled rows that are held out. A document that gets the language of its label stays at any score. Without
+    profiles only texts without a letter go, without held-out rows there is no floor.
+    """
     order = docs.columns
-    return language_id.identify(docs, profiles).where(F.col("lang_pred") != language_id.NONE).select(*order)
+    profiles = language_id.learn(docs.where(crc_mod5("doc_id") != 0))
+    if not profiles:
+        return language_id.with_letters(docs)
+    # Scores under other names: the input may have columns of these.
+    told = language_id.identify(docs.select(F.struct(*order).alias("row"), "text"), profiles).where(F.col("lang_pred") != language_id.NONE)
+    told = stage_table(told.drop("text"), "pipeline-languages")
+    floor = told.where(F.col("row.lang").isNotNull() & (crc_mod5("row.doc_id") == 0)).agg(F.min("score")).first()[0] or 0.0
+    agrees = F.coalesce(F.col("lang_pred") == F.col("row.lang"), F.lit(False))
+    return told.where(agrees | (F.col("score") >= floor)).select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -134,3 +134,14 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
         return work
 
     return arrow_columns(docs, [text_col], [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())], start)
+
+
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose text has a letter."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([any(map(str.isalpha, t.as_py() or "")) for t in batch.column(batch.schema.get_field_index(text_col))], pa.bool_()))
+
+    bound_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

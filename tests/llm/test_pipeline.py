@@ -94,3 +94,11 @@ def test_one_row_of_each_group_stays_with_repeated_and_null_ids(spark, make_docs
     docs = make_docs(texts, ids=[1, 1, 1, None, None, None, None, 7, 5, 5])
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
     assert sorted(kept, key=repr) in [sorted([(1, t), (None, other), (7, third + " y"), (5, ""), (5, "")], key=repr) for t in (long, long + " x")]
+
+
+def test_language_stage_rejects_by_score_and_keeps_all_with_letters_where_no_language_is_given(spark, make_docs):
+    docs = make_docs(["one text", "12", None, "zwei"], langs=[None] * 4)
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SF).collect()} == {0, 3}
+    texts = ["the house of the man is in the town and the child of the man is there"] * 40 + ["xq zw qj vk xx qz jw kq zx vj qk wz"] + ["the man of the house"]
+    docs = make_docs(texts, langs=["en"] * 40 + [None, "en"])
+    assert {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SF).collect()} == {*range(40), 41}
