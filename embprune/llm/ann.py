@@ -146,26 +146,31 @@ def fit(x: np.ndarray, parts: int, k: int, target: float) -> tuple[Router, int]:
 
 
 def best_in_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows for each query, by exact inner product, ties to the smaller id; never the query's own row."""
-    out_q, out_i, out_s = [], [], []
+    """The k best rows for each query, by exact inner product, ties to the smaller id; never a row of the query's own id."""
+    out_r, out_q, out_i, out_s = [], [], [], []
     if len(queries) and len(rows):
         q, x, ids = matrix(queries["vector"]), matrix(rows["vector"]), rows["id"].to_numpy()
+        asked = queries["row"].tolist()
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
         for i in range(0, len(q), 256):
             sims = q[i : i + 256] @ x.T
-            n = min(k + 1, len(x))
+            own_ids = queries["id"].to_numpy()[i : i + 256]
+            for j, (a, b) in enumerate(zip(np.searchsorted(ids, own_ids), np.searchsorted(ids, own_ids, "right"))):
+                sims[j, a:b] = -np.inf
+            n = min(k, len(x))
             floor = -np.partition(-sims, n - 1, 1)[:, n - 1] if n else None
-            for j, own in enumerate(queries["id"].to_numpy()[i : i + 256].tolist()):
+            for j, own in enumerate(own_ids.tolist()):
                 # Rounding differs within a matrix product; those near the limit are computed again, one by one.
                 near = np.flatnonzero(sims[j] >= floor[j] - 1e-9 * max(1.0, abs(floor[j])))
                 near = near[ids[near] != own]
                 exact = (x[near] * q[i + j]).sum(1)
                 top = np.lexsort((ids[near], -exact))[:k]
+                out_r += [asked[i + j]] * len(top)
                 out_q += [own] * len(top)
                 out_i += ids[near][top].tolist()
                 out_s += exact[top].tolist()
-    return pd.DataFrame({"query_id": np.array(out_q, np.int64), "vec_id": np.array(out_i, np.int64), "score": np.array(out_s, np.float64)})
+    return pd.DataFrame({"row": np.array(out_r, np.int64), "query_id": np.array(out_q, np.int64), "vec_id": np.array(out_i, np.int64), "score": np.array(out_s, np.float64)})
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", parts: int = PARTITIONS, sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
@@ -173,7 +178,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
 
     Rows that are null, zero or not finite, or have no id, take no part on either side. So do vectors of a length other than
     the table's commonest. A row is never a neighbour of the query with its id; repeated rows appear as often as they are
-    there. An empty table gives no rows.
+    there, repeated queries (id and vector) count once. An id asked with several vectors has the k nearest of each. An empty
+    table gives no rows.
     """
     spark = rows.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -204,21 +210,24 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
             order = np.argsort(-held.value.probabilities(matrix(b.column(1).to_pylist())), 1, kind="stable")
             reach = np.cumsum(sizes[order], 1)
             # As many partitions as needed, more where these hold too few rows for k neighbours.
-            take = np.maximum(visits, 1 + (reach < k + 1).sum(1).clip(max=parts - 1))
+            take = np.maximum(visits, 1 + (reach < k + b.column(3).to_numpy()[:, None]).sum(1).clip(max=parts - 1))
             owner = np.repeat(np.arange(b.num_rows), take)
             goes = np.concatenate([o[:t] for o, t in zip(order, take)])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), b.column(1).take(pa.array(owner)), pa.array(goes, pa.int32())], ["id", "vector", "part"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), b.column(1).take(pa.array(owner)), pa.array(goes, pa.int32()), b.column(2).take(pa.array(owner))], ["id", "vector", "part", "row"])
 
-    asked = valid_vectors(queries, id_col, vector_col).where(same)
-    routed = stage_table(asked.mapInArrow(route, "id long, vector array<double>, part int"), "ann-queries")
+    asked = valid_vectors(queries, id_col, vector_col).where(same).distinct().withColumn("row", F.monotonically_increasing_id())
+    # Rows of the query's own id, which are no neighbours.
+    copies = index.groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1")
+    asked = asked.join(copies, "id", "left").select("id", "vector", "row", F.coalesce("copies", F.lit(1)).alias("copies"))
+    routed = stage_table(asked.mapInArrow(route, "id long, vector array<double>, part int, row long"), "ann-queries")
     asked_of = np.zeros(parts, np.int64)
     for r in routed.groupBy("part").count().collect():
         asked_of[r["part"]] = r["count"]
     row_blocks = F.array(*(F.lit(max(1, -(-int(n) // BLOCK_ROWS))) for n in sizes))[F.col("part")]
     query_blocks = F.array(*(F.lit(max(1, -(-int(n) // BLOCK_QUERIES))) for n in asked_of))[F.col("part")]
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = routed.withColumn("qb", F.pmod(F.xxhash64("id"), query_blocks).cast("int")).withColumn("rb", each(row_blocks))
+    left = routed.withColumn("qb", F.pmod(F.xxhash64("row"), query_blocks).cast("int")).withColumn("rb", each(row_blocks))
     right = index.withColumn("rb", F.pmod(F.xxhash64("id"), row_blocks).cast("int")).withColumn("qb", each(query_blocks))
-    found = left.groupBy("part", "qb", "rb").cogroup(right.groupBy("part", "qb", "rb")).applyInPandas(lambda a, b: best_in_block(a, b, k), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = left.groupBy("part", "qb", "rb").cogroup(right.groupBy("part", "qb", "rb")).applyInPandas(lambda a, b: best_in_block(a, b, k), "row long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

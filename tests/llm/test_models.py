@@ -185,3 +185,20 @@ def test_bundles_are_sums_of_bound_ngrams():
     vec = lambda c: language_id.letter_vector(ord(c) if c else 0).astype(int)
     want = sum(np.roll(vec(a), 2) * np.roll(vec(b), 1) * vec(c) for a, b, c in grams)
     assert np.array_equal(language_id.bundle([text, ""])[0], want) and not language_id.bundle([text, ""])[1].any()
+
+
+def test_repeated_queries_and_rows_have_k_different_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = [(i, [float(v) for v in rng.normal(size=6)]) for i in range(60)]
+    # Longest of all: best for themselves, so that 30 copies fill the first places of their own block.
+    x[0] = (0, [9.0] * 6)
+    rows = spark.createDataFrame(x + [x[0]] * 30, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([x[0]] * 31 + [x[20]] * 4, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(rows, asked, k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute_search(x, [0], 10)
+    assert got[0] == [i for i, _ in want[0]]
+    # Query 20 has the 31 copies of row 0 among its rows, as often as they are there.
+    sims = sorted((-sum(a * b for a, b in zip(x[20][1], v)), i) for i, v in x + [x[0]] * 30 if i != 20)
+    assert got[20] == [i for _, i in sims[:10]] and set(got) == {0, 20}
