@@ -125,7 +125,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     made = ["n_words", "hit_spans", "item_ids", "n_hit", "n_items", "contaminated"]
     order = [c for c in docs.columns if c.lower() not in made]
     df = docs.select(*order, F.array().cast("array<int>").alias("hit_spans"), F.array().cast("array<string>").alias("item_ids"))
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"))
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t")).distinct()
     size = items.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + 64)).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     for b in range(blocks):

@@ -123,3 +123,14 @@ def test_line_runs_are_compacted(spark):
 
 def test_line_dedup_of_an_empty_table(spark, make_docs):
     assert line_dedup.dedup_lines(make_docs([])).collect() == []
+
+
+def test_repeated_benchmark_rows_are_collected_once(spark, make_docs, monkeypatch):
+    from embprune.llm import decontaminate
+
+    seen, search = [], decontaminate._search_block
+    monkeypatch.setattr(decontaminate, "_search_block", lambda df, col, items, window: seen.append(items) or search(df, col, items, window))
+    bench = spark.createDataFrame([("a", "one two three")] * 50 + [("b", "four five")], "item_id string, text string")
+    rows = decontaminate.find_contamination(make_docs(["one two three", "six"]), bench).collect()
+    assert sorted(i for block in seen for i in block) == [("a", "one two three"), ("b", "four five")]
+    assert sorted((r.doc_id, r.n_hit, r.item_ids) for r in rows) == [(0, 3, ["a"]), (1, 0, [])]
