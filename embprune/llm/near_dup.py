@@ -6,10 +6,12 @@ equal sets form a class. A class has a signature of `SYMBOLS` MinHash values cut
 principle signatures within 47 agree, but for one symbol at most, in one of 24 chunks of 5 symbols: so each class gets
 for each chunk the five keys that leave one symbol out, and all pairs within the distance meet under some key.
 
-No group under a key is expanded into pairs. First every member is held against one member of its group, and the links
-found are made into components. Only where a group still has several components are its remaining pairs across components
-compared: in blocks of bounded size, by signature and set size, each pair under its first common key alone. What passes
-is confirmed on the full sets. So no link between components is lost.
+No group under a key is expanded into pairs. In each of `ROUNDS` rounds a class is held against one hub, the one that it
+shares most keys with among its groups' hubs; links found are made into components, and what lies in the largest component
+of a group is not asked again. Only where a group still has several components are its remaining pairs across components
+compared: in blocks of bounded size, each pair under its first common key alone, by signature, set size and a parity sketch
+of the set, whose different bits are never more than the elements in which two sets differ. What passes is confirmed on the
+full sets. So no link between components is lost.
 """
 
 from __future__ import annotations
@@ -29,6 +31,12 @@ SYMBOLS, CHUNK = 120, 5
 CHUNKS = SYMBOLS // CHUNK
 #: Largest signature distance of which every pair is found: one error allowed in each of 24 chunks.
 DISTANCE = 2 * CHUNKS - 1
+#: Bytes of a set's parity sketch: the bit that an element's hash names is turned over by each element.
+SKETCH = 128
+#: Rounds of hubs before groups of several components are compared whole.
+ROUNDS = 3
+#: Classes whose keys one task makes (120 rows of 16 bytes each).
+KEY_LOT = 4096
 #: Members of a group that are compared at once with as many others.
 BLOCK = 2048
 #: Bytes of sets that a verifying task holds of either side.
@@ -66,6 +74,17 @@ def signature(found: np.ndarray) -> np.ndarray:
     return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set as SKETCH bytes."""
+    bits = np.bincount((found & np.uint64(8 * SKETCH - 1)).astype(np.int64), minlength=8 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8))
+
+
+def marks(cells) -> np.ndarray:
+    """Binary cells of signature and sketch as rows of bytes."""
+    return np.frombuffer(b"".join(cells), np.uint8).reshape(-1, SYMBOLS + SKETCH)
+
+
 def keys_of(signatures: np.ndarray) -> np.ndarray:
     """Rows of CHUNKS * CHUNK keys: number of chunk and of the symbol left out, then the other four symbols."""
     out = []
@@ -98,8 +117,17 @@ def may_be_similar(n_a, n_b, percent: int):
     return 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
 
 
+def near_marks(x: np.ndarray, y: np.ndarray, n_x, n_y, percent: int) -> np.ndarray:
+    """Where the signatures are within DISTANCE and neither sizes nor sketches rule the similarity out."""
+    total = n_x + n_y
+    least_common = -(-percent * total // (100 + percent))
+    apart = np.bitwise_count(x[..., SYMBOLS:] ^ y[..., SYMBOLS:]).sum(-1, dtype=np.int64)
+    return may_be_similar(n_x, n_y, percent) & (apart <= total - 2 * least_common) & ((x[..., :SYMBOLS] != y[..., :SYMBOLS]).sum(-1) <= DISTANCE)
+
+
 def signed_documents(docs: DataFrame, id_col: str, text_col: str, width: int, row_col: str | None = None) -> DataFrame:
-    """(id, digest, n, sig, row) of every row: digest of the set (null where it is empty), its size, its signature, `row_col`."""
+    """(id, digest, n, sig, row, text_hash) of every row: digest of the set (null where it is empty), its size, its
+    signature with its sketch, `row_col`, and a hash of the text."""
 
     def run(batches):
         for b in (part for whole in batches for part in slices(whole)):
@@ -108,11 +136,12 @@ def signed_documents(docs: DataFrame, id_col: str, text_col: str, width: int, ro
                 found = shingle_set(text.as_py(), width)
                 size.append(len(found))
                 digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                sig.append(signature(found).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), b.column(2)], ["id", "digest", "n", "sig", "row"])
+                sig.append(signature(found).tobytes() + sketch(found).tobytes() if len(found) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), b.column(2), b.column(3)], ["id", "digest", "n", "sig", "row", "text_hash"])
 
     row = F.lit(None) if row_col is None else F.col(row_col)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row.cast("long").alias("row")).mapInArrow(run, "id long, digest binary, n long, sig binary, row long")
+    columns = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row.cast("long").alias("row"), F.xxhash64(text_col).alias("text_hash"))
+    return columns.mapInArrow(run, "id long, digest binary, n long, sig binary, row long, text_hash long")
 
 
 def key_rows(classes: DataFrame, percent: int) -> DataFrame:
@@ -122,15 +151,31 @@ def key_rows(classes: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for b in batches:
             if b.num_rows:
-                sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, SYMBOLS)
-                keys = keys_of(sig)
+                keys = keys_of(marks(b.column(1).to_pylist())[:, :SYMBOLS])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), keys.shape[1]))], ["key", "cid"])
 
-    return classes.where(F.col("n") >= least).select("cid", "sig").mapInArrow(run, "key long, cid long")
+    tasks = max(-(-classes.count() // KEY_LOT), int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return classes.where(F.col("n") >= least).select("cid", "sig").repartition(tasks).mapInArrow(run, "key long, cid long")
+
+
+def hub_pairs(members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
+    """(a, b): for each class outside the largest component of some group, the hub of such a group that it shares most keys with.
+
+    A group's hub is a member of its largest component, another one each turn. Groups of one component give nothing. Of each
+    chunk's keys the first takes part, which finds near hubs; the rest of the pairs is left to `across_components`.
+    """
+    rows = members.where(F.shiftright("key", 32) % CHUNK == 0)
+    comp = F.col("cid").alias("comp") if labels is None else F.coalesce("comp", "cid").alias("comp")
+    rows = (rows if labels is None else rows.join(labels, "cid", "left")).select("key", "cid", comp)
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"), F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("pick"))
+    groups = sizes.groupBy("key").agg(F.max_by(F.struct("comp", "pick"), F.struct("n", F.xxhash64("comp", F.lit(turn)), "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    outside = sizes.join(groups.select("key", "top"), "key").where("comp <> top.comp").select("key", "comp", F.col("top.pick").alias("hub"))
+    met = rows.join(outside, ["key", "comp"]).groupBy("cid", "hub").agg(F.count("*").alias("n"))
+    return met.groupBy(F.col("cid").alias("a")).agg(F.max_by("hub", F.struct("n", "hub")).alias("b"))
 
 
 def near_in_signature(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Those of `pairs` (a, b) within DISTANCE and of sizes that allow the similarity, as candidates (a, bs)."""
+    """Those of `pairs` (a, b) that signature, sizes and sketch allow to be similar, as candidates (a, bs)."""
     one, two = (classes.select(F.col("cid").alias(x), F.col("sig").alias(f"s{x}"), F.col("n").alias(f"n{x}")) for x in "ab")
     known = pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb", "na", "nb")
 
@@ -138,30 +183,40 @@ def near_in_signature(pairs: DataFrame, classes: DataFrame, percent: int) -> Dat
         for b in batches:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, SYMBOLS) for i in (2, 3))
-            good = ((x != y).sum(1) <= DISTANCE) & may_be_similar(b.column(4).to_numpy(), b.column(5).to_numpy(), percent)
+            x, y = marks(b.column(2).to_pylist()), marks(b.column(3).to_pylist())
+            good = near_marks(x, y, b.column(4).to_numpy(), b.column(5).to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[good]), pa.array([[v] for v in b.column(1).to_numpy()[good].tolist()], pa.list_(pa.int64()))], ["a", "bs"])
 
     return known.mapInArrow(run, "a long, bs array<long>")
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int, involved: DataFrame) -> DataFrame:
-    """(cid, n, hashes) of the classes in `involved` (cid, rep_id, digest), made anew from the text of a document of each."""
-    side = F.broadcast(involved) if involved.count() <= BROADCAST_ROWS else involved
+    """(cid, n, hashes) of the classes in `involved` (cid, rep, digest), made anew from the text of a document of each.
+
+    A document is found by id and hash of the text, so rows of one id or of none meet only their own class. Where it is
+    there several times, each task makes its set once and Spark keeps one.
+    """
+    wanted = involved.select("cid", "digest", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    side = F.broadcast(wanted) if involved.count() <= BROADCAST_ROWS else wanted
 
     def run(batches):
+        seen = set()
         for b in (part for whole in batches for part in slices(whole)):
             cids, sizes, sets = [], [], []
             for cid, digest, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if cid in seen:
+                    continue
                 found = shingle_set(text.as_py(), width)
                 if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == digest:
+                    seen.add(cid)
                     cids.append(cid)
                     sizes.append(len(found))
                     sets.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], ["cid", "n", "hashes"])
 
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rep_id"), F.col(text_col).alias("text"))
-    return texts.join(side, "rep_id").select("cid", "digest", "text").mapInArrow(run, "cid long, n long, hashes binary")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rep_id"), F.xxhash64(text_col).alias("rep_hash"), F.col(text_col).alias("text"))
+    made = texts.join(side, ["rep_id", "rep_hash"]).select("cid", "digest", "text").mapInArrow(run, "cid long, n long, hashes binary")
+    return made.groupBy("cid").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
 
 
 def confirmed(candidates: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
@@ -176,7 +231,7 @@ def confirmed(candidates: DataFrame, classes: DataFrame, docs: DataFrame, id_col
             yield pa.RecordBatch.from_arrays([pa.chunked_array([b.column(0), b.column(1).flatten()]).unique()], ["cid"])
 
     involved = candidates.select("a", "bs").mapInArrow(names, "cid long").distinct()
-    involved = stage_table(involved.join(classes.select("cid", "rep_id", "digest"), "cid"), "nd-involved")
+    involved = stage_table(involved.join(classes.select("cid", "rep", "digest"), "cid"), "nd-involved")
     sets = stage_table(full_sets(docs, id_col, text_col, width, involved), "nd-sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-8 * total // SET_BYTES))
@@ -227,13 +282,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def across_components(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, bs): the pairs of different components that share a key and that no star has compared.
+def across_components(members: DataFrame, labels: DataFrame | None, classes: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, bs): the pairs of different components that share a key.
 
     In each group the largest component is set aside: every pair across components has a member outside of it. Those are
-    compared with all, in blocks of BLOCK by BLOCK. The member at the centre of the group's star has been compared already.
+    compared with all, in blocks of BLOCK by BLOCK.
     """
-    rows = members.where("cid <> hub").join(labels, "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp"))
+    comp = F.col("cid").alias("comp") if labels is None else F.coalesce("comp", "cid").alias("comp")
+    rows = (members if labels is None else members.join(labels, "cid", "left")).select("key", "cid", comp)
     rows = stage_table(rows, "nd-rows")
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     groups = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
@@ -250,7 +306,7 @@ def across_components(members: DataFrame, labels: DataFrame, classes: DataFrame,
         out_of = group["outside"].to_numpy(zero_copy_only=False).astype(bool)
         if out_of.all() or not out_of.any():
             return []
-        sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint8).reshape(-1, SYMBOLS)
+        sig = marks(group["sig"].to_pylist())
         cid, comp, n = (group[c].to_numpy() for c in ("cid", "comp", "n"))
         number, top = group["key"][0].as_py() >> 32, group["top"][0].as_py()
         all_sig, all_cid, all_comp, all_n = sig[~out_of], cid[~out_of], comp[~out_of], n[~out_of]
@@ -259,11 +315,10 @@ def across_components(members: DataFrame, labels: DataFrame, classes: DataFrame,
             # A partner outside the largest component meets this one twice; the smaller class takes it.
             maybe = (all_comp != comp[i]) & ((all_comp == top) | (all_cid > cid[i])) & may_be_similar(all_n, n[i], percent)
             at = np.flatnonzero(maybe)
+            at = at[near_marks(all_sig[at], sig[i], all_n[at], n[i], percent)]
+            at = at[first_key(all_sig[at, :SYMBOLS] == sig[i, :SYMBOLS]) == number]
             if len(at):
-                equal = all_sig[at] == sig[i]
-                near = (SYMBOLS - equal.sum(1) <= DISTANCE) & (first_key(equal) == number)
-                if near.any():
-                    found.append((int(cid[i]), all_cid[at[near]].tolist()))
+                found.append((int(cid[i]), all_cid[at].tolist()))
         return found
 
     def run(batches):
@@ -314,22 +369,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("percent must be 80 to 100: signatures are laid out for that")
     bound_batches(docs.sparkSession)
     signed = stage_table(signed_documents(docs, id_col, text_col, shingle_words, row_col), "nd-signed")
-    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), F.min(F.coalesce("id", F.lit(NO_ID))).alias("rep_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("head"))
+    rep = F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text_hash")).alias("rep")
+    classes = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("least"), rep, F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("head"))
     classes = stage_table(classes.withColumn("cid", F.monotonically_increasing_id()), "nd-classes")
     keys = key_rows(classes, percent)
-    shared = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("cid").alias("hub")).where("members > 1").select("key", "hub")
-    members = stage_table(keys.join(shared.hint("shuffle_hash"), "key").select("key", "cid", "hub"), "nd-members")
+    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    members = stage_table(keys.join(shared.hint("shuffle_hash"), "key").select("key", "cid"), "nd-members")
+    links = labels = None
 
-    def links_of(candidates: DataFrame, name: str) -> DataFrame:
+    def link(candidates: DataFrame, name: str) -> bool:
+        """Adds the links among the candidates; whether there are any."""
+        nonlocal links, labels
         candidates = stage_table(candidates, f"nd-candidates-{name}")
-        return stage_table(confirmed(candidates, classes, docs, id_col, text_col, shingle_words, percent), f"nd-links-{name}")
-
-    star = members.where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
-    first = links_of(near_in_signature(star, classes, percent), "star")
-    labels = components(first)
-    second = links_of(across_components(members, labels, classes, percent), "rest")
-    labels = components(first.union(second))
+        found = stage_table(confirmed(candidates, classes, docs, id_col, text_col, shingle_words, percent), f"nd-links-{name}")
+        if found.isEmpty():
+            return False
+        links = found if links is None else links.union(found)
+        labels = components(links)
+        return True
+
+    for turn in range(ROUNDS):
+        if not link(near_in_signature(hub_pairs(members, labels, turn), classes, percent), f"hubs-{turn}"):
+            break
+    link(across_components(members, labels, classes, percent), "rest")
     drop_table(members)
+    if labels is None:
+        labels = classes.select("cid", F.col("cid").alias("comp")).limit(0)
     placed = classes.select("digest", "cid", "least", "head").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     ids = stage_table(placed.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("head").getField("row").alias("first_row")), "nd-ids")
     placed = stage_table(placed.select("digest", "comp").join(ids, "comp").select("digest", "component_id", "first_row"), "nd-placed")
