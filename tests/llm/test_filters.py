@@ -105,20 +105,35 @@ LINES = [
 ]
 
 
-@pytest.mark.parametrize("batches", [1, 4, 7])
-def test_line_dedup_equals_sql(spark, make_docs, batches):
+@pytest.mark.parametrize("batches, broadcast_keys", [(1, 1 << 20), (4, 1 << 20), (7, 1 << 20), (4, 0)])
+def test_line_dedup_equals_sql(spark, make_docs, batches, broadcast_keys):
     docs = make_docs(LINES, ids=[*range(10, 10 + len(LINES) - 1), None]).repartition(8)
-    done = line_dedup.dedup_lines(docs.withColumnRenamed("source", "n_lines"), batches=batches)
+    clashing = docs.withColumnRenamed("source", "n_lines").withColumnRenamed("lang", "doc")
+    done = line_dedup.dedup_lines(clashing, batches=batches, broadcast_keys=broadcast_keys)
+    assert done.columns == ["doc_id", "text", "doc", "n_chars", "n_lines", "n_dropped"]
     found = sorted(((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest(), r.n_dropped, r.n_lines) for r in done.collect()), key=repr)
     assert found == by_duckdb(spark, queries.OP10_SQL, documents=docs)
 
 
-def test_line_runs_are_compacted(spark):
-    runs = line_dedup.LineRuns(min_docs=3, fanout=2)
+def test_line_runs_are_compacted_and_merged_where_they_lie(spark):
+    runs = line_dedup.LineRuns(min_docs=3, buckets=3)
     for b in range(5):
-        runs.add(spark.createDataFrame([(b, 100 + b, 7, 7), (b, b, b, 1)], "batch int, doc long, h1 long, h2 long"))
-    assert [len(level) for level in runs.levels] == [1, 0, 1]
-    assert [tuple(r) for r in runs.repeated().collect()] == [(7, 7, 104)]
+        runs.add(spark.createDataFrame([(b, 100 + b, 0, 7, 7), (b, b, 0, b, 1)], "batch int, doc long, text_hash long, h1 long, h2 long"))
+    assert [level is not None for level in runs.levels] == [True, False, True]
+    found = runs.repeated()
+    assert [tuple(r) for r in found.collect()] == [(7, 7, 104)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    runs.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+@pytest.mark.parametrize("broadcast_keys", [1 << 20, 0])
+def test_many_documents_without_an_id(spark, make_docs, broadcast_keys):
+    # Texts without an id are told apart by their text; all are below the one that has an id.
+    texts = [f"{LINE}\nown line of text number {i}\n{LINE} and {i // 3}" for i in range(300)] + [LINE]
+    rows = line_dedup.dedup_lines(make_docs(texts, ids=[None] * 300 + [1]), broadcast_keys=broadcast_keys).collect()
+    assert sorted(r.text for r in rows) == sorted([f"own line of text number {i}\n{LINE} and {i // 3}" for i in range(300)] + [LINE])
 
 
 def test_line_dedup_of_an_empty_table(spark, make_docs):
