@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ._shared import arrow_columns
+from .bpe import PATTERN
 
 KINDS = ("assign", "access", "hex", "random")
 #: Characters per token under which a string counts as random; prose has 4 and more, base64 of random bytes about 1.6.
@@ -78,21 +79,24 @@ def encoding(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def find(text: str, encode, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
     runs = [m.span() for m in _RUN.finditer(text)]
     base = base_spans(text, text.lower(), runs)
     extra = []
+    over, nxt = [], 0  # spans that begin before the run ends and may reach into it; runs are in order, as spans are
     for i, j in runs:
+        over = [s for s in over if s[2] > i]
+        while nxt < len(base) and base[nxt][0] < j:
+            over += [base[nxt]] if base[nxt][2] > i else []
+            nxt += 1
         # What the patterns' spans leave of the run.
         left, at = [], i
-        for start, _, end in base:
-            if start < j and i < end:
-                left.append((at, start))
-                at = max(at, end)
+        for start, _, end in over:
+            left.append((at, start))
+            at = max(at, end)
         for x, y in [*left, (at, j)]:
             if is_random(text[x:y], encode, max_ratio):
                 extra.append((x, 3, y))

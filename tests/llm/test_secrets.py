@@ -1,6 +1,7 @@
 import random
 import re
 import string
+import time
 
 import public_tokenizers
 import pytest
@@ -87,3 +88,20 @@ def test_random_part_after_words_and_beside_a_span():
     assert any(k == 3 and text[i:j].startswith(key) and j <= 17 for i, k, j in found)
     for known in ["MD5=D41D8CD98F00B204E9800998ECF8427E", "getUserProfileByIdentifier", "HTTPServerConnectionFactory2", "AUTHORIZATION_SERVICE_NAME", "id-550e8400-e29b-41d4-a716-446655440000", "Rechtsschutzversicherungsgesellschaften"]:
         assert not any(k == 3 for _, k, _ in secret_scan.find(f"the {known} is here", encode)), known
+
+
+def test_a_large_log_takes_time_in_proportion():
+    encode = secret_scan.encoding(PATH).encode_ordinary
+    line = "2024-01-01 12:00:{0:02d} host app[{1}]: password=abc{1}defgh token: xyz{2}qrstu\n"
+    text = "".join(line.format(i % 60, i, i * 7) for i in range(125_000))
+    assert len(text) > 10_000_000
+    began = time.process_time()
+    found = secret_scan.find(text, encode)
+    assert len(found) == 250_000 and time.process_time() - began < 10
+
+
+def test_input_columns_of_the_result_s_name_are_replaced(spark, make_docs):
+    docs = make_docs(["password=12345678", None]).withColumnRenamed("source", "Secrets").withColumnRenamed("lang", "kind")
+    found = secret_scan.scan(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).orderBy("doc_id").collect()
+    assert found[0].asDict().keys() == {"doc_id", "text", "kind", "n_chars", "secrets"}
+    assert [tuple(s) for s in found[0].secrets] == [("assign", 0, 17)] and found[1].secrets == []
