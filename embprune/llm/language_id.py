@@ -20,8 +20,10 @@ from ._shared import arrow_columns, bound_batches
 DIM = 1024
 SEED = 20240229
 NONE = "und"
-#: Texts that are counted together; bounds the dense table of counts.
-LOT_TEXTS, LOT_CHARS = 256, 1 << 21
+#: Texts and characters that are counted together; a longer text is counted in pieces of so many characters.
+LOT_TEXTS, LOT_CHARS = 256, 1 << 20
+#: Different n-grams whose vectors are made at once (4 MB), for all texts of a lot.
+GRAMS = 1 << 10
 
 
 @lru_cache(maxsize=1)
@@ -30,42 +32,67 @@ def _letters() -> np.ndarray:
     return np.array([c if chr(c).isalpha() else 0 for c in range(0x110000)], np.int64)
 
 
-@lru_cache(maxsize=1 << 14)
+@lru_cache(maxsize=1 << 15)
 def letter_vector(code: int) -> np.ndarray:
     return (np.random.default_rng((SEED, code)).integers(0, 2, DIM, dtype=np.int8) * 2 - 1).astype(np.int8)
 
 
-def ngram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The different n-grams as rows of three letter codes (0: gap), and the count of each in each text."""
-    joined = "\0" + "\0".join(t.lower() for t in texts) + "\0"
-    codes = _letters()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    owner = np.cumsum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32) == 0) - 1
-    keep = (codes > 0) | np.concatenate(([True], codes[:-1] > 0))  # one gap between words
-    codes, owner = codes[keep], owner[keep]
-    present = np.flatnonzero(np.bincount(codes, minlength=1))
-    rank = np.zeros(present[-1] + 1, np.int64)
-    rank[present] = np.arange(len(present))
-    r, size = rank[codes], len(present)
-    if len(codes) < 3:
-        return np.zeros((0, 3), np.int64), np.zeros((len(texts), 0), np.float32)
-    gram = (r[:-2] * size + r[1:-1]) * size + r[2:]
-    inside = codes[1:-1] > 0
-    gram, owner = gram[inside], owner[1:-1][inside]
-    values, column = np.unique(gram, return_inverse=True)
-    counts = np.bincount(owner * len(values) + column, minlength=len(texts) * len(values)).reshape(len(texts), -1).astype(np.float32)
-    return present[np.stack((values // (size * size), values // size % size, values % size), 1)], counts
+def _pieces(texts: list[str]):
+    """(characters, owners): texts in lower case for counting together, each between gaps, and the number of the text of each
+    character. A long text comes in pieces that overlap by two, so that each n-gram is in one piece."""
+    lot, owner, held = ["\0"], [0], 0
+    for i, text in enumerate(texts):
+        text = text.lower()
+        if len(text) > LOT_CHARS:
+            whole = f"\0{text}\0"
+            for at in range(0, len(text), LOT_CHARS):
+                piece = whole[at : at + LOT_CHARS + 2]
+                yield piece, np.full(len(piece), i)
+        else:
+            if held + len(text) > LOT_CHARS:
+                yield "".join(lot), np.repeat(owner, [len(x) for x in lot])
+                lot, owner, held = ["\0"], [i], 0
+            lot.append(text + "\0")
+            owner.append(i)
+            held += len(text)
+    yield "".join(lot), np.repeat(owner, [len(x) for x in lot])
+
+
+def ngram_counts(chars: str, owner: np.ndarray, texts: int):
+    """(letters, left, middle, right, texts, counts): one row for each different n-gram in each text, by n-gram; the three
+    columns are places in `letters`, of which the first is the gap. The middle of an n-gram is a letter."""
+    codes = _letters()[np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    at = np.flatnonzero(codes[1:-1] > 0) + 1
+    letters = np.flatnonzero(np.bincount(codes, minlength=1))
+    letters = letters if len(letters) and letters[0] == 0 else np.concatenate(([0], letters))
+    rank = np.zeros(letters[-1] + 1, np.int64)
+    rank[letters] = np.arange(len(letters))
+    codes, size = rank[codes], len(letters)
+    key, counts = np.unique(((codes[at - 1] * size + codes[at]) * size + codes[at + 1]) * texts + owner[at], return_counts=True)
+    gram = key // texts
+    return letters, gram // (size * size), gram // size % size, gram % size, key % texts, counts
 
 
 def bundle(texts: list[str]) -> np.ndarray:
-    """One vector for each text; zero where a text has no letter."""
-    grams, counts = ngram_counts(texts)
-    if not len(grams):
-        return np.zeros((len(texts), DIM), np.float32)
-    used, at = np.unique(grams, return_inverse=True)
-    table = np.stack([letter_vector(int(c)) for c in used])
-    at = at.reshape(grams.shape)
-    bound = np.roll(table, 2, 1)[at[:, 0]] * np.roll(table, 1, 1)[at[:, 1]] * table[at[:, 2]]
-    return counts @ bound.astype(np.float32)
+    """One vector for each text; zero where a text has no letter. Memory grows with LOT_CHARS and GRAMS, not with a text."""
+    out = np.zeros((len(texts), DIM))
+    for chars, owner in _pieces(texts):
+        letters, left, middle, right, text, counts = ngram_counts(chars, owner, len(texts))
+        if not len(counts):
+            continue
+        table = np.stack([letter_vector(int(c)) for c in letters])
+        before, after = np.roll(table, 2, 1), np.roll(table, 1, 1)
+        new = np.concatenate(([True], (left[1:] != left[:-1]) | (middle[1:] != middle[:-1]) | (right[1:] != right[:-1])))
+        first, number = np.flatnonzero(new), np.cumsum(new) - 1
+        used, local = np.unique(text, return_inverse=True)
+        for i in range(0, len(first), GRAMS):
+            at = first[i : i + GRAMS]
+            bound = before[left[at]] * after[middle[at]] * table[right[at]]
+            j, k = at[0], first[i + GRAMS] if i + GRAMS < len(first) else len(number)
+            weight = np.zeros((len(used), len(at)), np.float32)
+            weight[local[j:k], number[j:k] - i] = counts[j:k]
+            out[used] += weight @ bound.astype(np.float32)
+    return out
 
 
 def _lots(texts: pa.Array):
@@ -83,7 +110,9 @@ def _lots(texts: pa.Array):
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """The vector of each language of `docs`; rows without language or text are passed over.
 
-    Each task sums its own texts; what leaves it is one vector for each language. The result is DIM numbers a language.
+    Each task sums its own texts; what leaves it is one vector for each language, and a language's vectors are summed again
+    by Spark. The result, DIM numbers a language, is held by the driver and every worker: 8 KB for each different value of
+    `lang_col`, of which there should be thousands at most.
     """
 
     def run(batches):
@@ -98,13 +127,18 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
         names = list(sums)
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[n].astype(np.int64).tolist() for n in names], pa.list_(pa.int64()))], ["lang", "vector"])
 
+    def add_up(batches):
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[lang] = sums.get(lang, 0) + vector.values.to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], ["lang", "vector"])
+
     bound_batches(docs.sparkSession)
     known = docs.select(text_col, lang_col).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    parts = known.mapInArrow(run, "lang string, vector array<long>").select("lang", F.posexplode("vector"))
-    found: dict[str, np.ndarray] = {}
-    for r in parts.groupBy("lang", "pos").agg(F.sum("col").alias("v")).collect():
-        found.setdefault(r.lang, np.zeros(DIM))[r.pos] = r.v
-    return found
+    schema = "lang string, vector array<long>"
+    found = known.mapInArrow(run, schema).repartition("lang").mapInArrow(add_up, schema).toArrow()
+    return {lang: np.array(v, np.float64) for lang, v in zip(found["lang"].to_pylist(), found["vector"].to_pylist())}
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
