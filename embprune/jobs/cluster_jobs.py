@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import distance, dot, l2_normalize, norm
 from ..operators import dedup, kmeans, samples
-from ..sources.tables import new_path
+from ..sources.tables import new_path, stage_table
 from . import roles
 from .roles import BUCKETS
 from .roles import SQL_ROLES as R
 
-K, PASSES, SEED, SEED_CHUNKS = 8, 3, 7, 3
+K, SEED, SEED_CHUNKS = 8, 7, 3
+#: Passes that the SQL unrolls, more than the given tables need; passes at the fixed point change nothing.
+SQL_PASSES = 40
 LIMIT = 0.65
 
 
@@ -44,7 +46,6 @@ def seed_centers(spark, d):
 
 
 def dedup_centers(spark, d):
-    """Rows only: how many rounds it takes depends on the vectors."""
     rows = roles.vectors(spark, d)
     every = kmeans.seed_centers(rows, 4 * K, SEED)
     spares = every.where(F.col("cluster") >= K).select((F.col("cluster") - K).alias("at"), "id", "center")
@@ -56,31 +57,21 @@ def kmeans_assign(spark, d):
 
 
 def kmeans_update(spark, d):
-    centers = _first_centers(spark, d)
-    done = kmeans.update(kmeans.assign(roles.vectors(spark, d), centers), centers)
+    centers, rows = _first_centers(spark, d), roles.vectors(spark, d)
+    done = kmeans.update(kmeans.assign(rows, centers), centers)
     return done.select("cluster", F.posexplode("center")).select("cluster", "pos", F.round("col", 6).alias("value"))
 
 
 def kmeans_fit(spark, d):
-    """The first PASSES passes, which are what its SQL unrolls; `kmeans_fit_whole` goes to the change bound."""
-    return kmeans.fit(roles.vectors(spark, d), _first_centers(spark, d), max_iterations=PASSES)[0].select("id", "cluster")
-
-
-def kmeans_resume(spark, d):
-    """As `kmeans_fit`, in two goes; `kmeans_resume_whole` goes to the change bound."""
-    state, centers, done = kmeans.fit(roles.vectors(spark, d), _first_centers(spark, d), max_iterations=1)
-    return kmeans.fit(state, centers, max_iterations=PASSES, first=done)[0].select("id", "cluster")
-
-
-def kmeans_fit_whole(spark, d):
-    """`kmeans_fit` to the change bound, as the operator; no SQL, since the number of passes depends on the vectors."""
+    """To the change bound, however many passes that takes."""
     return kmeans.fit(roles.vectors(spark, d), _first_centers(spark, d))[0].select("id", "cluster")
 
 
-def kmeans_resume_whole(spark, d):
-    """`kmeans_resume` to the change bound."""
-    state, centers, done = kmeans.fit(roles.vectors(spark, d), _first_centers(spark, d), max_iterations=PASSES)
-    return kmeans.fit(state, centers, first=done)[0].select("id", "cluster")
+def kmeans_resume(spark, d):
+    """The first iteration, then on from its saved state to the change bound."""
+    state = new_path(spark, "kmeans-state")
+    kmeans.fit(roles.vectors(spark, d), _first_centers(spark, d), max_iterations=1, state=state)
+    return kmeans.fit(roles.vectors(spark, d), None, first=1, state=state)[0].select("id", "cluster")
 
 
 def _by_label(spark, d):
@@ -134,7 +125,8 @@ def dedup_keep(spark, d):
 
 
 def dedup_all(spark, d):
-    return dedup.dedup_all(roles.hashed_documents(spark, d)).select("id", "cluster")
+    # Written once: the vectors are used for the sizes, the pairs and the rows that stay.
+    return dedup.dedup_all(stage_table(roles.hashed_documents(spark, d), "hashed")).select("id", "cluster")
 
 
 def _kmeans_sql(passes: int) -> str:
@@ -147,7 +139,7 @@ def _kmeans_sql(passes: int) -> str:
 
 
 _PAIR_MAX = "SELECT a.id AS id, max(list_dot_product(a.e, b.e)) AS max_sim FROM v a JOIN v b ON a.label = b.label AND b.id < a.id GROUP BY a.id"
-_FIT = f"{_kmeans_sql(PASSES)} SELECT id, cluster FROM a{PASSES}"
+_FIT = f"{_kmeans_sql(SQL_PASSES)} SELECT id, cluster FROM a{SQL_PASSES}"
 _HASHED = f"""w AS (SELECT doc_id AS id, lang AS cluster, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
 b AS (SELECT id, cluster, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % {BUCKETS} AS b, count(*) AS n FROM w GROUP BY ALL),
 l AS (SELECT id, sqrt(sum(n * n)) AS len FROM b GROUP BY id),
@@ -165,6 +157,8 @@ SELECT CAST(row_number() OVER (ORDER BY nr, h, id) - 1 AS INTEGER) AS cluster, i
     "kmeans_update": f"{_kmeans_sql(1)} SELECT cluster, CAST(pos - 1 AS INTEGER) AS pos, round(x, 6) AS value FROM (SELECT cluster, unnest(center) AS x, generate_subscripts(center, 1) AS pos FROM c1)",
     "kmeans_fit": _FIT,
     "kmeans_resume": _FIT,
+    "kmeans_fit_whole": _FIT,
+    "kmeans_resume_whole": _FIT,
     "cluster_sums": f"WITH {R} SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS n, CAST(pos - 1 AS INTEGER) AS pos, round(sum(x), 6) AS total FROM (SELECT label AS cluster, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM v) GROUP BY cluster, pos",
     "cluster_sizes": "SELECT CAST(label AS INTEGER) AS cluster, count(*) AS n FROM embeddings GROUP BY label",
     "assignment_change_ratio": "SELECT round(avg(CASE WHEN label <> vec_id % 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS ratio FROM embeddings",
@@ -177,4 +171,4 @@ SELECT CAST(row_number() OVER (ORDER BY nr, h, id) - 1 AS INTEGER) AS cluster, i
     "dedup_all": f"WITH {_HASHED} SELECT DISTINCT b.id, b.cluster FROM b LEFT JOIN s USING (id) WHERE coalesce(max_sim, 0) <= 1 - 0.124::DOUBLE",
 }
 
-JOBS = {f.__name__: f for f in (pairwise_dot, euclidean_distance, seed_centers, dedup_centers, kmeans_assign, kmeans_update, kmeans_fit, kmeans_resume, kmeans_fit_whole, kmeans_resume_whole, cluster_sums, cluster_sizes, assignment_change_ratio, join_assignments, write_by_cluster, write_id_list, cluster_pair_sims, cluster_pair_sims_blocked, dedup_keep, dedup_all)} | {"l2_normalize": l2_normalized}
+JOBS = {f.__name__: f for f in (pairwise_dot, euclidean_distance, seed_centers, dedup_centers, kmeans_assign, kmeans_update, kmeans_fit, kmeans_resume, cluster_sums, cluster_sizes, assignment_change_ratio, join_assignments, write_by_cluster, write_id_list, cluster_pair_sims, cluster_pair_sims_blocked, dedup_keep, dedup_all)} | {"l2_normalize": l2_normalized, "kmeans_fit_whole": kmeans_fit, "kmeans_resume_whole": kmeans_resume}

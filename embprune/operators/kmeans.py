@@ -1,4 +1,8 @@
-"""K-means over a large table: rows stay where they are, centres are broadcast, sums come back."""
+"""K-means over a large table: rows stay where they are and are never rewritten; centres are broadcast, sums come back.
+
+A pass needs the centres before it and, for the share of rows that change, those of the pass before: both are matrices in one
+map pass. What a fit keeps is a small table of centres for each iteration, from which another session can go on.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import matrix
-from ..functions.vectors import dot
-from ..sources.tables import stage_table
-
-_ASSIGNED = "id long, embedding array<float>, cluster int, prev_cluster int"
+from ..sources.tables import new_path, stage_table
+from .similarity import PASS_BYTES, QUERY_BYTES, over_rows, query_blocks, slices
 
 
 def seed_centers(rows: DataFrame, k: int, seed: int, chunk_col: str | None = None, n_chunks: int = 1) -> DataFrame:
@@ -39,79 +41,152 @@ def seed_centers(rows: DataFrame, k: int, seed: int, chunk_col: str | None = Non
 
 
 def close_centers(centers: DataFrame, limit: float = 0.9) -> DataFrame:
-    """(cluster,) of every centre in a pair of similarity above `limit`; the table of centres is the small side by nature."""
-    a, b = centers.select(F.col("cluster").alias("i"), F.col("center").alias("x")), centers.select(F.col("cluster").alias("j"), F.col("center").alias("y"))
-    pairs = a.join(F.broadcast(b), F.col("i") > F.col("j")).where(dot(F.col("x"), F.col("y")) > limit)
-    return pairs.select(F.explode(F.array("i", "j")).alias("cluster")).distinct()
+    """(cluster,) of every centre that has another one of a similarity above `limit`."""
+
+    def fold(own, x, before, ids, c):
+        near = ((x @ c.T > limit) & (own[:, None] != ids)).any(1)
+        return [pa.array(near if before is None else near | before[0].to_numpy(zero_copy_only=False))]
 
+    rows = centers.select("cluster", "center")
+    found = over_rows(rows, "center", query_blocks(rows, "cluster", "center"), "close boolean", fold)
+    return rows.select("cluster").limit(0) if found is None else found.where("close").select("cluster")
 
-def dedup_centers(centers: DataFrame, spares: DataFrame, limit: float = 0.9, rounds: int = 20) -> DataFrame:
-    """Replace every centre of a too close pair by the next of `spares` (id, center by ascending `at`), until none is left.
 
-    Raises if the spares or the rounds run out.
+def dedup_centers(centers: DataFrame, spares: DataFrame, limit: float = 0.9) -> DataFrame:
+    """Replace every centre of a too close pair by the next of `spares` (id, center by ascending `at` from 0), until none is left.
+
+    Close centres take spares in the order of their clusters. Raises if the spares run out.
     """
     used = 0
-    for _ in range(rounds):
-        close = sorted(r.cluster for r in close_centers(centers, limit).collect())
-        if not close:
+    while True:
+        # Centres are a bounded table, so the single-partition rank is.
+        close = stage_table(close_centers(centers, limit).selectExpr("cluster", f"row_number() OVER (ORDER BY cluster) - 1 + {used} AS at"), "close-centers")
+        n = close.count()
+        if not n:
             return centers
-        fresh = spares.where((F.col("at") >= used) & (F.col("at") < used + len(close))).orderBy("at").collect()
-        if len(fresh) < len(close):
-            break
-        used += len(close)
-        spark = centers.sparkSession
-        new = spark.createDataFrame([(c, r.id, list(r.center)) for c, r in zip(close, fresh)], "cluster int, id long, center array<double>")
-        centers = stage_table(centers.where(~F.col("cluster").isin(close)).unionByName(new), "centers")
-    raise ValueError("centres stay too close: no spare rows or rounds left")
+        fresh = spares.join(close, "at").select("cluster", "id", "center")
+        new = stage_table(centers.join(close, "cluster", "left_anti").select("cluster", "id", "center").unionByName(fresh), "centers")
+        if new.count() < centers.count():
+            raise ValueError("centres stay too close: no spare rows left")
+        centers, used = new, used + n
 
 
-def _center_matrix(centers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = sorted(centers.select("cluster", "center").collect(), key=lambda r: r.cluster)
-    return np.array([r.cluster for r in rows], np.int32), np.array([r.center for r in rows], np.float64)
+def nearest_of_blocks(own, x: np.ndarray, before: list | None, clusters: np.ndarray, c: np.ndarray) -> list[pa.Array]:
+    """The nearest centre of each row so far and its squared distance less the row's own square; ties to the lowest cluster."""
+    gap = (c * c).sum(1) - 2 * x @ c.T
+    at = gap.argmin(1)
+    least, who = gap[np.arange(len(at)), at], clusters[at]
+    if before is not None:
+        old, old_who = before[1].to_numpy(), before[0].to_numpy()
+        keep = (old < least) | ((old == least) & (old_who < who))
+        least, who = np.where(keep, old, least), np.where(keep, old_who, who)
+    return [pa.array(who.astype(np.int32)), pa.array(least)]
 
 
 def assign(rows: DataFrame, centers: DataFrame) -> DataFrame:
-    """(id, embedding, cluster, prev_cluster): the nearest centre of each row, ties to the lowest cluster."""
-    spark = rows.sparkSession
-    held = spark.sparkContext.broadcast(_center_matrix(centers))
+    """(id, embedding, cluster, prev_cluster): the nearest centre of each row, ties to the lowest cluster; null for a row without a vector.
+
+    prev_cluster is the `cluster` that rows have already, if any. No centres are an error.
+    """
     before = F.col("cluster") if "cluster" in rows.columns else F.lit(None)
+    rows = rows.select("id", "embedding", before.cast("int").alias("prev_cluster"))
+    found = over_rows(rows, "embedding", query_blocks(centers, "cluster", "center"), "cluster int, gap double", nearest_of_blocks, keep_vector=True)
+    if found is None:
+        raise ValueError("there are no centres")
+    return found.select("id", "embedding", "cluster", "prev_cluster")
+
+
+_SUMS = "cluster int, n long, n_changed long, sums array<double>"
+
+
+def _add(total: dict[int, list], x: np.ndarray, clusters: np.ndarray, counts: np.ndarray) -> None:
+    """Add rows up by cluster: [sum of vectors, sums of the two counts]."""
+    if len(x):
+        order = np.argsort(clusters, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(clusters[order]) != 0])
+        for c, s, n in zip(clusters[order][first].tolist(), np.add.reduceat(x[order], first, 0), np.add.reduceat(counts[order], first, 0)):
+            old = total.get(c)
+            total[c] = [s, n] if old is None else [old[0] + s, old[1] + n]
+
+
+def _sums(total: dict[int, list]) -> pa.RecordBatch:
+    sums = pa.array([s.tolist() for s, _ in total.values()], pa.list_(pa.float64()))
+    n = np.array([n for _, n in total.values()], np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(n[:, 0]), pa.array(n[:, 1]), sums], ["cluster", "n", "n_changed", "sums"])
+
+
+def _added_up(parts: DataFrame) -> DataFrame:
+    """One row for each cluster of rows (cluster, n, n_changed, sums); where they come from tasks, a cluster has as many as those."""
 
     def run(batches):
-        clusters, c = held.value
-        square = (c * c).sum(1)
+        total: dict[int, list] = {}
         for batch in batches:
-            x = matrix(batch.column(1))
-            step = max(1, (1 << 22) // len(c))
-            at = np.concatenate([(square - 2 * x[i : i + step] @ c.T).argmin(1) for i in range(0, len(x), step)] or [np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(clusters[at]), batch.column(2)], ["id", "embedding", "cluster", "prev_cluster"])
+            _add(total, matrix(batch.column(3)), batch.column(0).to_numpy(), np.stack([batch.column(i).to_numpy() for i in (1, 2)], 1))
+        yield _sums(total)
+
+    return parts.mapInArrow(run, _SUMS)
+
+
+def cluster_sums(assigned: DataFrame, changed: str = "false") -> DataFrame:
+    """(cluster, n, n_changed, sums) of rows (embedding, cluster): counts, of rows where the expression `changed` holds too, and
+    element-wise sums. Rows without a vector or a cluster take no part.
+
+    Each task adds up its own rows first; then the parts of a cluster, at most one from each task, are added up.
+    """
+    known = assigned.where("embedding IS NOT NULL AND cluster IS NOT NULL")
+    one = known.selectExpr("CAST(cluster AS INT) AS cluster", "1L AS n", f"CAST(coalesce({changed}, true) AS LONG) AS n_changed", "embedding AS sums")
+    return _added_up(_added_up(one).repartition("cluster"))
+
+
+Centers = tuple[np.ndarray, np.ndarray]
 
-    return rows.select("id", "embedding", before.cast("int").alias("prev_cluster")).mapInArrow(run, _ASSIGNED)
 
+def center_matrix(centers: DataFrame) -> Centers:
+    """(clusters, matrix) of all centres by cluster, on the driver: clusters x dimension numbers, as the caller chose. None are an error."""
+    blocks = list(query_blocks(centers, "cluster", "center"))
+    if not blocks:
+        raise ValueError("there are no centres")
+    return np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
 
-def cluster_sums(assigned: DataFrame) -> DataFrame:
-    """(cluster, n, sums): count and element-wise sum; each task adds up its own rows first."""
+
+def pass_sums(points: DataFrame, centers: Centers, before: Centers | None) -> DataFrame:
+    """`cluster_sums` of vectors (embedding) by their nearest of `centers`; changed are those whose nearest of `before` is another.
+
+    One map pass in which vectors only go to the workers. Where the centres are more than PASS_BYTES, vectors and numbers of
+    centres are written in between.
+    """
+    context = points.sparkSession.sparkContext
+    tables = [centers] if before is None else [centers, before]
+    step = max(1, QUERY_BYTES // max(centers[1][0].nbytes, 1))
+    blocks = [[(ids[i : i + step], c[i : i + step]) for i in range(0, len(ids), step)] for ids, c in tables]
+    if sum(c.nbytes for _, c in tables) > PASS_BYTES:
+        for some, name in zip(blocks, ("cluster", "prev_cluster")):
+            points = over_rows(points, "embedding", iter(some), f"{name} int, __gap double", nearest_of_blocks, keep_vector=True).drop("__gap")
+        return cluster_sums(points, "true" if before is None else "cluster <> prev_cluster")
+    held = [[context.broadcast(b) for b in some] for some in blocks]
+
+    def nearest(x, some):
+        found = None
+        for h in some:
+            found = nearest_of_blocks(None, x, found, *h.value)
+        return found[0].to_numpy()
 
     def run(batches):
         total: dict[int, list] = {}
+        width = max(len(h.value[0]) for some in held for h in some)
         for batch in batches:
-            if batch.num_rows:
-                clusters, x = batch.column(1).to_numpy(), matrix(batch.column(0))
-                order = np.argsort(clusters, kind="stable")
-                first = np.flatnonzero(np.r_[True, np.diff(clusters[order]) != 0])
-                for c, s, n in zip(clusters[order][first].tolist(), np.add.reduceat(x[order], first, 0), np.diff(np.r_[first, len(order)]).tolist()):
-                    old = total.setdefault(c, [0, np.zeros(x.shape[1])])
-                    old[0] += n
-                    old[1] += s
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([n for n, _ in total.values()], pa.int64()), pa.array([s.tolist() for _, s in total.values()], pa.list_(pa.float64()))], ["cluster", "n", "sums"])
-
-    parts = assigned.select("embedding", "cluster").mapInArrow(run, "cluster int, n long, sums array<double>")
-    sums = parts.select("cluster", F.posexplode("sums")).groupBy("cluster", "pos").agg(F.sum("col").alias("s"))
-    sums = sums.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("l")).select("cluster", F.col("l.s").alias("sums"))
-    return parts.groupBy("cluster").agg(F.sum("n").alias("n")).join(sums, "cluster")
+            for part in slices(batch, width):
+                x = matrix(part.column(0))
+                now = nearest(x, held[0])
+                changed = nearest(x, held[1]) != now if len(held) > 1 else np.ones(len(x), bool)
+                _add(total, x, now, np.stack((np.ones(len(x), np.int64), changed.astype(np.int64)), 1))
+        yield _sums(total)
+
+    return _added_up(points.mapInArrow(run, _SUMS).repartition("cluster"))
 
 
 def update(assigned: DataFrame, centers: DataFrame) -> DataFrame:
-    """(cluster, center): the mean of each cluster; a cluster without rows keeps its centre."""
+    """(cluster, center): the mean of the rows (embedding, cluster) of each cluster; a cluster without rows keeps its centre."""
     means = cluster_sums(assigned).select("cluster", F.transform("sums", lambda s: s / F.col("n")).alias("mean"))
     return centers.select("cluster", "center").join(means, "cluster", "left").select("cluster", F.coalesce("mean", "center").alias("center"))
 
@@ -125,25 +200,49 @@ def cluster_sizes(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("cluster").agg(F.count("*").alias("n"))
 
 
-def fit(rows: DataFrame, centers: DataFrame, limit: float = 1e-7, max_iterations: int | None = None, first: int = 0) -> tuple[DataFrame, DataFrame, int]:
+def saved_centers(spark, state: str, iteration: int) -> DataFrame:
+    """(cluster, center, before): the centres after iteration `iteration` of the fit that keeps its state in the folder `state`,
+    and those that its assignment was made with."""
+    return spark.read.parquet(f"{state}/iteration={iteration}")
+
+
+def fit(rows: DataFrame, centers: DataFrame | None, limit: float = 1e-7, max_iterations: int | None = None, first: int = 0, state: str | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(assigned, centers, iterations) after the passes until fewer than `limit` of the rows change, from the second on.
 
-    `max_iterations` ends the fit earlier, with a warning where more rows than that still change; by default nothing does.
-    Each pass is written to the shared folder. The centres are the means of the last assignment. To resume, give the
-    assignment and centres of an earlier pass and its number in `first`.
+    `assigned` is that of the last pass, as `assign` gives it, made when it is read; the centres are its means. Each
+    iteration's centres are written to `state`, a folder that all executors reach (by default a new one in the shared
+    folder). With `first` the fit goes on after that iteration of `state`, from any session, and `centers` is not needed.
+    `max_iterations` ends the fit earlier, with a warning where more rows than that still change; by default nothing does. Rows
+    without a vector have no cluster; a table without vectors keeps the centres. No centres are an error.
     """
-    state, iteration = rows, first
+    spark = rows.sparkSession
+    state = state or new_path(spark, "kmeans")
+    points = rows.select("embedding").where(F.col("embedding").isNotNull())
+    if first:
+        saved = saved_centers(spark, state, first)
+        now, before = center_matrix(saved), center_matrix(saved.select("cluster", F.col("before").alias("center")))
+    else:
+        now, before = center_matrix(centers), None
+    iteration = first
     while True:
-        state = stage_table(assign(state, centers), "assigned")
-        centers = stage_table(update(state, centers), "centers")
+        sums = pass_sums(points, now, before).toArrow()
         iteration += 1
-        ratio = (change_ratio(state).first().ratio or 0.0) if iteration > 1 else 1.0
-        if ratio < limit:
+        clusters, new = now[0], now[1].copy()
+        at, n = np.searchsorted(clusters, sums["cluster"].to_numpy()), sums["n"].to_numpy()
+        if len(n):
+            new[at] = matrix(sums["sums"]) / n[:, None]
+        now, before = (clusters, new), now
+        rows_of = lambda c: pa.FixedSizeListArray.from_arrays(pa.array(c.ravel()), c.shape[1]).cast(pa.list_(pa.float64()))
+        table = pa.table({"cluster": pa.array(clusters.astype(np.int32)), "center": rows_of(new), "before": rows_of(before[1])})
+        spark.createDataFrame(table).write.mode("overwrite").parquet(f"{state}/iteration={iteration}")
+        ratio = sums["n_changed"].to_numpy().sum() / max(n.sum(), 1)
+        if iteration > 1 and ratio < limit:
             break
         if max_iterations is not None and iteration >= max_iterations:
             warnings.warn(f"k-means ended unconverged at pass {iteration}: a share of {ratio} of the rows still changed", stacklevel=2)
             break
-    return state, centers, iteration
+    saved = saved_centers(spark, state, iteration)
+    return assign(rows, saved.select("cluster", F.col("before").alias("center"))), saved.select("cluster", "center"), iteration
 
 
 def join_assignments(vectors: DataFrame, assigned: DataFrame) -> DataFrame:

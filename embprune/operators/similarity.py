@@ -1,12 +1,15 @@
 """Similarity of a large base against a set of queries: top-k, maxima, thresholds, violations.
 
-Similarity is the inner product in 64-bit floats. The query matrix is broadcast in blocks of at most `QUERY_BYTES`; a larger
-query set is taken block after block against all rows, and the partial results are merged by key. The base is never
-shuffled: each task keeps only its own best rows.
+Similarity is the inner product in 64-bit floats. The base is never shuffled: queries are broadcast as matrices of at most
+`QUERY_BYTES` and each task keeps its own best. Results for each base row (maxima, violations) come from one pass that goes
+through all matrices for each batch, or through `PASS_BYTES` of them at a time, with what was found so far written with the
+rows in between. Results for each query (top-k, best) take one pass for each matrix, which bounds what a task holds of them.
+So nothing depends on the number of matrices. Vectors of different lengths are an error.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -15,33 +18,87 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import best_first, matrix
+from ..sources.tables import stage_table
 
-#: Bytes of query vectors that are broadcast at once.
+#: Bytes of query vectors in one matrix.
 QUERY_BYTES = 64 << 20
+#: Bytes of query vectors that a worker holds in one pass.
+PASS_BYTES = 512 << 20
 #: Similarities that a task holds at once.
 CELLS = 1 << 22
+#: Candidates (query, id, sim) that a task keeps for one chunk.
+KEPT = 1 << 22
 
 
-def query_blocks(queries: DataFrame, id_col: str = "id", vector_col: str = "embedding", more: list[str] = (), most: int = QUERY_BYTES):
-    """Yields (ids, matrix, *more) by ascending id, as many blocks as their size asks for."""
-    size = queries.agg(F.sum(F.size(vector_col).cast("long") * 8)).first()[0] or 0
-    blocks = max(1, -(-size // most))
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)
-        rows = sorted(part.select(id_col, vector_col, *more).where(F.col(vector_col).isNotNull()).collect(), key=lambda r: r[0])
-        if rows:
-            yield (np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), *(np.array([r[2 + i] for r in rows]) for i in range(len(more))))
+def query_blocks(queries: DataFrame, id_col: str = "id", vector_col: str = "embedding", more: list[str] = (), most: int | None = None) -> Iterator[tuple]:
+    """Yields (ids, matrix, *more) by ascending id, as many blocks as their size asks for; rows without a vector are left out.
 
-
-def _parts(batch: pa.RecordBatch, vector: int, n_queries: int):
-    """Slices of a batch with their vectors, small enough for CELLS similarities."""
-    step = max(1, CELLS // max(n_queries, 1))
+    A block holds a range of ids. One after the other comes to the driver, as Arrow columns; the ids alone come at once.
+    """
+    most = most or QUERY_BYTES
+    queries = queries.where(F.col(vector_col).isNotNull()).withColumn("__id", F.col(id_col).cast("long"))
+    total = queries.agg(F.sum(F.size(vector_col).cast("long") * 8).alias("bytes"), F.count("*").alias("n")).first()
+    if not total.n:
+        return
+    blocks = max(1, -(-(total.bytes or 0) // most))
+    ids = np.zeros(0, np.int64) if blocks == 1 else np.unique(queries.select("__id").toArrow()["__id"].to_numpy())
+    for own in [None] if blocks == 1 else np.array_split(ids, min(blocks, len(ids))):
+        part = queries if own is None else queries.where(F.col("__id").between(int(own[0]), int(own[-1])))
+        table = part.select("__id", F.col(vector_col).alias("__vector"), *more).toArrow().sort_by("__id")
+        yield (table["__id"].to_numpy(), matrix(table["__vector"]), *(table[m].to_numpy() for m in more))
+
+
+def slices(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch that have at most CELLS similarities with `width` queries."""
+    step = max(1, CELLS // max(width, 1))
     for i in range(0, batch.num_rows, step):
-        part = batch.slice(i, step)
-        yield part, matrix(part.column(vector))
+        yield batch.slice(i, step)
+
 
+def over_rows(rows: DataFrame, vector_col: str, blocks: Iterator[tuple], state: str, fold: Callable, keep_vector: bool = False) -> DataFrame | None:
+    """`rows`, without their vector unless `keep_vector`, with the columns of `state` after a `fold` for every block; None without blocks.
+
+    `fold(own, vectors, before, *block)` takes the first column of some rows and their vectors. `before` and its result are
+    lists of Arrow arrays, one for each column of `state`; `before` is None for the first block. Rows without a vector get
+    nulls. One pass holds PASS_BYTES of blocks; between passes the rows are written.
+    """
+    context, names = rows.sparkSession.sparkContext, [c.split()[0] for c in state.split(", ")]
+    n, vector = len(rows.columns), rows.columns.index(vector_col)
 
-def _over_blocks(base: DataFrame, blocks, make, schema: str) -> DataFrame:
+    def one_pass(df: DataFrame, held: list, first: bool, last: bool) -> DataFrame:
+        keep = [i for i in range(n) if keep_vector or not (last and i == vector)]
+        schema = ", ".join(f"`{df.schema[i].name}` {df.schema[i].dataType.simpleString()}" for i in keep) + f", {state}"
+
+        def run(batches):
+            width = max(len(h.value[0]) for h in held)
+            for batch in batches:
+                for part in slices(batch, width):
+                    there = np.flatnonzero(part.column(vector).is_valid().to_numpy(zero_copy_only=False))
+                    known = part.take(pa.array(there))
+                    own, x = known.column(0).to_numpy(zero_copy_only=False), matrix(known.column(vector))
+                    found = None if first else [known.column(n + i) for i in range(len(names))]
+                    for h in held:
+                        found = fold(own, x, found, *h.value)
+                    if len(there) < part.num_rows:
+                        place = np.full(part.num_rows, -1)
+                        place[there] = np.arange(len(there))
+                        found = [f.take(pa.array(place, mask=place < 0)) for f in found]
+                    yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *found], [*(part.schema.names[i] for i in keep), *names])
+
+        return df.mapInArrow(run, schema)
+
+    done, held, size = rows, [], 0
+    for block in blocks:
+        if held and size + block[1].nbytes > PASS_BYTES:
+            done = stage_table(one_pass(done, held, done is rows, False), "similarities")
+            held, size = [], 0
+        held.append(context.broadcast(block))
+        size += block[1].nbytes
+    return one_pass(done, held, done is rows, True) if held else None
+
+
+def over_queries(base: DataFrame, blocks: Iterator[tuple], make: Callable, schema: str) -> DataFrame:
+    """The union of a pass over `base` for each block; a query is in one block only."""
     spark = base.sparkSession
     found = [base.mapInArrow(make(spark.sparkContext.broadcast(b)), schema) for b in blocks]
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
@@ -50,7 +107,8 @@ def _over_blocks(base: DataFrame, blocks, make, schema: str) -> DataFrame:
 def topk_by_chunk(queries: DataFrame, base: DataFrame, k: int, chunk_col: str) -> DataFrame:
     """(chunk, query_id, id, sim, rank): in each chunk of `base` (id, embedding, chunk) the k most similar rows for each query.
 
-    Most similar first, ties to the smaller id. Fewer than k rows in a chunk give fewer rows.
+    Most similar first, ties to the smaller id. Fewer than k rows in a chunk give fewer rows, no queries none. Rows without a
+    vector take no part.
     """
 
     def make(held):
@@ -58,7 +116,8 @@ def topk_by_chunk(queries: DataFrame, base: DataFrame, k: int, chunk_col: str) -
             ids, q = held.value
             best: dict = {}
             for batch in batches:
-                for part, x in _parts(batch, 1, len(ids)):
+                for part in slices(batch, len(ids)):
+                    x = matrix(part.column(1))
                     chunks, own = part.column(2).to_numpy(zero_copy_only=False), part.column(0).to_numpy()
                     for c in np.unique(chunks).tolist():
                         at = chunks == c
@@ -73,7 +132,9 @@ def topk_by_chunk(queries: DataFrame, base: DataFrame, k: int, chunk_col: str) -
         return run
 
     rows = base.select("id", "embedding", F.col(chunk_col).cast("long").alias("chunk")).where(F.col("embedding").isNotNull())
-    found = _over_blocks(rows, query_blocks(queries), make, "chunk long, query_id long, id long, sim double")
+    width = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
+    blocks = query_blocks(queries, most=min(QUERY_BYTES, 8 * width * max(1, KEPT // k)))
+    found = over_queries(rows, blocks, make, "chunk long, query_id long, id long, sim double")
     rank = F.row_number().over(Window.partitionBy("chunk", "query_id").orderBy(F.desc("sim"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -85,92 +146,120 @@ def merge_candidates(candidates: DataFrame, k: int, ascending: bool = False) ->
     return candidates.select("query_id", "id", "sim").withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def union_chunks(parts: list[DataFrame]) -> DataFrame:
+    """The results of chunks as one table, columns by name; at least one chunk."""
+    return reduce(DataFrame.unionByName, parts)
+
+
 def topk(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     """(query_id, id, sim, rank): the k most similar rows of `base` for each query, however the base is dealt."""
     return merge_candidates(topk_by_chunk(queries, base.withColumn("__chunk", F.lit(0)), k, "__chunk"), k)
 
 
-def max_sims(base: DataFrame, queries: DataFrame) -> DataFrame:
-    """(id, max_sim, nearest_query) for every row of `base`; ties to the smaller query."""
+def best_of_blocks(own: np.ndarray, x: np.ndarray, before: list | None, ids: np.ndarray, q: np.ndarray) -> list[pa.Array]:
+    """The largest similarity of each row so far and its query; ties to the smaller id."""
+    sims = x @ q.T
+    at = sims.argmax(1)
+    top, who = sims[np.arange(len(at)), at], ids[at]
+    if before is not None:
+        old, old_who = before[0].to_numpy(), before[1].to_numpy()
+        keep = (old > top) | ((old == top) & (old_who < who))
+        top, who = np.where(keep, old, top), np.where(keep, old_who, who)
+    return [pa.array(top), pa.array(who)]
 
-    def make(held):
-        def run(batches):
-            ids, q = held.value
-            for batch in batches:
-                for part, x in _parts(batch, 1, len(ids)):
-                    sims = x @ q.T
-                    at = sims.argmax(1)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sims[np.arange(len(at)), at]), pa.array(ids[at])], ["id", "max_sim", "nearest_query"])
 
-        return run
+def max_sims(base: DataFrame, queries: DataFrame) -> DataFrame:
+    """(id, max_sim, nearest_query) for every row of `base` with a vector, repeated ids too; ties to the smaller query.
 
-    blocks = list(query_blocks(queries))
+    Without queries there are no rows.
+    """
     rows = base.select("id", "embedding").where(F.col("embedding").isNotNull())
-    found = _over_blocks(rows, blocks, make, "id long, max_sim double, nearest_query long")
-    if len(blocks) <= 1:
-        return found
-    best = F.max_by(F.struct("max_sim", "nearest_query"), F.struct("max_sim", (-F.col("nearest_query")).alias("q")))
-    return found.groupBy("id").agg(best.alias("b")).select("id", "b.max_sim", "b.nearest_query")
+    found = over_rows(rows, "embedding", query_blocks(queries), "max_sim double, nearest_query bigint", best_of_blocks)
+    empty = base.sparkSession.createDataFrame([], "id long, max_sim double, nearest_query long")
+    return empty if found is None else found
 
 
 def per_query_best(queries: DataFrame, base: DataFrame) -> DataFrame:
-    """(query_id, threshold): the highest similarity of each query to any row of `base`."""
+    """(query_id, threshold): the highest similarity of each query to any row of `base`; no row for a query without any."""
 
     def make(held):
         def run(batches):
             ids, q = held.value
             best = np.full(len(ids), -np.inf)
             for batch in batches:
-                for _, x in _parts(batch, 0, len(ids)):
-                    best = np.maximum(best, (q @ x.T).max(1))
+                for part in slices(batch, len(ids)):
+                    best = np.maximum(best, (q @ matrix(part.column(0)).T).max(1))
             seen = best > -np.inf
             yield pa.RecordBatch.from_arrays([pa.array(ids[seen]), pa.array(best[seen])], ["query_id", "sim"])
 
         return run
 
-    found = _over_blocks(base.select("embedding").where(F.col("embedding").isNotNull()), query_blocks(queries), make, "query_id long, sim double")
+    found = over_queries(base.select("embedding").where(F.col("embedding").isNotNull()), query_blocks(queries), make, "query_id long, sim double")
     return found.groupBy("query_id").agg(F.max("sim").alias("threshold"))
 
 
-def violations(queries: DataFrame, pool: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """(id, query_id, sim): each pool row that is more similar to a query than the query's threshold, with the smallest such query.
+def _needed(threshold: str, query: str) -> F.Column:
+    """The threshold; a query without one is an error."""
+    return F.coalesce(F.col(threshold), F.raise_error(F.concat(F.lit("no threshold for query "), F.col(query).cast("string"))).cast("double"))
 
-    One pass over the pool, nothing shuffled but violators. A query without threshold takes no part. A repeated id keeps one
-    row: the smallest query, then the highest similarity.
-    """
 
-    def make(held):
-        def run(batches):
-            ids, q, limit = held.value
-            for batch in batches:
-                for part, x in _parts(batch, 1, len(ids)):
-                    sims = x @ q.T
-                    over = sims > limit
-                    at = over.argmax(1)
-                    hit = np.flatnonzero(over[np.arange(len(at)), at])
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(hit)), pa.array(ids[at[hit]]), pa.array(sims[hit, at[hit]])], ["id", "query_id", "sim"])
+def with_thresholds(queries: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Queries that have a vector with their `threshold`, a written table; a query without one is an error."""
+    known = queries.where(F.col("embedding").isNotNull()).join(thresholds.select(F.col("query_id").alias("id"), "threshold"), "id", "left")
+    return stage_table(known.withColumn("threshold", _needed("threshold", "id")), "thresholds")
 
-        return run
 
-    known = queries.join(thresholds.withColumnRenamed("query_id", "id"), "id")
+def violations_of_sets(queries: DataFrame, pool: DataFrame, thresholds: DataFrame, set_col: str = "eval_set") -> DataFrame:
+    """(eval_set, id, query_id, sim): for each evaluation set in `queries`, each pool row that is more similar to one of its queries
+    than the query's threshold, with the smallest such query.
+
+    One pass over the pool for all sets, nothing shuffled but violators. The sets are few and named by rows of the table. A
+    query without threshold is an error, no queries give no rows. A repeated id keeps one row for each set: the smallest
+    query, then the highest similarity.
+    """
+    known = with_thresholds(queries.select("id", "embedding", F.col(set_col).alias("eval_set")), thresholds)
+    names = sorted(r[0] for r in known.select("eval_set").distinct().collect())
+    number = F.array_position(F.array(*map(F.lit, names)), F.col("eval_set")).cast("int") - 1 if names else F.lit(0)
+    none = np.iinfo(np.int64).max
+
+    def fold(own, x, before, ids, q, limit, of):
+        sims = x @ q.T
+        over = sims > limit
+        who = np.full((len(x), len(names)), none) if before is None else before[0].flatten().to_numpy().reshape(len(x), -1).copy()
+        sim = np.zeros((len(x), len(names))) if before is None else before[1].flatten().to_numpy().reshape(len(x), -1).copy()
+        for s in range(len(names)):
+            mine = np.flatnonzero(of == s)
+            if len(mine):
+                first = over[:, mine].argmax(1)
+                at = mine[first]
+                better = over[np.arange(len(x)), at] & (ids[at] < who[:, s])
+                who[better, s], sim[better, s] = ids[at[better]], sims[better, at[better]]
+        as_list = lambda a: pa.FixedSizeListArray.from_arrays(pa.array(a.ravel()), len(names)).cast(pa.list_(pa.from_numpy_dtype(a.dtype)))
+        return [as_list(who), as_list(sim)]
+
     rows = pool.select("id", "embedding").where(F.col("embedding").isNotNull())
-    found = _over_blocks(rows, query_blocks(known, more=["threshold"]), make, "id long, query_id long, sim double")
-    return found.groupBy("id").agg(F.min_by(F.struct("query_id", "sim"), F.struct("query_id", (-F.col("sim")).alias("s"))).alias("v")).select("id", "v.query_id", "v.sim")
+    blocks = query_blocks(known.withColumn("of", number), more=["threshold", "of"]) if names else iter(())
+    found = over_rows(rows, "embedding", blocks, "who array<bigint>, how array<double>", fold)
+    if found is None:
+        return pool.sparkSession.createDataFrame([], "eval_set string, id long, query_id long, sim double")
+    sets = F.array(*map(F.lit, names))
+    hits = found.select("id", F.explode(F.filter(F.arrays_zip(sets.alias("eval_set"), F.col("who"), F.col("how")), lambda h: h["who"] < none)).alias("h"))
+    one = F.min_by(F.struct("h.who", "h.how"), F.struct("h.who", -F.col("h.how"))).alias("v")
+    return hits.groupBy("h.eval_set", "id").agg(one).select("eval_set", "id", F.col("v.who").alias("query_id"), F.col("v.how").alias("sim"))
+
+
+def violations(queries: DataFrame, pool: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """(id, query_id, sim): as `violations_of_sets`, with all queries as one set."""
+    return violations_of_sets(queries.withColumn("eval_set", F.lit("all")), pool, thresholds).drop("eval_set")
 
 
 def threshold_candidates(candidates: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Candidates strictly above their own query's threshold; a query without one takes no part."""
-    return candidates.join(thresholds, "query_id").where(F.col("sim") > F.col("threshold")).drop("threshold")
+    """Candidates strictly above their own query's threshold; a candidate of a query without one is an error."""
+    known = candidates.join(thresholds.select("query_id", "threshold"), "query_id", "left")
+    return known.where(F.col("sim") > _needed("threshold", "query_id")).drop("threshold")
 
 
 def violations_unique(candidates: DataFrame) -> DataFrame:
     """(id, query_id, sim): one row for each base id, that of the smallest query, then of the best rank."""
     first = F.min_by(F.struct("query_id", "sim"), F.struct("query_id", "rank"))
     return candidates.groupBy("id").agg(first.alias("v")).select("id", "v.query_id", "v.sim")
-
-
-def violations_of_sets(queries: DataFrame, pool: DataFrame, thresholds: DataFrame, set_col: str = "eval_set") -> DataFrame:
-    """(eval_set, id, query_id, sim) over all evaluation sets in `queries`; the sets are few and named by rows of the table."""
-    names = sorted(r[0] for r in queries.select(set_col).distinct().collect())
-    found = [violations(queries.where(F.col(set_col) == n), pool, thresholds).select(F.lit(n).alias("eval_set"), "id", "query_id", "sim") for n in names]
-    return reduce(DataFrame.union, found)

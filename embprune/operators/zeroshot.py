@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalize
-from .similarity import _over_blocks, _parts, query_blocks
+from .similarity import best_of_blocks, over_rows, query_blocks
 
 
 def expand_prompts(classes: DataFrame, templates: DataFrame) -> DataFrame:
@@ -30,51 +30,32 @@ def class_prototypes(prompts: DataFrame) -> DataFrame:
 
 
 def logits(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, logits): inner products with all classes, by class id; needs all classes in one block."""
-    blocks = list(query_blocks(classes, "class_id"))
-    if len(blocks) > 1:
-        raise ValueError("logits of all classes do not fit one row; use predict")
+    """(id, logits): inner products with all classes, by class id; null for a row without a vector. No classes give no rows."""
 
-    def make(held):
-        def run(batches):
-            ids, c = held.value
-            for batch in batches:
-                for part, x in _parts(batch, 1, len(ids)):
-                    values = pa.array((x @ c.T).ravel())
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(values, len(ids)).cast(pa.list_(pa.float64()))], ["id", "logits"])
+    def fold(own, x, before, ids, c):
+        found = x @ c.T
+        if before is not None and len(x):
+            found = np.hstack((before[0].flatten().to_numpy().reshape(len(x), -1), found))
+        return [pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1]).cast(pa.list_(pa.float64()))]
 
-        return run
-
-    return _over_blocks(rows.select("id", "embedding"), blocks, make, "id long, logits array<double>")
+    found = over_rows(rows.select("id", "embedding"), "embedding", query_blocks(classes, "class_id"), "logits array<double>", fold)
+    return rows.sparkSession.createDataFrame([], "id long, logits array<double>") if found is None else found
 
 
 def predict(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, pred, logit): the class of the largest inner product, ties to the lowest class id."""
-
-    def make(held):
-        def run(batches):
-            ids, c = held.value
-            for batch in batches:
-                for part, x in _parts(batch, 1, len(ids)):
-                    s = x @ c.T
-                    at = s.argmax(1)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids[at]), pa.array(s[np.arange(len(at)), at])], ["id", "pred", "logit"])
-
-        return run
+    """(id, pred, logit): the class of the largest inner product, ties to the lowest class id; repeated ids stay rows of their own.
 
-    blocks = list(query_blocks(classes, "class_id"))
-    found = _over_blocks(rows.select("id", "embedding"), blocks, make, "id long, pred long, logit double")
-    if len(blocks) <= 1:
-        return found
-    best = F.max_by(F.struct("pred", "logit"), F.struct("logit", (-F.col("pred")).alias("p")))
-    return found.groupBy("id").agg(best.alias("b")).select("id", "b.pred", "b.logit")
+    A row without a vector has nulls. No classes give no rows.
+    """
+    found = over_rows(rows.select("id", "embedding"), "embedding", query_blocks(classes, "class_id"), "logit double, pred bigint", best_of_blocks)
+    return rows.sparkSession.createDataFrame([], "id long, pred long, logit double") if found is None else found.select("id", "pred", "logit")
 
 
 def masked_predict(rows: DataFrame, classes: DataFrame, allowed: DataFrame) -> DataFrame:
-    """(id, pred): the best of the allowed classes, in their own numbering."""
+    """(id, pred): the best of the allowed classes, in their own numbering; null for a row without a vector."""
     part = class_subset(classes, allowed)
     best = predict(rows, part)
-    return best.join(F.broadcast(part.select(F.col("class_id").alias("pred"), "sub_id")), "pred").select("id", F.col("sub_id").alias("pred"))
+    return best.join(part.select(F.col("class_id").alias("pred"), "sub_id"), "pred", "left").select("id", F.col("sub_id").alias("pred"))
 
 
 def accuracy(predictions: DataFrame, *keys: str) -> DataFrame:

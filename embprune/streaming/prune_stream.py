@@ -7,16 +7,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.blocks import matrix
-from ..operators.similarity import CELLS, query_blocks
+from ..operators.similarity import CELLS, query_blocks, with_thresholds
 
 
 def prune_stream(rows: DataFrame, queries: DataFrame, thresholds: DataFrame, vector_col: str = "embedding") -> DataFrame:
     """The rows of a stream (or table) that violate no query: no similarity is strictly above the query's threshold.
 
     Works for every output mode and sink. Rows without a vector stay. Query blocks beyond the first are further passes over
-    what is left, in the same stage.
+    what is left, in the same stage. A query without threshold is an error.
     """
-    known = queries.join(thresholds.withColumnRenamed("query_id", "id"), "id")
+    known = with_thresholds(queries.select("id", "embedding"), thresholds)
     at = rows.columns.index(vector_col)
     for block in query_blocks(known, more=["threshold"]):
         held = rows.sparkSession.sparkContext.broadcast(block)

@@ -63,12 +63,14 @@ def test_blocks_of_queries_give_the_same(cloud, monkeypatch):
     queries, base = rows.where("id < 40"), rows.where("id >= 40")
     th = similarity.per_query_best(queries, base.where("id < 60"))
     runs = []
-    whole = similarity.query_blocks
-    for most in (similarity.QUERY_BYTES, 8 * 8 * 7):
-        monkeypatch.setattr(similarity, "query_blocks", lambda q, *a, most=most, **k: whole(q, *a, **(k | {"most": most})))
-        frames = (similarity.max_sims(base, queries), similarity.violations(queries, base, th), similarity.topk(queries, base, 3), similarity.per_query_best(queries, base))
-        runs.append([rounded(df) for df in frames])
-    assert runs[0] == runs[1]
+    twice = base.union(base.where("id < 50"))  # repeated ids stay rows of their own
+    classes = queries.withColumnRenamed("id", "class_id")
+    for block, of_pass in ((similarity.QUERY_BYTES, similarity.PASS_BYTES), (8 * 8 * 7, similarity.PASS_BYTES), (8 * 8 * 7, 8 * 8 * 15)):
+        monkeypatch.setattr(similarity, "QUERY_BYTES", block)
+        monkeypatch.setattr(similarity, "PASS_BYTES", of_pass)
+        frames = (similarity.max_sims(twice, queries), similarity.violations(queries, base, th), similarity.topk(queries, base, 3), similarity.per_query_best(queries, base), zeroshot.predict(twice, classes))
+        runs.append([rounded(df) for df in frames] + [[(i, [round(x, 9) for x in v]) for i, v in sorted(map(tuple, zeroshot.logits(twice, classes).collect()))]])
+    assert runs[0] == runs[1] == runs[2] and len(runs[0][0]) == twice.count() == len(runs[0][4])
 
 
 def test_fused_and_chained_violations_agree(cloud):
@@ -128,14 +130,65 @@ def test_blocked_maxima_equal_unblocked(cloud):
     assert whole == blocked and len(whole) == 298
 
 
-def test_kmeans_reaches_a_fixed_point_and_resumes(cloud):
+def test_kmeans_reaches_a_fixed_point_and_resumes_from_its_state(cloud, spark, tmp_path):
+    _, rows = cloud
+    seeds, state = kmeans.seed_centers(rows, 5, 1), f"file://{tmp_path}/state"
+    done, centers, n = kmeans.fit(rows, seeds)
+    want = sorted((r.id, r.cluster) for r in done.collect())
+    assert kmeans.change_ratio(kmeans.assign(done, centers)).first().ratio == 0 and n > 1
+    with pytest.warns(UserWarning, match="unconverged at pass 2"):
+        kmeans.fit(rows, seeds, max_iterations=2, state=state)
+    again, _, m = kmeans.fit(rows.withColumn("more", F.lit(1)), None, first=2, state=state)
+    assert m == n and sorted((r.id, r.cluster) for r in again.collect()) == want
+    # The centres stored under an iteration are the means of its assignment.
+    saved = kmeans.saved_centers(spark, state, 2)
+    of_2 = kmeans.assign(rows, saved.select("cluster", F.col("before").alias("center")))
+    means = {r.cluster: r.center for r in kmeans.update(of_2, saved).collect()}
+    assert all(np.allclose(r.center, means[r.cluster]) for r in saved.collect())
+
+
+@pytest.mark.parametrize("name, value", [("PASS_BYTES", 0), ("QUERY_BYTES", 128)])
+def test_kmeans_does_not_depend_on_blocks_of_centres(cloud, monkeypatch, name, value):
     _, rows = cloud
     seeds = kmeans.seed_centers(rows, 5, 1)
-    state, centers, n = kmeans.fit(rows, seeds)
-    assert kmeans.change_ratio(kmeans.assign(state, centers)).first().ratio == 0 and n > 1
-    half = kmeans.fit(rows, seeds, max_iterations=2)
-    again = kmeans.fit(half[0], half[1], first=2)
-    assert sorted((r.id, r.cluster) for r in again[0].collect()) == sorted((r.id, r.cluster) for r in state.collect())
+    want = kmeans.fit(rows, seeds)
+    for module in (kmeans, similarity):
+        monkeypatch.setattr(module, name, value)
+    got = kmeans.fit(rows, seeds)
+    assert got[2] == want[2] and rounded(got[0].select("id", "cluster")) == rounded(want[0].select("id", "cluster"))
+
+
+def test_rows_without_a_vector_and_no_centres(spark):
+    rows = table(spark, [(1, None), (2, [1.0]), (3, [2.0]), (3, [2.0])])
+    centers = table(spark, [(4, [0.0]), (2, [2.0]), (0, [0.0])], "cluster int, center array<double>")
+    assert sorted(((r.id, r.cluster) for r in kmeans.assign(rows, centers).collect()), key=repr) == [(1, None), (2, 0), (3, 2), (3, 2)]
+    assert {r.cluster: r.center for r in kmeans.fit(rows, centers)[1].collect()} == {0: [1.0], 2: [2.0], 4: [0.0]}
+    assert {r.cluster: r.center for r in kmeans.fit(rows.limit(0), centers)[1].collect()} == {0: [0.0], 2: [2.0], 4: [0.0]}
+    for f in (kmeans.assign, kmeans.fit):
+        with pytest.raises(ValueError, match="no centres"):
+            f(rows, centers.limit(0))
+    classes = table(spark, [(7, [1.0]), (3, [1.0])], "class_id int, embedding array<float>")
+    assert sorted(((r.id, r.pred) for r in zeroshot.predict(rows, classes).collect()), key=repr) == [(1, None), (2, 3), (3, 3), (3, 3)]
+    assert sorted(((r.id, r.logits) for r in zeroshot.logits(rows, classes).collect()), key=repr) == [(1, None), (2, [1.0, 1.0]), (3, [2.0, 2.0]), (3, [2.0, 2.0])]
+    assert zeroshot.predict(rows, classes.limit(0)).collect() == []
+
+
+def test_ragged_vectors_are_refused(spark):
+    ragged, query = table(spark, [(1, [36.0]), (2, [1.0, 2.0, 3.0])]), table(spark, [(9, [0.0, 1.0])])
+    with pytest.raises(Exception, match="of one length"):
+        similarity.max_sims(ragged.repartition(1), query).collect()
+
+
+def test_missing_thresholds_are_an_error_and_no_queries_give_no_rows(spark):
+    rows = table(spark, [(1, [1.0]), (2, [0.5])])
+    th = table(spark, [(1, 0.1)], "query_id long, threshold double")
+    candidates = table(spark, [(2, 1, 0.5, 1)], "query_id long, id long, sim double, rank int")
+    for make in (lambda: similarity.violations(rows, rows, th), lambda: similarity.threshold_candidates(candidates, th)):
+        with pytest.raises(Exception, match="no threshold for query 2"):
+            make().collect()
+    none = rows.limit(0)
+    assert similarity.violations_of_sets(none.withColumn("eval_set", F.lit("a")), rows, th).collect() == []
+    assert similarity.max_sims(rows, none).collect() == [] and similarity.topk(none, rows, 3).collect() == []
 
 
 def test_empty_clusters_keep_their_centre(spark):
@@ -154,6 +207,28 @@ def test_close_centres_are_both_replaced(spark):
         kmeans.dedup_centers(centers, spares.limit(1))
 
 
+def test_centres_are_replaced_round_by_round_as_by_hand(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own, used, rounds = list(range(30)), 30, 0
+    while True:
+        s = x[own] @ x[own].T
+        np.fill_diagonal(s, -1)
+        close = np.flatnonzero((s > 0.97).any(1)).tolist()
+        if not close:
+            break
+        for c in close:
+            own[c] = used
+            used += 1
+        rounds += 1
+    schema = "cluster int, id long, center array<double>"
+    centers = table(spark, [(i, i, x[i].tolist()) for i in range(30)], schema)
+    spares = table(spark, [(i - 30, i, x[i].tolist()) for i in range(30, 400)], "at int, id long, center array<double>")
+    got = kmeans.dedup_centers(centers, spares, 0.97)
+    assert rounds > 2 and {r.cluster: r.id for r in got.collect()} == dict(enumerate(own))
+
+
 def test_shards_roll_after_an_input_shard(spark):
     counts = table(spark, [("a", 60), ("b", 60), ("c", 10)], "shard string, n long")
     got = {r.shard: r.out_shard for r in samples.assign_output_shards(counts, 100).collect()}
@@ -212,9 +287,9 @@ def test_kmeans_goes_to_the_change_bound_and_says_where_it_does_not(cloud, spark
         if before is not None and (at == before).all():
             break
         before = at
-    assert passes > cluster_jobs.PASSES
+    assert 3 < passes < cluster_jobs.SQL_PASSES
     want = {r.vec_id: c for r, c in zip(rows, at.tolist())}
-    for name in ("kmeans_fit_whole", "kmeans_resume_whole"):
+    for name in ("kmeans_fit", "kmeans_resume"):
         assert {r.id: r.cluster for r in jobs()[name](spark, "/root/testdata/sf0.001").collect()} == want
     with pytest.warns(UserWarning, match="unconverged at pass 2"):
         kmeans.fit(cloud[1], kmeans.seed_centers(cloud[1], 5, 1), max_iterations=2)
