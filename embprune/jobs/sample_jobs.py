@@ -6,27 +6,38 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import norm
 from ..operators import samples, subsets, zeroshot
-from ..sources import embeddings, shards
-from ..sources.tables import read_table
+from ..sources import embeddings, files, shards
+from ..sources.tables import new_path, read_table, stage_table
 from . import roles
 from .roles import ALLOWED, TEMPLATES
 from .roles import SQL_ROLES as R
 
 BASE_SIZE, PER_SHARD, WORKERS, FIRST = 100_000, 100, 3, 50
+#: Rows of a chunk, conversations of a shard and documents of a file: their numbers grow with the tables.
+CHUNK_ROWS, TALKS, PAGE = 64, 20, 100
 
 
 def load_embeddings(spark, d):
     return roles.vectors(spark, d).select("id", "label", F.size("embedding").alias("dim"), F.round(norm(F.col("embedding")), 6).alias("length"))
 
 
+def _ranked(spark, d):
+    place = F.col("rank") - 1
+    ranked = subsets.global_rank(roles.vectors(spark, d).select("id", "embedding"), "id")
+    return ranked.select(F.floor(place / CHUNK_ROWS).alias("chunk"), (place % CHUNK_ROWS).alias("pos"), "id", "embedding")
+
+
 def _chunks(spark, d):
-    v = roles.vectors(spark, d).withColumn("chunk", F.col("id") % 7)
-    return embeddings.npy_rows(embeddings.npy_files(v, "chunk", "id"))
+    folder = new_path(spark, "npy")
+    files.write_files(embeddings.npy_files(_ranked(spark, d), "chunk", "pos"), folder).count()
+    return embeddings.read_npy(spark, f"{folder}/*.npy")
 
 
-def _ids(spark, d):
-    # Ids of a chunk by position: what a metadata file beside the matrix holds.
-    return roles.vectors(spark, d).selectExpr("id % 7 AS chunk", "row_number() OVER (PARTITION BY id % 7 ORDER BY id) - 1 AS pos", "id")
+def _metadata(spark, d):
+    """Numbered metadata files in the shared folder, and their numbers."""
+    folder, rows = new_path(spark, "metadata"), _ranked(spark, d).select("chunk", "pos", "id")
+    written = files.write_files(embeddings.metadata_files(rows, "chunk", "pos"), folder)
+    return folder, range(written.count())
 
 
 def read_npy_chunks(spark, d):
@@ -34,7 +45,9 @@ def read_npy_chunks(spark, d):
 
 
 def zip_chunk_metadata(spark, d):
-    return embeddings.zip_metadata(_chunks(spark, d), _ids(spark, d)).select("chunk", "pos", "id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+    folder, numbers = _metadata(spark, d)
+    ids = embeddings.read_metadata(spark, folder, "metadata", list(numbers))
+    return embeddings.zip_metadata(_chunks(spark, d), ids).select("chunk", "pos", "id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
 
 
 def positional_ids(spark, d):
@@ -42,31 +55,50 @@ def positional_ids(spark, d):
 
 
 def read_metadata_chunk(spark, d):
-    rows = _ids(spark, d).withColumn("chunk", F.col("chunk") * 30).groupBy("chunk").agg(F.count("*").alias("n"))
-    return rows.withColumn("file", F.format_string("metadata_%02d.parquet", "chunk"))
+    folder, numbers = _metadata(spark, d)
+    rows = embeddings.read_metadata(spark, folder, "metadata", list(numbers)).withColumn("file", F.regexp_extract(F.input_file_name(), "[^/]*$", 0))
+    return rows.groupBy("file", "chunk").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("pos").alias("last_pos"))
 
 
 def image_folder_index(spark, d):
-    files = read_table(spark, d, "documents").select(F.concat(F.lit("root/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".jpg")).alias("path"))
-    return embeddings.folder_index(files)
+    docs = read_table(spark, d, "documents").select(F.concat_ws("/", "source", F.concat(F.floor(F.col("doc_id") / PAGE).cast("string"), F.lit(".txt"))).alias("path"), "doc_id")
+    pages = docs.groupBy("path").agg(F.encode(F.count("*").cast("string"), "utf-8").alias("content"))
+    folder = new_path(spark, "folders")
+    files.write_files(pages, folder).count()
+    found = embeddings.folder_index(files.list_files(spark, f"{folder}/*/*"))
+    return found.select(F.regexp_extract("path", "[^/]*/[^/]*$", 0).alias("path"), "label")
 
 
 def _members(spark, d):
     turns = read_table(spark, d, "conversations")
-    return turns.select((F.col("conv_id") % 5).cast("string").alias("shard"), F.format_string("%09d", "conv_id").alias("key"), F.col("turn").cast("string").alias("ext"), F.encode("text", "utf-8").alias("content"), F.col("turn").alias("pos"))
+    shard = F.floor(F.col("conv_id") / TALKS).cast("string")
+    return turns.select(shard.alias("shard"), F.format_string("%09d", "conv_id").alias("key"), F.col("turn").cast("string").alias("ext"), F.encode("text", "utf-8").alias("content"), F.col("turn").alias("pos"))
+
+
+def _written_shards(spark, members):
+    folder = new_path(spark, "shards")
+    listed = stage_table(shards.write_tar_shards(members, folder), "listed")
+    return folder, listed
+
+
+def _shard_name(df):
+    return df.withColumn("shard", F.regexp_extract("shard", "([^/]*)[.]tar$", 1))
 
 
 def read_tar_shards(spark, d):
-    files = shards.tar_shards(_members(spark, d).dropDuplicates(["shard", "key", "ext"]))
-    found = samples.decoded_only(shards.tar_members(files))
-    return found.select(F.regexp_replace("shard", "[.]tar$", "").alias("shard"), "key", "ext", F.length("content").alias("n_bytes"))
+    folder, _ = _written_shards(spark, _members(spark, d).dropDuplicates(["shard", "key", "ext"]))
+    found = samples.decoded_only(shards.read_tar_shards(spark, f"{folder}/*.tar"))
+    return _shard_name(found).select("shard", "key", "ext", F.length("content").alias("n_bytes"))
 
 
 def read_tolerant(spark, d):
-    text = F.regexp_extract("url", "([0-9]+)/?$", 1)
-    pages = read_table(spark, d, "pages").select("page_id", F.expr("try_cast(regexp_extract(url, '([0-9]+)/?$', 1) AS INT)").alias("number"), text.alias("text"))
-    pages = pages.withColumn("error", F.when(F.col("number").isNull(), F.concat(F.lit("no number: "), "text")))
-    return samples.decoded_only(pages.drop("text"))
+    """Members of shards decoded as numbers: those that are none are passed over, and so is what follows where a shard breaks off."""
+    pages = read_table(spark, d, "pages").select(F.floor(F.col("page_id") / PAGE).cast("string").alias("shard"), F.format_string("%09d", "page_id").alias("key"), F.lit("cls").alias("ext"), F.encode(F.regexp_extract("url", "([0-9]*)/?$", 1), "utf-8").alias("content"))
+    folder, _ = _written_shards(spark, pages)
+    broken = spark.createDataFrame([("broken.tar", bytearray(b"no tar at all" * 99))], "path string, content binary")
+    files.write_files(broken, folder).count()
+    found = samples.decoded_only(samples.decode(shards.read_tar_shards(spark, f"{folder}/*.tar"), "content", int, "bigint"))
+    return found.select(F.col("key").cast("bigint").alias("page_id"), F.col("value").alias("number"))
 
 
 def _ranked_docs(spark, d):
@@ -76,7 +108,9 @@ def _ranked_docs(spark, d):
 def write_tar_shards(spark, d):
     packed = samples.fixed_shards(_ranked_docs(spark, d), PER_SHARD)
     members = packed.select(F.col("out_shard").cast("string").alias("shard"), F.format_string("%09d", "doc_id").alias("key"), F.lit("txt").alias("ext"), F.encode("text", "utf-8").alias("content"))
-    return shards.tar_shards(members).select("path", "n_records", (F.length("content") % 512).alias("rest"))
+    folder, listed = _written_shards(spark, members)
+    back = _shard_name(shards.read_tar_shards(spark, f"{folder}/*.tar")).groupBy(F.concat("shard", F.lit(".tar")).alias("path")).agg(F.sum(F.length("content")).alias("n_bytes"))
+    return listed.join(back, "path").select("path", "n_records", "n_bytes")
 
 
 def assign_output_shards(spark, d):
@@ -198,8 +232,8 @@ def eval_subset(spark, d):
     return zeroshot.accuracy(samples.select_samples(_scored(spark, d), rows), "dataset").withColumn("accuracy", F.round("accuracy", 6))
 
 
-_POS = "SELECT vec_id % 7 AS chunk, row_number() OVER (PARTITION BY vec_id % 7 ORDER BY vec_id) - 1 AS pos, vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings"
-_M = "SELECT CAST(conv_id % 5 AS VARCHAR) AS shard, lpad(CAST(conv_id AS VARCHAR), 9, '0') AS key, CAST(turn AS VARCHAR) AS ext, octet_length(CAST(encode(text) AS BLOB)) AS n, turn FROM conversations"
+_POS = f"SELECT nr // {CHUNK_ROWS} AS chunk, nr % {CHUNK_ROWS} AS pos, id, e FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS nr, vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
+_M = f"SELECT CAST(conv_id // {TALKS} AS VARCHAR) AS shard, lpad(CAST(conv_id AS VARCHAR), 9, '0') AS key, CAST(turn AS VARCHAR) AS ext, octet_length(CAST(encode(text) AS BLOB)) AS n, turn FROM conversations"
 _LISTED = "SELECT doc_id, quality AS cls FROM labels UNION ALL SELECT doc_id, toxic FROM labels WHERE toxic = 1"
 _PROTO = f"""{R}, u AS (SELECT label AS class_id, pos, avg(x / len) AS m FROM (SELECT label, unnest(e) AS x, generate_subscripts(e, 1) AS pos, sqrt(list_dot_product(e, e)) AS len FROM t) GROUP BY label, pos),
 c AS MATERIALIZED (SELECT class_id, list(m / len ORDER BY pos) AS c FROM u JOIN (SELECT class_id, sqrt(sum(m * m)) AS len FROM u GROUP BY class_id) USING (class_id) GROUP BY class_id)"""
@@ -213,11 +247,11 @@ SQL = {
     "read_npy_chunks": f"SELECT chunk, pos, round(sqrt(list_dot_product(e, e)), 6) AS length, round(e[1], 6) AS first FROM ({_POS})",
     "zip_chunk_metadata": f"SELECT chunk, pos, id, round(e[1], 6) AS first FROM ({_POS})",
     "positional_ids": f"SELECT chunk * {BASE_SIZE} + pos AS id, chunk, pos FROM ({_POS})",
-    "read_metadata_chunk": "SELECT chunk, n, 'metadata_' || CASE WHEN chunk < 10 THEN '0' ELSE '' END || chunk || '.parquet' AS file FROM (SELECT vec_id % 7 * 30 AS chunk, count(*) AS n FROM embeddings GROUP BY 1)",
-    "image_folder_index": "SELECT 'root/' || source || '/' || doc_id || '.jpg' AS path, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS label FROM documents",
+    "read_metadata_chunk": f"SELECT 'metadata_' || CASE WHEN chunk < 10 THEN '0' ELSE '' END || chunk || '.parquet' AS file, chunk, count(*) AS n, min(id) AS first_id, max(pos) AS last_pos FROM ({_POS}) GROUP BY chunk",
+    "image_folder_index": f"SELECT path, CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS label FROM (SELECT DISTINCT source, source || '/' || (doc_id // {PAGE}) || '.txt' AS path FROM documents)",
     "read_tar_shards": f"SELECT DISTINCT shard, key, ext, CAST(n AS INTEGER) AS n_bytes FROM ({_M})",
-    "read_tolerant": "SELECT page_id, TRY_CAST(regexp_extract(url, '([0-9]+)/?$', 1) AS INTEGER) AS number FROM pages WHERE TRY_CAST(regexp_extract(url, '([0-9]+)/?$', 1) AS INTEGER) IS NOT NULL",
-    "write_tar_shards": f"SELECT s || '.tar' AS path, count(*) AS n_records, 0 AS rest FROM (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // {PER_SHARD} AS s FROM documents) GROUP BY s",
+    "read_tolerant": "SELECT page_id, TRY_CAST(regexp_extract(url, '([0-9]+)/?$', 1) AS BIGINT) AS number FROM pages WHERE TRY_CAST(regexp_extract(url, '([0-9]+)/?$', 1) AS BIGINT) IS NOT NULL",
+    "write_tar_shards": f"SELECT s || '.tar' AS path, count(*) AS n_records, CAST(sum(octet_length(CAST(encode(text) AS BLOB))) AS BIGINT) AS n_bytes FROM (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // {PER_SHARD} AS s, text FROM documents) GROUP BY s",
     "assign_output_shards": f"""WITH RECURSIVE c AS (SELECT source AS shard, count(*) AS n FROM documents GROUP BY source), o AS (SELECT shard, n, row_number() OVER (ORDER BY shard) - 1 AS nr FROM c),
 d AS (SELECT CAST(nr % {WORKERS} AS INTEGER) AS worker, nr // {WORKERS} AS i, shard, n FROM o),
 r AS (SELECT worker, i, shard, n, 0::BIGINT AS out_shard, n AS held FROM d WHERE i = 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import prune, similarity, subsets
+from ..sources.tables import new_path
 from . import roles
 from .roles import SQL_ROLES as R
 
@@ -34,7 +35,11 @@ def bottomk_candidates(spark, d):
 
 
 def union_chunks(spark, d):
-    return _chunked(spark, d).groupBy("chunk").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    """Results of chunks, each in files of its own, as one table."""
+    folder = new_path(spark, "chunk-results")
+    _chunked(spark, d).write.partitionBy("chunk").parquet(folder)
+    parts = [spark.read.parquet(f"{folder}/chunk={c}").withColumn("chunk", F.lit(c).cast("long")) for c in range(CHUNKS)]
+    return similarity.union_chunks(parts).groupBy("chunk").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
 def max_sim_per_base(spark, d):
@@ -139,7 +144,8 @@ SQL = {
     "violations_all_sets": f"WITH {R}, {_VIOL} SELECT eval_set, id, query_id, round(sim, 6) AS sim FROM vi",
     "prune_per_eval": f"WITH {R}, {_VIOL} SELECT id FROM p WHERE id NOT IN (SELECT id FROM vi WHERE eval_set = 'a')",
     "prune_combined": f"WITH {R}, {_VIOL} SELECT id FROM p WHERE id NOT IN (SELECT id FROM vi)",
-    "prune_size_check": f"WITH {R}, {_VIOL}, n AS (SELECT count(*) AS n_pool FROM p), s AS (SELECT DISTINCT eval_set FROM qs) SELECT s.eval_set, n_pool, count(vi.id) AS n_removed, n_pool - count(vi.id) AS n_kept, true AS consistent FROM n, s LEFT JOIN vi USING (eval_set) GROUP BY s.eval_set, n_pool",
+    "prune_size_check": f"""WITH {R}, {_VIOL}, s AS (SELECT DISTINCT eval_set FROM qs), x AS (SELECT s.eval_set, p.id, vi.id IS NOT NULL AS gone FROM s CROSS JOIN p LEFT JOIN vi ON vi.eval_set = s.eval_set AND vi.id = p.id),
+c AS (SELECT eval_set, (SELECT count(*) FROM p) AS n_pool, count(*) FILTER (gone) AS n_removed, count(*) FILTER (NOT gone) AS n_kept FROM x GROUP BY eval_set) SELECT *, n_removed + n_kept = n_pool AS consistent FROM c""",
     "global_rank": f"{_RANKS} SELECT id, rank FROM far",
     "random_subset": f"WITH {R} " + " UNION ALL ".join(f"(SELECT {n} AS size, id FROM p ORDER BY md5('{SEED}-{n}-' || id), id LIMIT {n})" for n in RANDOM_SIZES),
     "prune_near": f"{_RANKS} SELECT id FROM near WHERE rank <= {SIZES[1]}",

@@ -7,6 +7,10 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .subsets import global_rank
 
 
 def split_name(name: Column) -> tuple[Column, Column]:
@@ -40,6 +44,32 @@ def map_fields(samples: DataFrame, functions: dict[str, Callable[[Column], Colum
     return samples.withColumns({name: f(F.col(name)) for name, f in functions.items()})
 
 
+def decode(records: DataFrame, column: str, function: Callable[[bytes], object], kind: str) -> DataFrame:
+    """`records` with `value`, the caller's `function` of a binary column, and `error`, which says why there is none.
+
+    An error of the records before stays. `kind` is the Spark type of the values.
+    """
+    def run(batches):
+        for batch in batches:
+            values, errors = [], []
+            for content, before in zip(batch.column(column), batch.column("error").to_pylist()):
+                value, error = None, before
+                if before is None:
+                    try:
+                        value = function(content.as_py())
+                    except Exception as e:  # whatever a decoder raises is the record's error
+                        error = f"{type(e).__name__}: {e}"
+                values.append(value)
+                errors.append(error)
+            kept = [i for i, n in enumerate(batch.schema.names) if n != "error"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(errors, pa.string()), pa.array(values, made)], [*(batch.schema.names[i] for i in kept), "error", "value"])
+
+    records = records if "error" in records.columns else records.withColumn("error", F.lit(None).cast("string"))
+    schema = T.StructType([f for f in records.schema if f.name != "error"] + [T.StructField("error", T.StringType()), T.StructField("value", T._parse_datatype_string(kind))])
+    made = to_arrow_type(schema["value"].dataType)
+    return records.mapInArrow(run, schema)
+
+
 def decoded_only(records: DataFrame, error_col: str = "error") -> DataFrame:
     """Records that decoded; those with an error are passed over."""
     return records.where(F.col(error_col).isNull()).drop(error_col)
@@ -71,7 +101,7 @@ def assign_output_shards(counts: DataFrame, n_per_shard: int, n_workers: int = 1
     A worker goes on to its next output shard only after an input shard has brought the present one above `n_per_shard`. The
     table has a row for each input shard; a worker's share of it is one task.
     """
-    ordered = counts.selectExpr("shard", "n", "row_number() OVER (ORDER BY shard) - 1 AS at")
+    ordered = global_rank(counts.select("shard", "n"), "shard").withColumn("at", F.col("rank") - 1)
     dealt = ordered.select((F.col("at") % n_workers).cast("int").alias("worker"), "shard", F.col("n").cast("long").alias("n"))
 
     def pack(table: pa.Table) -> pa.Table:

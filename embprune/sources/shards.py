@@ -1,80 +1,92 @@
-"""Tar shards of samples: members to rows and rows to shards."""
+"""Tar shards of samples: members to rows and rows to shards, as streams in the workers."""
 
 from __future__ import annotations
 
 import io
 import tarfile
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import LOT_BYTES, list_files, new_file, open_input
 
-def tar_members(files: DataFrame) -> DataFrame:
-    """(shard, pos, key, ext, content, error) for each regular member of files (path, content).
+_MEMBERS = ["shard", "pos", "key", "ext", "content", "error"]
+_KINDS = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
 
-    Names that begin and end with `__` are passed over. The key is the name without its last extension. A shard that breaks
-    off gives the members before and one row with the error.
-    """
-    names = ["shard", "pos", "key", "ext", "content", "error"]
 
-    def run(batches):
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = []
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(content.as_py()), mode="r|*") as tar:
-                        for pos, member in enumerate(tar):
-                            name = member.name
-                            if member.isreg() and not (name.startswith("__") and name.endswith("__")):
-                                key, dot, ext = name.rpartition(".")
-                                rows.append((path, pos, key if dot else name, ext if dot else "", tar.extractfile(member).read(), None))
-                except (tarfile.TarError, EOFError) as e:
-                    rows.append((path, len(rows), None, None, None, str(e)))
-                columns = list(zip(*rows)) or [()] * 6
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
-
-    return files.select("path", "content").mapInArrow(run, "shard string, pos long, key string, ext string, content binary, error string")
+def _members(path: str) -> Iterator[tuple]:
+    pos = -1
+    try:
+        with open_input(path) as stream, tarfile.open(fileobj=stream, mode="r|*") as tar:
+            for pos, member in enumerate(tar):
+                name = member.name
+                if member.isreg() and not (name.startswith("__") and name.endswith("__")):
+                    key, dot, ext = name.rpartition(".")
+                    yield path, pos, key if dot else name, ext if dot else "", tar.extractfile(member).read(), None
+    except (tarfile.TarError, EOFError, OSError) as e:
+        yield path, pos + 1, None, None, None, f"{type(e).__name__}: {e}"
 
 
 def read_tar_shards(spark: SparkSession, glob: str) -> DataFrame:
-    return tar_members(spark.read.format("binaryFile").load(glob))
+    """(shard, pos, key, ext, content, error) for each regular member of the tar files that match.
 
+    Names that begin and end with `__` are passed over. The key is the name without its last extension. A shard that breaks
+    off gives the members before and one row with the error. Shards may be of any size, a task holds LOT_BYTES of members.
+    """
 
-def tar_shards(members: DataFrame, shard_col: str = "shard") -> DataFrame:
-    """(path, n_records, content): the members (shard, key, ext, content) of each shard as one tar, by key and extension.
+    def run(batches):
+        rows, held = [], 0
 
-    A shard must fit into a task; `assign_output_shards` makes shards of bounded size.
-    """
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), _KINDS)], _MEMBERS)
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending"), ("ext", "ascending")])
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w") as tar:
-            for key, ext, content in zip(table["key"].to_pylist(), table["ext"].to_pylist(), table["content"].to_pylist()):
-                info = tarfile.TarInfo(f"{key}.{ext}")
-                info.size = len(content)
-                tar.addfile(info, io.BytesIO(content))
-        n = len(set(table["key"].to_pylist()))
-        return pa.table({"path": [f"{table[shard_col][0].as_py()}.tar"], "n_records": pa.array([n], pa.int64()), "content": pa.array([out.getvalue()], pa.binary())})
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                for row in _members(path):
+                    rows.append(row)
+                    held += 100 + len(row[4] or b"")
+                    if held > LOT_BYTES:
+                        yield batch_of()
+                        rows, held = [], 0
+        if rows:
+            yield batch_of()
 
-    return members.select(shard_col, "key", "ext", "content").groupBy(shard_col).applyInArrow(run, "path string, n_records long, content binary")
+    return list_files(spark, glob).select("path").mapInArrow(run, "shard string, pos long, key string, ext string, content binary, error string")
 
 
-def write_files(files: DataFrame, folder: str) -> DataFrame:
-    """Write files (path, content, ...) under `folder`, a URI that every executor reaches; returns them without content."""
+def write_tar_shards(members: DataFrame, folder: str, shard_col: str = "shard") -> DataFrame:
+    """(path, n_records): the members (shard, key, ext, content) of each shard as `<folder>/<shard>.tar`, by key and extension.
+
+    Written when the result is read. Members of a shard pass through one task, which writes them as they come.
+    """
 
     def run(batches):
-        from pyarrow import fs
+        paths, counts = [], []
+        shard = key = tar = file = None
+
+        def close():
+            tar.close()
+            file.__exit__(None, None, None)
 
-        system, root = fs.FileSystem.from_uri(folder)
-        system.create_dir(root, recursive=True)
         for batch in batches:
-            at = batch.schema.get_field_index("content")
-            for path, content in zip(batch.column(batch.schema.get_field_index("path")).to_pylist(), batch.column(at)):
-                with system.open_output_stream(f"{root}/{path}") as out:
-                    out.write(content.as_py())
-            keep = [i for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep], [batch.schema.names[i] for i in keep])
-
-    return files.mapInArrow(run, files.drop("content").schema)
+            for s, k, ext, content in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if s != shard:
+                    if tar is not None:
+                        close()
+                    shard, key = s, None
+                    file = new_file(f"{folder}/{s}.tar")
+                    tar = tarfile.open(fileobj=file.__enter__(), mode="w|")
+                    paths.append(f"{s}.tar")
+                    counts.append(0)
+                counts[-1] += k != key
+                key = k
+                info = tarfile.TarInfo(f"{k}.{ext}")
+                info.size = len(content)
+                tar.addfile(info, io.BytesIO(content))
+        if tar is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(counts, pa.int64())], ["path", "n_records"])
+
+    rows = members.selectExpr(f"CAST({shard_col} AS STRING) AS shard", "key", "ext", "content")
+    return rows.repartition("shard").sortWithinPartitions("shard", "key", "ext").mapInArrow(run, "path string, n_records long")

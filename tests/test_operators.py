@@ -242,18 +242,24 @@ def test_selection_and_labels(spark):
     assert sorted((r.id, r.cls) for r in samples.select_labeled(docs, listed).collect()) == [(1, 3), (1, 5), (2, 3), (2, 3)]
 
 
-def test_tar_round_trip_and_broken_shards(spark, tmp_path):
-    members = table(spark, [("s", "001", "txt", b"hello"), ("s", "001", "json", b"{}"), ("s", "__meta", "x__", b"no"), ("t", "002", "txt", b"")], "shard string, key string, ext string, content binary")
-    written = shards.write_files(shards.tar_shards(members), f"file://{tmp_path}/out").collect()
-    assert sorted((r.path, r.n_records) for r in written) == [("s.tar", 2), ("t.tar", 1)]
-    (tmp_path / "out" / "u.tar").write_bytes((tmp_path / "out" / "s.tar").read_bytes()[:700])
+def test_tar_round_trip_and_broken_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "LOT_BYTES", 150)
+    members = table(spark, [("s", "001", "txt", b"hello"), ("s", "001", "json", b"{}"), ("s", "__meta", "x__", b"no"), ("t", "002", "txt", b""), ("v", "003", "txt", b"long" * 9999)], "shard string, key string, ext string, content binary")
+    written = shards.write_tar_shards(members, f"file://{tmp_path}/out").collect()
+    assert sorted((r.path, r.n_records) for r in written) == [("s.tar", 2), ("t.tar", 1), ("v.tar", 1)]
+    (tmp_path / "out" / "u.tar").write_bytes((tmp_path / "out" / "v.tar").read_bytes()[:5000])
     found = shards.read_tar_shards(spark, f"file://{tmp_path}/out/*.tar")
     good = samples.decoded_only(found)
-    assert sorted((r.key, r.ext, bytes(r.content)) for r in good.where("shard NOT LIKE '%u.tar'").collect()) == [("001", "json", b"{}"), ("001", "txt", b"hello"), ("002", "txt", b"")]
-    assert found.where("error IS NOT NULL").count() >= 0
+    assert sorted((r.key, r.ext, bytes(r.content)) for r in good.collect()) == [("001", "json", b"{}"), ("001", "txt", b"hello"), ("002", "txt", b""), ("003", "txt", b"long" * 9999)]
+    errors = found.where("error IS NOT NULL").collect()
+    assert [r.shard.rpartition("/")[2] for r in errors] == ["u.tar"] and errors[0].content is None
+    numbers = samples.decode(found.withColumn("content", F.when(F.col("key") == "001", F.encode(F.lit("41"), "utf-8")).otherwise(F.col("content"))), "content", int, "bigint")
+    assert sorted((r.ext, r.value) for r in samples.decoded_only(numbers).collect()) == [("json", 41), ("txt", 41)]
+    assert {r.error.split(":")[0] for r in numbers.where("error IS NOT NULL").collect()} == {"ReadError", "ValueError"}
 
 
-def test_npy_files_and_paths(spark, tmp_path):
+def test_npy_files_and_paths(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(embeddings, "LOT_BYTES", 5)
     for n in (3, 12):
         np.save(tmp_path / f"img_emb_{n}.npy", np.arange(4, dtype=np.float16).reshape(2, 2) + n)
     got = sorted((r.chunk, r.pos, r.embedding) for r in embeddings.read_npy(spark, f"file://{tmp_path}/img_emb_*.npy").collect())
