@@ -2,8 +2,9 @@
 
 The nearest-neighbour graph of a sample is cut into partitions of equal size that few edges cross. A small classifier
 learns from the vectors which partition they are in. Every row is indexed in its most probable partition; a query goes to
-several most probable ones, where the candidates are ranked by the exact measure. How many: as few as give `TARGET`
-recall on queries held out of the sample, and enough to hold more than k rows.
+its most probable ones, until these have a share of its probability, where the candidates are ranked by the exact measure.
+The share is the least that gives `TARGET` recall on queries held out of the sample; and the partitions must hold more than
+k rows. The number of partitions grows with the table, up to one for `PART_SAMPLE` rows of the largest sample.
 
 Partitions are cut into blocks of rows, queries into blocks of theirs, so that a group of either size stays bounded.
 """
@@ -18,12 +19,13 @@ from pyspark.sql import functions as F
 
 from ._shared import stage_table
 
-#: Rows on which the partitions and the classifier are fitted: about so many, chosen by a hash of id and vector, at most
-#: twice as many.
-SAMPLE = 8192
-PARTITIONS = 16
+#: Rows on which the partitions and the classifier are fitted: about so many at least and at most, as the partitions ask for,
+#: chosen by a hash of id and vector; never more than twice as many.
+SAMPLE, LARGEST_SAMPLE = 1 << 13, 1 << 15
+#: Rows of the sample, and of the table, for one partition at least.
+PART_SAMPLE, PART_ROWS = 1 << 7, 1 << 11
 GRAPH_NEIGHBOURS = 10
-TARGET = 0.97
+TARGET = 0.94
 #: Rows and queries of a block.
 BLOCK_ROWS, BLOCK_QUERIES = 1 << 14, 1 << 12
 
@@ -125,24 +127,34 @@ class Router:
         return self._softmax(np.maximum(x / self.size @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3])
 
 
-def fit(x: np.ndarray, parts: int, k: int, target: float) -> tuple[Router, int]:
-    """The router and how many partitions a query visits for `target` recall on every eighth row, left out of the fit."""
+def partitions_for(rows: int) -> int:
+    """The largest power of two that leaves each partition PART_ROWS rows of the table and PART_SAMPLE of the largest sample."""
+    return 1 << max(0, min(rows // PART_ROWS, LARGEST_SAMPLE // PART_SAMPLE).bit_length() - 1)
+
+
+def before_each(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Partitions by falling probability, and how much probability comes before each."""
+    order = np.argsort(-p, 1, kind="stable")
+    ranked = np.take_along_axis(p, order, 1)
+    return order, np.cumsum(ranked, 1) - ranked
+
+
+def fit(x: np.ndarray, parts: int, k: int, target: float) -> tuple[Router, float, float]:
+    """The router, the share of a query's probability that its partitions have for `target` recall on every eighth row, left
+    out of the fit, and the share of all rows that these queries then meet."""
     probe = np.arange(len(x)) % 8 == 0
-    if len(x) < 16 * parts:
-        probe[:] = False
+    if parts == 1 or len(x) < 16:
+        return Router(x, np.zeros(len(x), np.int64), parts), 1.0, 1.0
     kept = x[~probe]
     router = Router(kept, balanced_partitions(kept, neighbour_graph(kept, GRAPH_NEIGHBOURS), parts), parts)
-    if not probe.any():
-        return router, parts
     home = router.probabilities(kept).argmax(1)
-    sims = x[probe] @ kept.T
-    near = np.argpartition(-sims, min(k, len(kept) - 1) - 1, 1)[:, :k]
-    place = np.argsort(np.argsort(-router.probabilities(x[probe]), 1, kind="stable"), 1)
-    rank = np.take_along_axis(place, home[near], 1)
-    for visits in range(1, parts + 1):
-        if (rank < visits).mean() >= target:
-            return router, visits
-    return router, parts
+    near = np.argpartition(-(x[probe] @ kept.T), min(k, len(kept) - 1) - 1, 1)[:, :k]
+    order, before = before_each(router.probabilities(x[probe]))
+    rank = np.take_along_axis(np.argsort(order, 1), home[near], 1)
+    needed = np.sort(np.take_along_axis(before, rank, 1), None)
+    share = float(np.nextafter(needed[int(np.ceil(target * len(needed))) - 1], 2))
+    sizes = np.bincount(home, minlength=parts)
+    return router, share, float((sizes[order] * (before < share)).sum(1).mean() / len(kept))
 
 
 def best_in_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -173,7 +185,7 @@ def best_in_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataF
     return pd.DataFrame({"row": np.array(out_r, np.int64), "query_id": np.array(out_q, np.int64), "vec_id": np.array(out_i, np.int64), "score": np.array(out_s, np.float64)})
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", parts: int = PARTITIONS, sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
+def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", parts: int | None = None, target: float = TARGET) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): the k nearest found of `rows` for each query, all others where there are fewer.
 
     Rows that are null, zero or not finite, or have no id, take no part on either side. So do vectors of a length other than
@@ -188,9 +200,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
     if not lengths:
         return spark.createDataFrame([], schema)
     same = F.size("vector") == lengths[0]["n"]
-    share = F.pmod(F.xxhash64("id", "vector"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / lengths[0]["count"]))
-    chosen = good.where(same & share).select("vector").limit(2 * sample).collect()
-    router, visits = fit(matrix([r.vector for r in chosen]), parts, k, target)
+    parts = parts or partitions_for(lengths[0]["count"])
+    sample = min(LARGEST_SAMPLE, max(SAMPLE, 2 * PART_SAMPLE * parts))
+    drawn = F.pmod(F.xxhash64("id", "vector"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / lengths[0]["count"]))
+    chosen = good.where(same & drawn).select("vector").limit(2 * sample).toArrow()["vector"].combine_chunks()
+    router, share, _ = fit(chosen.flatten().to_numpy().reshape(-1, lengths[0]["n"]), parts, k, target)
     held = spark.sparkContext.broadcast(router)
 
     def place(batches):
@@ -207,10 +221,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
         for b in batches:
             if not b.num_rows:
                 continue
-            order = np.argsort(-held.value.probabilities(matrix(b.column(1).to_pylist())), 1, kind="stable")
+            order, before = before_each(held.value.probabilities(matrix(b.column(1).to_pylist())))
             reach = np.cumsum(sizes[order], 1)
             # As many partitions as needed, more where these hold too few rows for k neighbours.
-            take = np.maximum(visits, 1 + (reach < k + b.column(3).to_numpy()[:, None]).sum(1).clip(max=parts - 1))
+            take = np.maximum((before < share).sum(1), 1 + (reach < k + b.column(3).to_numpy()[:, None]).sum(1).clip(max=parts - 1))
             owner = np.repeat(np.arange(b.num_rows), take)
             goes = np.concatenate([o[:t] for o, t in zip(order, take)])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner)), b.column(1).take(pa.array(owner)), pa.array(goes, pa.int32()), b.column(2).take(pa.array(owner))], ["id", "vector", "part", "row"])
