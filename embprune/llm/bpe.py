@@ -29,8 +29,8 @@ _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PLAIN = re.compile("[\x00-\u052f]*")
 #: Pieces that no pre-token crosses, for texts that are not plain.
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Pre-tokens that a task keeps from text to text.
-CACHE_SIZE = 1 << 18
+#: Pre-tokens that a task keeps from text to text, and characters of these (scripts without spaces have long ones).
+CACHE_SIZE, CACHE_CHARS = 1 << 18, 1 << 22
 
 
 def _plain_pattern() -> re.Pattern:
@@ -169,7 +169,7 @@ def merge_all(parts: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.nda
 
 
 class Encoder:
-    """Encodes texts in lots and keeps the ids of up to CACHE_SIZE pre-tokens."""
+    """Encodes texts in lots and keeps the ids of up to CACHE_SIZE pre-tokens of CACHE_CHARS characters, or those of one lot."""
 
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
@@ -182,6 +182,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.cache = {c: np.array([i], "<u4").tobytes() for c, i in self.vocab.special.items()}
+        self.chars = 0
 
     def pre_tokens(self, text: str) -> list[str]:
         """The pre-tokens of a text; a special token's string is one."""
@@ -203,9 +204,10 @@ class Encoder:
         split = [self.pre_tokens(t) for t in texts]
         used = set().union(*split)
         new = list(used - self.cache.keys())
-        if len(self.cache) + len(new) > CACHE_SIZE:
+        if len(self.cache) + len(new) > CACHE_SIZE or self.chars + sum(map(len, new)) > CACHE_CHARS:
             self.forget()
             new = list(used - self.cache.keys())
+        self.chars += sum(map(len, new))
         ids, begins = merge_all([t.encode() for t in new], self.vocab)
         raw, cut = ids.astype("<u4").tobytes(), (begins * 4).tolist()
         self.cache.update((t, raw[i:j]) for t, i, j in zip(new, cut, cut[1:]))

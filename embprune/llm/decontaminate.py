@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from ._shared import arrow_columns, stage_table
 
 WINDOW = 13
-#: Bytes of benchmark text that are broadcast and searched at once (windows take about ten times as much memory).
-BLOCK_BYTES = 4 << 20
+#: Bytes of benchmark text that are broadcast and searched at once (a worker's windows take about ten times as much memory).
+BLOCK_BYTES = 16 << 20
 
 #: Byte by byte: letters lower-cased, other ASCII that is no digit turned into a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))

@@ -24,7 +24,8 @@ from ._shared import arrow_columns, bound_batches, most_frequent, stage_table
 
 TABLE_SIZE = 1 << 16
 SUMMARY_SIZE = 1 << 12
-CACHE_SIZE = 1 << 19
+#: Units in the second tier, and characters of these.
+CACHE_SIZE, CACHE_CHARS = 1 << 19, 1 << 23
 LOT = 4096
 #: Characters of text that are split at a time.
 LOT_CHARS = 1 << 20
@@ -76,9 +77,23 @@ def load(path: str):
     return tokenizer
 
 
+class SecondTier(dict):
+    """unit -> tokens; forgets all before it would hold more than CACHE_SIZE units of CACHE_CHARS characters."""
+
+    chars = 0
+
+    def add(self, tokenizer, used: set[str]) -> None:
+        new = list(used - self.keys())
+        if len(self) + len(new) > CACHE_SIZE or self.chars + sum(map(len, new)) > CACHE_CHARS:
+            self.clear()
+            self.chars, new = 0, list(used)
+        self.chars += sum(map(len, new))
+        self.update(zip(new, lengths(tokenizer, new)))
+
+
 @lru_cache(maxsize=1)
-def _second_tier(path: str) -> dict[str, int]:
-    return {}
+def _second_tier(path: str) -> SecondTier:
+    return SecondTier()
 
 
 def frequent_pre_tokens(docs: DataFrame, text_col: str, table_size: int = TABLE_SIZE, summary_size: int = SUMMARY_SIZE) -> list[str]:
@@ -118,11 +133,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
         tokenizer, first, second = load(tokenizer_path), held.value, _second_tier(tokenizer_path)
 
         def count(split: list[list[str]]) -> list[int]:
-            used = set().union(*split) - first.keys()
-            if len(second) + len(used) > CACHE_SIZE:
-                second.clear()
-            new = list(used - second.keys())
-            second.update(zip(new, lengths(tokenizer, new)))
+            second.add(tokenizer, set().union(*split) - first.keys())
             return [sum(n if (n := first.get(p)) is not None else second[p] for p in s) for s in split]
 
         def work(texts):
