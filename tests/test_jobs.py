@@ -1,6 +1,11 @@
 """Every job against its SQL, on the small tables."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -34,7 +39,18 @@ def test_job_equals_sql(spark, con, name):
 
 
 def test_centres_are_apart(spark):
-    assert jobs()["dedup_centers"](spark, SF).count() == 8
+    found = jobs()["dedup_centers"](spark, SF).collect()
+    assert sorted(r.cluster for r in found) == list(range(8)) and len({r.id for r in found}) == 8
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    x = np.stack([vectors[r.id] for r in found])
+    assert (x @ x.T - 2 * np.eye(8)).max() <= 0.35
+
+
+@pytest.mark.parametrize("missing", ["public_tokenizers", "xxhash", "embprune.llm", "corpus_pipeline"])
+def test_the_entry_works_without_what_the_text_operators_need(missing):
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ).stdout.split()
+    assert int(out[0]) >= len(jobs()) and int(out[1]) >= len(sql()) and out[2] == "False"
 
 
 def test_entry(spark):
