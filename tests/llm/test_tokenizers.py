@@ -85,3 +85,28 @@ def test_counts_equal_the_library(spark, make_docs, texts, table_size):
         assert (r.n_tokens, r.n_bytes, r.over_limit) == (n, len((r.text or "").encode()), n > 100)
     assert len(done) == 60 + len(ODD)
     assert token_counts.count_tokens(make_docs([]), WORDS).collect() == []
+
+
+def test_op7_counts_every_document_as_the_library_does(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_truncation()
+    library.no_padding()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    found = queries.op7_token_counts(spark, "/root/testdata/sf0.001").collect()
+    assert len(found) == len(texts) and found[0].asDict().keys() == {"doc_id", "n_bytes", "n_tokens", "over_limit"}
+    for r in found:
+        n = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 2048)
+
+
+def test_caches_are_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 100)
+    own, library = bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json")), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("short words", "中" * 90, "中" * 90 + "x", "é" * 300, "short words"):
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+        assert own.chars <= max(100, len(text))
+    monkeypatch.setattr(token_counts, "CACHE_CHARS", 10)
+    second, path = token_counts.SecondTier(), public_tokenizers.path("word_bpe_49k.json")
+    for used in ({"abcdef"}, {"ghijk", "abcdef"}, {"lmnopqrstuvwxyz"}, {"a"}):
+        second.add(token_counts.load(path), used)
+        assert used <= second.keys() and sum(map(len, second)) <= max(10, sum(map(len, used)))
