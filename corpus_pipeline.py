@@ -1,7 +1,8 @@
 """A corpus pipeline over `documents`: language ID, line dedup, near-dedup, decontamination, BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
-`documents`. `run` writes each stage's rows to the shared folder and reads them back for the next.
+`documents`. `run` writes each stage's rows to the shared folder, reads them back for the next, and deletes what no later
+stage reads.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embprune.llm import bpe, decontaminate, language_id, line_dedup, near_dup
-from embprune.llm._shared import crc_mod5, read, stage_table
+from embprune.llm._shared import crc_mod5, drop_table, read, stage_table
 
 #: Numbers of rows to drop that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1 << 20
@@ -38,9 +39,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     profiles = language_id.learn(docs.where(crc_mod5("doc_id") != 0))
     if not profiles:
         return language_id.with_letters(docs)
+    held_out = docs.where(F.col("lang").isNotNull() & (crc_mod5("doc_id") == 0))
+    judged = language_id.identify(held_out.select("text"), profiles).where(F.col("lang_pred") != language_id.NONE)
+    floor = judged.agg(F.min("score")).first()[0] or 0.0
     told = language_id.identify(beside_text(docs), profiles).where(F.col("lang_pred") != language_id.NONE)
-    told = stage_table(told, "pipeline-languages")
-    floor = told.where(F.col("row.lang").isNotNull() & (crc_mod5("row.doc_id") == 0)).agg(F.min("score")).first()[0] or 0.0
     agrees = F.coalesce(F.col("lang_pred") == F.col("row.lang"), F.lit(False))
     new = {"text": F.col("text"), "lang": F.coalesce("row.lang", "lang_pred").alias("lang")}
     return told.where(agrees | (F.col("score") >= floor)).select(*(new.get(c, F.col(f"row.{c}")) for c in order))
@@ -108,7 +110,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = stage_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            drop_table(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
