@@ -5,6 +5,7 @@ import re
 
 import public_tokenizers
 import pytest
+from pyspark.sql.functions import lit
 from tokenizers import Tokenizer
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -80,11 +81,30 @@ def test_last_stage_and_run(staged, spark):
         assert rows[i].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
 
 
-def test_rows_with_nulls_pass_every_stage(spark, make_docs):
-    docs = make_docs([None, "", "a word", "a word", "12"], ids=[None, 1, 2, None, 3], langs=[None, None, "en", "en", None])
-    for _, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, SF)
-    assert docs.count() >= 1
+MORE = ["n_lines", "lang_pred", "score", "row", "n_hit", "kept", "ids", "decoded"]
+
+
+def test_nulls_repeats_and_clashing_columns_in_every_stage(spark, make_docs):
+    line = "This line has over twenty characters"
+    texts = [None, "", "a word", "a word", "12", f"{line}\nx", f"{line}\ny", f"{line}\nz", "a word"]
+    ids, langs = [None, 1, 2, None, 3, 4, 5, None, 2], [None, None, "en", "en", None, "en", None, "en", "en"]
+    docs = make_docs(texts, ids=ids, langs=langs).select("*", *(lit(7).alias(c) for c in MORE))
+    want = [
+        [(None, "a word", "en"), (None, f"{line}\nz", "en"), (2, "a word", "en"), (2, "a word", "en"), (4, f"{line}\nx", "en"), (5, f"{line}\ny", "en")],
+        [(None, "a word", "en"), (None, "z", "en"), (2, "a word", "en"), (2, "a word", "en"), (4, "x", "en"), (5, f"{line}\ny", "en")],
+        [(None, "z", "en"), (2, "a word", "en"), (4, "x", "en"), (5, f"{line}\ny", "en")],
+        [(None, "z", "en"), (2, "a word", "en"), (4, "x", "en"), (5, f"{line}\ny", "en")],
+    ]
+    names = docs.columns
+    for (_, stage), rows in zip(corpus_pipeline.STAGES, want):
+        docs = corpus_pipeline.stage_table(stage(spark, docs, SF), "test")
+        assert docs.columns == names and all(r[c] == 7 for r in docs.collect() for c in MORE)
+        assert sorted(((r.doc_id, r.text, r.lang) for r in docs.collect()), key=repr) == sorted(rows, key=repr)
+    assert sorted((r.doc_id or 0, r.n_tokens > 0) for r in corpus_pipeline.encode_texts(spark, docs, SF).collect()) == [(0, True), (2, True), (4, True), (5, True)]
+    # The stages alone, on rows that the first one drops.
+    odd = make_docs([None, "", "12"], ids=[None, 1, 1])
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, odd, SF).count() == 3
     assert all(stage(spark, make_docs([]), SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
 
 
