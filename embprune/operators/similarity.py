@@ -214,10 +214,10 @@ def violations_of_sets(queries: DataFrame, pool: DataFrame, thresholds: DataFram
     than the query's threshold, with the smallest such query.
 
     One pass over the pool for all sets, nothing shuffled but violators. The sets are few and named by rows of the table. A
-    query without threshold is an error, no queries give no rows. A repeated id keeps one row for each set: the smallest
-    query, then the highest similarity.
+    query without threshold is an error, one without a set takes no part, no queries give no rows. A repeated id keeps one row
+    for each set: the smallest query, then the highest similarity.
     """
-    known = with_thresholds(queries.select("id", "embedding", F.col(set_col).alias("eval_set")), thresholds)
+    known = with_thresholds(queries.select("id", "embedding", F.col(set_col).alias("eval_set")).where("eval_set IS NOT NULL"), thresholds)
     names = sorted(r[0] for r in known.select("eval_set").distinct().collect())
     number = F.array_position(F.array(*map(F.lit, names)), F.col("eval_set")).cast("int") - 1 if names else F.lit(0)
     none = np.iinfo(np.int64).max
