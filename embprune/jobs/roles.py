@@ -10,7 +10,7 @@ from ..sources.embeddings import read_embeddings
 from ..sources.tables import read_table
 
 #: Fixed values of the jobs.
-TEMPLATES = [(0, "a photo of a {c}."), (1, "a drawing of the {c}."), (2, "{c}, or what is left of a {c}.")]
+TEMPLATES = [(0, "this one shows {c}"), (1, "{c}, seen from afar"), (2, "{c}, or what is left of a {c}.")]
 ALLOWED = [1, 3, 4, 8]
 EVAL_SETS = {0: "a", 10: "r", 20: "v2"}
 BUCKETS = 256
