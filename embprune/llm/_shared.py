@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.subsets import global_rank
 from ..sources.tables import drop_table, stage_table
 from ..sources.tables import read_table as read
 
-__all__ = ["LOWER", "SLICE_BYTES", "UPPER", "arrow_columns", "bound_batches", "crc_mod5", "drop_table", "most_frequent", "read", "slices", "stage_table"]
+__all__ = ["LOWER", "SLICE_BYTES", "UPPER", "arrow_columns", "bound_batches", "crc_mod5", "drop_table", "most_frequent", "read", "slices", "stage_table", "Tables"]
 
 #: Bytes of a batch that a worker handles at once.
 SLICE_BYTES = 8 << 20
@@ -20,6 +21,22 @@ SLICE_BYTES = 8 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+class Tables:
+    """Working tables of one operator, deleted together when its result no longer needs them."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        self.held.append(stage_table(df, name))
+        return self.held[-1]
+
+    def drop(self) -> None:
+        for table in self.held:
+            drop_table(table)
+        self.held.clear()
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Have Spark hand texts to workers in batches of SLICE_BYTES, where the session keeps the default of 64 MB."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -67,18 +84,21 @@ def crc_mod5(column: str) -> F.Column:
 
 
 def most_frequent(counts: DataFrame, key: str, n: str, most: int) -> list[tuple[str, int]]:
-    """The keys of the highest counts with these, highest first, ties by key: at most `most`.
+    """The `most` keys of the highest counts with these, or all there are: highest first, ties by key.
 
-    Counts are told apart in steps of a sixteenth of a power of two; the step in which `most` is passed is left out with
-    all below it. So no task sends more than belongs to the result, which an ordering with a limit would.
+    Counts are told apart in steps of a sixteenth of a power of two. Steps that fit whole are collected; in the one in which
+    `most` is passed, keys are ranked by range partitions. So no task sends more than belongs to the result.
     """
     step = F.floor(F.log2(n) * 16)
     sizes = {r.step: r.size for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("size")).collect()}
-    cut, held = None, 0
+    cut, held = max(sizes, default=0) + 1, 0
     for s in sorted(sizes, reverse=True):
-        held += sizes[s]
-        if held > most:
+        if held + sizes[s] > most:
             break
-        cut = s
-    rows = counts.where(step >= cut).select(key, n).collect() if cut is not None else []
+        cut, held = s, held + sizes[s]
+    rows = counts.where(step >= cut).select(key, n).collect() if held else []
+    if held < min(most, sum(sizes.values())):
+        edge = max(s for s in sizes if s < cut)
+        ranked = global_rank(counts.where(step == edge).select(key, n), F.desc(n), F.asc(key), name="__place")
+        rows += ranked.where(F.col("__place") <= most - held).select(key, n).collect()
     return sorted(((r[0], r[1]) for r in rows), key=lambda r: (-r[1], r[0]))

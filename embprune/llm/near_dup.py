@@ -6,7 +6,7 @@ equal sets form a class. A class has a signature of `SYMBOLS` MinHash values cut
 principle signatures within 47 agree, but for one symbol at most, in one of 24 chunks of 5 symbols: so each class gets
 for each chunk the five keys that leave one symbol out, and all pairs within the distance meet under some key.
 
-No group under a key is expanded into pairs. In each of `ROUNDS` rounds a class is held against one hub, the one that it
+No group under a key is expanded into pairs. In each of `ROUNDS` rounds a class is held against `HUBS` hubs, those that it
 shares most keys with among its groups' hubs; links found are made into components, and what lies in the largest component
 of a group is not asked again. Only where a group still has several components are its remaining pairs across components
 compared: in blocks of bounded size, each pair under its first common key alone, by signature, set size and a parity sketch
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import bound_batches, drop_table, slices, stage_table
+from ._shared import Tables, bound_batches, drop_table, slices, stage_table
 
 SYMBOLS, CHUNK = 120, 5
 CHUNKS = SYMBOLS // CHUNK
@@ -33,8 +33,8 @@ CHUNKS = SYMBOLS // CHUNK
 DISTANCE = 2 * CHUNKS - 1
 #: Bytes of a set's parity sketch: the bit that an element's hash names is turned over by each element.
 SKETCH = 128
-#: Rounds of hubs before groups of several components are compared whole.
-ROUNDS = 3
+#: Rounds of hubs before groups of several components are compared whole, and hubs that a class is held against in each.
+ROUNDS, HUBS = 3, 3
 #: Classes whose keys one task makes (120 rows of 16 bytes each).
 KEY_LOT = 4096
 #: Members of a group that are compared at once with as many others.
@@ -159,7 +159,7 @@ def key_rows(classes: DataFrame, percent: int) -> DataFrame:
 
 
 def hub_pairs(members: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """(a, b): for each class outside the largest component of some group, the hub of such a group that it shares most keys with.
+    """(a, b): for each class outside the largest component of some group, the HUBS hubs of such groups that it shares most keys with.
 
     A group's hub is a member of its largest component, another one each turn. Groups of one component give nothing. Of each
     chunk's keys the first takes part, which finds near hubs; the rest of the pairs is left to `across_components`.
@@ -171,7 +171,9 @@ def hub_pairs(members: DataFrame, labels: DataFrame | None, turn: int) -> DataFr
     groups = sizes.groupBy("key").agg(F.max_by(F.struct("comp", "pick"), F.struct("n", F.xxhash64("comp", F.lit(turn)), "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
     outside = sizes.join(groups.select("key", "top"), "key").where("comp <> top.comp").select("key", "comp", F.col("top.pick").alias("hub"))
     met = rows.join(outside, ["key", "comp"]).groupBy("cid", "hub").agg(F.count("*").alias("n"))
-    return met.groupBy(F.col("cid").alias("a")).agg(F.max_by("hub", F.struct("n", "hub")).alias("b"))
+    # A class has a hub for each of its keys at most: 24.
+    best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("n", "hub")))), 1, HUBS)
+    return met.groupBy(F.col("cid").alias("a")).agg(best.alias("hubs")).select("a", F.explode("hubs.hub").alias("b"))
 
 
 def near_in_signature(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -219,7 +221,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int, involved:
     return made.groupBy("cid").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
 
 
-def confirmed(candidates: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def confirmed(candidates: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, work: Tables) -> DataFrame:
     """The links (a, b) among `candidates` (a, bs), on full sets.
 
     Sets lie in blocks by class; each candidate's own set goes to the blocks of its partners. Where many candidates meet
@@ -231,8 +233,8 @@ def confirmed(candidates: DataFrame, classes: DataFrame, docs: DataFrame, id_col
             yield pa.RecordBatch.from_arrays([pa.chunked_array([b.column(0), b.column(1).flatten()]).unique()], ["cid"])
 
     involved = candidates.select("a", "bs").mapInArrow(names, "cid long").distinct()
-    involved = stage_table(involved.join(classes.select("cid", "rep", "digest"), "cid"), "nd-involved")
-    sets = stage_table(full_sets(docs, id_col, text_col, width, involved), "nd-sets")
+    involved = work.stage(involved.join(classes.select("cid", "rep", "digest"), "cid"), "nd-involved")
+    sets = work.stage(full_sets(docs, id_col, text_col, width, involved), "nd-sets")
     total = sets.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-8 * total // SET_BYTES))
 
@@ -279,10 +281,11 @@ def components(links: DataFrame) -> DataFrame:
         changed = new.where("old <> comp").limit(1).count()
         labels = new.select("cid", "comp")
         if not changed:
+            drop_table(edges)
             return labels
 
 
-def across_components(members: DataFrame, labels: DataFrame | None, classes: DataFrame, percent: int) -> DataFrame:
+def across_components(members: DataFrame, labels: DataFrame | None, classes: DataFrame, percent: int, work: Tables) -> DataFrame:
     """Candidates (a, bs): the pairs of different components that share a key.
 
     In each group the largest component is set aside: every pair across components has a member outside of it. Those are
@@ -290,10 +293,10 @@ def across_components(members: DataFrame, labels: DataFrame | None, classes: Dat
     """
     comp = F.col("cid").alias("comp") if labels is None else F.coalesce("comp", "cid").alias("comp")
     rows = (members if labels is None else members.join(labels, "cid", "left")).select("key", "cid", comp)
-    rows = stage_table(rows, "nd-rows")
+    rows = work.stage(rows, "nd-rows")
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     groups = sizes.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"), F.sum("n").alias("size"), F.max("n").alias("most"), F.count("*").alias("comps")).where("comps > 1")
-    groups = stage_table(groups.select("key", "top", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("minor_blocks")), "nd-groups")
+    groups = work.stage(groups.select("key", "top", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("minor_blocks")), "nd-groups")
     mixed = rows.join(groups.hint("shuffle_hash"), "key")
     mixed = mixed.join(classes.select("cid", "sig", F.col("n").alias("n")), "cid")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -376,14 +379,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     members = stage_table(keys.join(shared.hint("shuffle_hash"), "key").select("key", "cid"), "nd-members")
     links = labels = None
+    work, found_links = Tables(), Tables()
 
     def link(candidates: DataFrame, name: str) -> bool:
         """Adds the links among the candidates; whether there are any."""
         nonlocal links, labels
-        candidates = stage_table(candidates, f"nd-candidates-{name}")
-        found = stage_table(confirmed(candidates, classes, docs, id_col, text_col, shingle_words, percent), f"nd-links-{name}")
+        candidates = work.stage(candidates, f"nd-candidates-{name}")
+        found = found_links.stage(confirmed(candidates, classes, docs, id_col, text_col, shingle_words, percent, work), f"nd-links-{name}")
+        work.drop()
         if found.isEmpty():
             return False
+        if labels is not None:
+            drop_table(labels)
         links = found if links is None else links.union(found)
         labels = components(links)
         return True
@@ -391,13 +398,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for turn in range(ROUNDS):
         if not link(near_in_signature(hub_pairs(members, labels, turn), classes, percent), f"hubs-{turn}"):
             break
-    link(across_components(members, labels, classes, percent), "rest")
+    link(across_components(members, labels, classes, percent, work), "rest")
     drop_table(members)
     if labels is None:
         labels = classes.select("cid", F.col("cid").alias("comp")).limit(0)
     placed = classes.select("digest", "cid", "least", "head").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     ids = stage_table(placed.groupBy("comp").agg(F.min("least").alias("component_id"), F.min("head").getField("row").alias("first_row")), "nd-ids")
     placed = stage_table(placed.select("digest", "comp").join(ids, "comp").select("digest", "component_id", "first_row"), "nd-placed")
+    for table in (ids, classes, *([] if links is None else [labels])):
+        drop_table(table)
+    found_links.drop()
     alone = signed.where("digest IS NULL").select("id", "n", F.col("id").alias("component_id"), "row", F.lit(True).alias("stays"))
     done = signed.where("digest IS NOT NULL").select("id", "n", "digest", "row").join(placed, "digest").select("id", "n", "component_id", "row", (F.col("row") == F.col("first_row")).alias("stays")).union(alone)
     rows = () if row_col is None else ("row", "stays")

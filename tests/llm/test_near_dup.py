@@ -110,3 +110,40 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "a long, b long")
     found = {r.cid: r.comp for r in near_dup.components(links).collect()}
     assert found == {i: 0 for i in range(41)} | {100: 90, 90: 90, 95: 90}
+
+
+def test_many_documents_without_an_id(spark, make_docs):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(2500)]
+    found = near_dup.near_duplicates(make_docs(texts * 2, ids=[None] * 5000), shingle_words=2).collect()
+    assert len(found) == 5000 and all(r.component_id is None and r.n_shingles == 11 for r in found)
+
+
+def test_a_hub_of_20000_links(spark):
+    links = spark.range(20_000).selectExpr("id + 1 AS a", "0L AS b")
+    assert near_dup.components(links).groupBy("comp").count().collect() == [(0, 20_001)]
+
+
+def test_candidates_grow_with_the_copies_and_not_with_their_pairs(spark, make_docs, monkeypatch):
+    # Copies of one text with 2 to 6 of 80 words changed: most pairs are at 0.6 to 0.8.
+    confirmed, seen = near_dup.confirmed, []
+
+    def counting(candidates, *more):
+        seen.append(sum(len(r.bs) for r in candidates.collect()))
+        return confirmed(candidates, *more)
+
+    monkeypatch.setattr(near_dup, "confirmed", counting)
+    totals = []
+    for n in (300, 600):
+        rng = random.Random(n)
+        base = [f"w{i}" for i in range(80)]
+        texts = []
+        for _ in range(n):
+            words = list(base)
+            for i in rng.sample(range(80), rng.randint(2, 6)):
+                words[i] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+        seen.clear()
+        check(spark, make_docs, texts, 2)
+        totals.append(sum(seen))
+    assert totals[1] < 3 * totals[0] and totals[1] < 600 * 12
