@@ -190,8 +190,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_
 
     Rows that are null, zero or not finite, or have no id, take no part on either side. So do vectors of a length other than
     the table's commonest. A row is never a neighbour of the query with its id; repeated rows appear as often as they are
-    there, repeated queries (id and vector) count once. An id asked with several vectors has the k nearest of each. An empty
-    table gives no rows.
+    there, repeated queries (id and vector) count once. An id asked with several vectors has the k nearest of each. Other
+    columns of either table, of any name, play no part. An empty table gives no rows.
     """
     spark = rows.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"

@@ -250,7 +250,8 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", decoded
 def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """`df` with the text of `ids_col` in `to`, special tokens included; bytes that are no UTF-8 become U+FFFD.
 
-    Null ids give an empty text; an id outside the vocabulary is an error.
+    Null ids give an empty text; an id outside the vocabulary is an error. Rows stay one for one; an input column named as
+    `to` is replaced.
     """
 
     def start():

@@ -1,5 +1,8 @@
 import itertools
 import math
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -202,3 +205,156 @@ def test_repeated_queries_and_rows_have_k_different_neighbours(spark):
     # Query 20 has the 31 copies of row 0 among its rows, as often as they are there.
     sims = sorted((-sum(a * b for a, b in zip(x[20][1], v)), i) for i, v in x + [x[0]] * 30 if i != 20)
     assert got[20] == [i for _, i in sims[:10]] and set(got) == {0, 20}
+
+
+def score_by_hand(docs, held, tier, own, states, iterations):
+    """Scores of whole texts by plain loops over words: all words' emissions, no tiers, no segments, no batches."""
+    split = {i: [*(w.decode() for w in hmm.tokens(t)), ""] for i, t in docs}
+    train = [split[i] for i, _ in docs if i not in held]
+    c = {}
+    for words in train:
+        for w in words:
+            c[w] = c.get(w, 0) + 1
+    ranked = sorted((w for w in c if w), key=lambda w: (-c[w], w))
+    symbol = {"": 0} | {w: i + 2 for i, w in enumerate(ranked[:own])}
+    corpus = hmm.Corpus(sum(c.values()), len(c), c[""], ranked[:tier], [c[w] for w in ranked[:tier]])
+    start, move, emit = (x.copy() for x in vars(hmm.first_model(corpus, states, hmm.SEED)).values())
+    of = lambda w: symbol.get(w, 1)
+    for _ in range(iterations):
+        s, m, e, g = np.full(states, 0.5), np.full((states, states), 0.5), np.full(emit.shape, 0.5), {}
+        for words in train:
+            f = [start * emit[:, of(words[0])]]
+            for w in words[1:]:
+                f.append(f[-1] / f[-1].sum() @ move * emit[:, of(w)])
+            b = np.ones(states)
+            for t in range(len(words) - 1, -1, -1):
+                gamma = f[t] * b / (f[t] * b).sum()
+                e[:, of(words[t])] += gamma
+                if of(words[t]) == 1:
+                    g[words[t]] = g.get(words[t], 0) + gamma
+                if t:
+                    pair = f[t - 1][:, None] * move * (emit[:, of(words[t])] * b)[None]
+                    m += pair / pair.sum()
+                    b = move @ (emit[:, of(words[t])] * b)
+                    b /= b.sum()
+                else:
+                    s += gamma
+        start, move, emit = s / s.sum(), m / m.sum(1, keepdims=True), e / e.sum(1, keepdims=True)
+    rare = sum(g.values()) if g else np.zeros(states)
+
+    def weights(w):
+        return emit[:, of(w)] * ((g.get(w, 0) + 0.5) / (rare + 0.5 * (len(g) + 1)) if of(w) == 1 else 1)
+
+    out = {}
+    for i, words in split.items():
+        a, total = start * weights(words[0]), 0.0
+        for w in words[1:]:
+            total += math.log10(a.sum())
+            a = a / a.sum() @ move * weights(w)
+        out[i] = total + math.log10(a.sum())
+    return out
+
+
+@pytest.mark.parametrize("tier, own", [(1 << 17, 1 << 15), (200, 40), (20, 1 << 15), (0, 5)])
+def test_scores_equal_a_plain_computation(spark, make_docs, texts, monkeypatch, tier, own):
+    monkeypatch.setattr(hmm, "STATE_WORDS", own + 2)
+    docs = [(i, " ".join((t or "").split()[:60])) for i, t in enumerate(texts[:40])] + [(50, "quite unseen things"), (51, ""), (52, "a a a b a")]
+    held = {i for i, _ in docs if i % 4 == 1 or i == 50}
+    df = make_docs([t for _, t in docs], [i for i, _ in docs])
+    got = {r.doc_id: r.score for r in hmm.score_texts(df, F.col("doc_id").isin(*held), iterations=3, tier_words=tier).collect()}
+    want = score_by_hand(docs, held, tier, min(tier, own), hmm.STATES, 3)
+    assert got == pytest.approx(want, rel=1e-6)
+
+
+def test_symbols_are_packed_and_unpacked():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 8, 9, 1000):
+        x = rng.integers(0, 1 << 18, n)
+        assert np.array_equal(hmm.unpacked(hmm.packed(x)), x)
+
+
+def test_segments_with_context_count_as_whole_texts_do(spark, make_docs, texts):
+    long = [" ".join(texts[i : i + 6]) for i in range(0, 60, 6)]
+    df = make_docs(long)
+    corpus = hmm.corpus_of(hmm.word_counts(df, "text"))
+    table = hmm.coded(df.withColumn("held_out", F.lit(False)), corpus)
+    model = hmm.first_model(corpus, hmm.STATES, 1)
+    for segment in (1 << 20, 1 << 20):
+        model, _, _ = hmm.baum_welch_step(model, hmm.summed(hmm.expected_rows(model, table, segment=segment), "kind"))
+    whole, cut = (hmm.baum_welch_step(model, hmm.summed(hmm.expected_rows(model, table, segment=n), "kind"))[0] for n in (1 << 20, 100))
+    assert np.abs(whole.move - cut.move).max() < 0.01 and np.abs(whole.start - cut.start).max() < 0.02
+    assert np.abs(whole.emit - cut.emit).sum() < 0.01 * whole.emit.sum()
+
+
+def test_routing_reads_a_part_of_structured_data_and_finds_its_neighbours(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 24))[rng.integers(0, 40, 16_500)] * 2 + rng.normal(size=(16_500, 24))
+    assert ann.partitions_for(len(x)) == 8 and ann.partitions_for(4095) == 1 and ann.partitions_for(10**12) == 256
+    _, _, read = ann.fit(x[:8192], 16, 20, ann.TARGET)
+    assert read < 0.4
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(rows, rows.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        sims = x @ x[q]
+        sims[q] = -np.inf
+        hits += len(found & set(np.argpartition(-sims, 20)[:20].tolist()))
+    assert len(got) == 330 and hits >= 0.9 * 20 * 330
+
+
+def cosines_by_hand(text, profiles):
+    """Language and cosine from n-grams in a dictionary and vectors one by one."""
+    low, vector = (text or "").lower(), np.zeros(language_id.DIM)
+    letter = lambda c: language_id.letter_vector(ord(c) if c.isalpha() else 0).astype(int)
+    for left, middle, right in zip("\0" + low, low, low[1:] + "\0"):
+        if middle.isalpha():
+            vector += np.roll(letter(left), 2) * np.roll(letter(middle), 1) * letter(right)
+    cosine = {lang: float(vector @ p) / (np.linalg.norm(vector) * np.linalg.norm(p)) for lang, p in profiles.items()} if vector.any() else {}
+    best = max(sorted(cosine), key=cosine.get, default="und")
+    return best, min(1.0, max(0.0, cosine.get(best, 0.0)))
+
+
+def test_predictions_and_scores_equal_a_plain_computation(spark, make_docs, texts, monkeypatch):
+    docs = [(t or "")[:300] for t in texts[:60]] + [None, "", "1 2", "İstanbul ǅ ß", "中文字 و"]
+    langs = [["en", "de", "fr"][i % 3] for i in range(len(docs))]
+    profiles = language_id.learn(make_docs(docs, langs=langs))
+    plain = {}
+    for t, lang in zip(docs, langs):
+        v = language_id.bundle([t or ""])[0]
+        plain[lang] = plain.get(lang, 0) + v
+    assert all(np.array_equal(profiles[x], plain[x]) for x in plain)
+    # Pieces and blocks of every size give the same.
+    for lot, grams in ((1 << 20, 1 << 10), (70, 7)):
+        monkeypatch.setattr(language_id, "LOT_CHARS", lot)
+        monkeypatch.setattr(language_id, "GRAMS", grams)
+        vectors = language_id.bundle([t or "" for t in docs])
+        for t, v in zip(docs, vectors):
+            cos = {x: v @ p / max(np.linalg.norm(v) * np.linalg.norm(p), 1e-12) for x, p in profiles.items()}
+            want = cosines_by_hand(t, profiles)
+            assert want[1] == pytest.approx(max(0.0, max(cos.values())), abs=1e-9)
+    got = language_id.identify(make_docs(docs), profiles).orderBy("doc_id").collect()
+    for t, r in zip(docs, got):
+        lang, score = cosines_by_hand(t, profiles)
+        assert (r.lang_pred, r.score) == (lang, pytest.approx(score, abs=1e-5))
+
+
+def test_a_long_text_of_many_letters_stays_within_bounds():
+    code = (
+        "import resource, numpy as np\n"
+        "from embprune.llm import language_id\n"
+        "language_id.bundle(['abc'])\n"
+        "before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss\n"
+        "text = ''.join(map(chr, np.random.default_rng(1).integers(0x4E00, 0x9FFF, 1_200_000)))\n"
+        "assert language_id.bundle([text]).any()\n"
+        "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)\n"
+    )
+    took = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ)
+    assert int(took.stdout) < 500
+
+
+def test_columns_of_any_name_play_no_part_in_a_search(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [-1.0, 0.0])], "vec_id long, embedding array<float>")
+    clashing = rows.selectExpr("*", "'x' AS id", "7 AS vector", "7 AS part", "7 AS row", "7 AS score", "7 AS rank", "7 AS query_id")
+    assert sorted(ann.search(clashing, clashing).collect()) == sorted(ann.search(rows, rows).collect())
