@@ -34,7 +34,7 @@ DISTANCE = 2 * CHUNKS - 1
 #: Bytes of a set's parity sketch: the bit that an element's hash names is turned over by each element.
 SKETCH = 128
 #: Rounds of hubs before groups of several components are compared whole, and hubs that a class is held against in each.
-ROUNDS, HUBS = 3, 3
+ROUNDS, HUBS = 2, 3
 #: Classes whose keys one task makes (120 rows of 16 bytes each).
 KEY_LOT = 4096
 #: Members of a group that are compared at once with as many others.
