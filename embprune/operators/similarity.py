@@ -3,8 +3,9 @@
 Similarity is the inner product in 64-bit floats. The base is never shuffled: queries are broadcast as matrices of at most
 `QUERY_BYTES` and each task keeps its own best. Results for each base row (maxima, violations) come from one pass that goes
 through all matrices for each batch, or through `PASS_BYTES` of them at a time, with what was found so far written with the
-rows in between. Results for each query (top-k, best) take one pass for each matrix, which bounds what a task holds of them.
-So nothing depends on the number of matrices. Vectors of different lengths are an error.
+rows in between. The best of each query take one pass for each matrix, the k most similar rows two passes for each `PASS_BYTES` of
+queries, whatever k is: one counts and certifies bounds, one hands on the rows that pass them. Vectors of different lengths
+are an error.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blocks import best_first, matrix
 from ..sources.tables import stage_table
+from .bounds import BINS, kth_bounds, sampled
 
 #: Bytes of query vectors in one matrix.
 QUERY_BYTES = 64 << 20
@@ -26,8 +28,9 @@ QUERY_BYTES = 64 << 20
 PASS_BYTES = 512 << 20
 #: Similarities that a task holds at once.
 CELLS = 1 << 22
-#: Candidates (query, id, sim) that a task keeps for one chunk.
-KEPT = 1 << 22
+#: Queries x k up to which each task keeps its own best candidates of a chunk.
+ONE_PASS = 1 << 18
+_CANDIDATES = "chunk long, query_id long, id long, sim double"
 
 
 def query_blocks(queries: DataFrame, id_col: str = "id", vector_col: str = "embedding", more: list[str] = (), most: int | None = None) -> Iterator[tuple]:
@@ -104,39 +107,83 @@ def over_queries(base: DataFrame, blocks: Iterator[tuple], make: Callable, schem
     return reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
 
 
+def _best_of_tasks(rows: DataFrame, block: tuple, k: int) -> DataFrame:
+    """(chunk, query_id, id, sim): each task's k best of each chunk for each query."""
+    held = rows.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches):
+        ids, q = held.value
+        best: dict = {}
+        for batch in batches:
+            for part in slices(batch, len(ids)):
+                x = matrix(part.column(1))
+                chunks, own = part.column(2).to_numpy(zero_copy_only=False), part.column(0).to_numpy()
+                for c in np.unique(chunks).tolist():
+                    at = chunks == c
+                    sims, cand = q @ x[at].T, np.broadcast_to(own[at], (len(ids), int(at.sum())))
+                    if c in best:
+                        sims, cand = np.hstack((best[c][0], sims)), np.hstack((best[c][1], cand))
+                    best[c] = best_first(sims, cand, k)
+        for c, (sims, cand) in best.items():
+            n = sims.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(sims.size, c)), pa.array(np.repeat(ids, n)), pa.array(cand.ravel()), pa.array(sims.ravel())], ["chunk", "query_id", "id", "sim"])
+
+    return rows.mapInArrow(run, _CANDIDATES)
+
+
+def _rows_over_bounds(rows: DataFrame, block: tuple, chunks: np.ndarray, sizes: np.ndarray, sample: np.ndarray, k: int) -> DataFrame:
+    """(chunk, query_id, id, sim): the rows of each chunk at or above a certified bound of the k-th similarity of each query."""
+    ids, q = block
+    bound = kth_bounds(rows, q, sample, chunks, sizes, k, slices)
+    held = rows.sparkSession.sparkContext.broadcast((ids, q, chunks, bound))
+
+    def run(batches):
+        ids, q, chunks, bound = held.value
+        for batch in batches:
+            for part in slices(batch, len(ids)):
+                x = matrix(part.column(1))
+                own, of = part.column(0).to_numpy(), np.searchsorted(chunks, part.column(2).to_numpy())
+                for c in np.unique(of).tolist():
+                    at = np.flatnonzero(of == c)
+                    sims = q @ x[at].T
+                    i, j = np.nonzero(sims >= bound[c][:, None])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), chunks[c])), pa.array(ids[i]), pa.array(own[at[j]]), pa.array(sims[i, j])], ["chunk", "query_id", "id", "sim"])
+
+    return rows.mapInArrow(run, _CANDIDATES)
+
+
+def candidates(queries: DataFrame, base: DataFrame, k: int, chunk_col: str) -> DataFrame:
+    """(chunk, query_id, id, sim): rows of each chunk among which are the k most similar for each query.
+
+    Where all queries have at most ONE_PASS candidates, each task hands on its k best, in one pass. Beyond it a first pass
+    certifies a bound for each query and chunk, and a second hands on the rows at or above it: about k and at most 1.2 k for each
+    query and chunk, but for rows that tie with the k-th. One block of queries is PASS_BYTES of vectors, counts and bounds.
+    """
+    rows = base.select("id", "embedding", F.col(chunk_col).cast("long").alias("chunk")).where("embedding IS NOT NULL AND chunk IS NOT NULL")
+    size = queries.where(F.col("embedding").isNotNull()).agg(F.max(F.size("embedding")).alias("width"), F.count("*").alias("n")).first()
+    if not size.n:
+        return base.sparkSession.createDataFrame([], _CANDIDATES)
+    if size.n * k <= ONE_PASS:
+        return reduce(DataFrame.union, (_best_of_tasks(rows, block, k) for block in query_blocks(queries)))
+    # Chunks are few, as files are; the vectors are not read for this.
+    counts = base.select(F.col(chunk_col).cast("long").alias("chunk")).where("chunk IS NOT NULL").groupBy("chunk").count().toArrow().sort_by("chunk")
+    chunks, sizes = counts["chunk"].to_numpy(), counts["count"].to_numpy()
+    if not len(chunks):
+        return base.sparkSession.createDataFrame([], _CANDIDATES)
+    sample = sampled(rows, int(sizes.sum()))
+    query_bytes = 8 * size.width + 4 * (BINS + 2) + 40 * len(chunks)
+    most = max(8 * size.width, PASS_BYTES * 8 * size.width // query_bytes)
+    return reduce(DataFrame.union, (_rows_over_bounds(rows, block, chunks, sizes, sample, k) for block in query_blocks(queries, most=most)))
+
+
 def topk_by_chunk(queries: DataFrame, base: DataFrame, k: int, chunk_col: str) -> DataFrame:
     """(chunk, query_id, id, sim, rank): in each chunk of `base` (id, embedding, chunk) the k most similar rows for each query.
 
     Most similar first, ties to the smaller id. Fewer than k rows in a chunk give fewer rows, no queries none. Rows without a
-    vector take no part.
+    vector or a chunk take no part.
     """
-
-    def make(held):
-        def run(batches):
-            ids, q = held.value
-            best: dict = {}
-            for batch in batches:
-                for part in slices(batch, len(ids)):
-                    x = matrix(part.column(1))
-                    chunks, own = part.column(2).to_numpy(zero_copy_only=False), part.column(0).to_numpy()
-                    for c in np.unique(chunks).tolist():
-                        at = chunks == c
-                        sims, cand = q @ x[at].T, np.broadcast_to(own[at], (len(ids), int(at.sum())))
-                        if c in best:
-                            sims, cand = np.hstack((best[c][0], sims)), np.hstack((best[c][1], cand))
-                        best[c] = best_first(sims, cand, k)
-            for c, (sims, cand) in best.items():
-                n = sims.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(sims.size, c)), pa.array(np.repeat(ids, n)), pa.array(cand.ravel()), pa.array(sims.ravel())], ["chunk", "query_id", "id", "sim"])
-
-        return run
-
-    rows = base.select("id", "embedding", F.col(chunk_col).cast("long").alias("chunk")).where(F.col("embedding").isNotNull())
-    width = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
-    blocks = query_blocks(queries, most=min(QUERY_BYTES, 8 * width * max(1, KEPT // k)))
-    found = over_queries(rows, blocks, make, "chunk long, query_id long, id long, sim double")
     rank = F.row_number().over(Window.partitionBy("chunk", "query_id").orderBy(F.desc("sim"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return candidates(queries, base, k, chunk_col).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def merge_candidates(candidates: DataFrame, k: int, ascending: bool = False) -> DataFrame:
