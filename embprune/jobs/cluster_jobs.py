@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import distance, dot, l2_normalize, norm
 from ..operators import dedup, kmeans, samples
-from ..sources.tables import new_path, stage_table
+from ..sources.tables import new_path
 from . import roles
 from .roles import BUCKETS
 from .roles import SQL_ROLES as R
@@ -112,21 +112,20 @@ def write_id_list(spark, d):
 
 
 def cluster_pair_sims(spark, d):
-    return dedup.pair_maxima(_by_label(spark, d)).withColumn("max_sim", F.round("max_sim", 6))
+    return dedup.pair_maxima(_by_label(spark, d)).select("id", "max_sim").withColumn("max_sim", F.round("max_sim", 6))
 
 
 def cluster_pair_sims_blocked(spark, d):
-    return dedup.pair_maxima(_by_label(spark, d), block_rows=16).withColumn("max_sim", F.round("max_sim", 6))
+    return dedup.pair_maxima(_by_label(spark, d), block_rows=16).select("id", "max_sim").withColumn("max_sim", F.round("max_sim", 6))
 
 
 def dedup_keep(spark, d):
-    rows = _by_label(spark, d)
+    rows = dedup.numbered(_by_label(spark, d))
     return dedup.dedup_keep(rows, dedup.pair_maxima(rows), LIMIT).select("id", "cluster")
 
 
 def dedup_all(spark, d):
-    # Written once: the vectors are used for the sizes, the pairs and the rows that stay.
-    return dedup.dedup_all(stage_table(roles.hashed_documents(spark, d), "hashed")).select("id", "cluster")
+    return dedup.dedup_all(roles.hashed_documents(spark, d)).select("id", "cluster")
 
 
 def _kmeans_sql(passes: int) -> str:
@@ -157,8 +156,6 @@ SELECT CAST(row_number() OVER (ORDER BY nr, h, id) - 1 AS INTEGER) AS cluster, i
     "kmeans_update": f"{_kmeans_sql(1)} SELECT cluster, CAST(pos - 1 AS INTEGER) AS pos, round(x, 6) AS value FROM (SELECT cluster, unnest(center) AS x, generate_subscripts(center, 1) AS pos FROM c1)",
     "kmeans_fit": _FIT,
     "kmeans_resume": _FIT,
-    "kmeans_fit_whole": _FIT,
-    "kmeans_resume_whole": _FIT,
     "cluster_sums": f"WITH {R} SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS n, CAST(pos - 1 AS INTEGER) AS pos, round(sum(x), 6) AS total FROM (SELECT label AS cluster, unnest(e) AS x, generate_subscripts(e, 1) AS pos FROM v) GROUP BY cluster, pos",
     "cluster_sizes": "SELECT CAST(label AS INTEGER) AS cluster, count(*) AS n FROM embeddings GROUP BY label",
     "assignment_change_ratio": "SELECT round(avg(CASE WHEN label <> vec_id % 10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS ratio FROM embeddings",
@@ -171,4 +168,4 @@ SELECT CAST(row_number() OVER (ORDER BY nr, h, id) - 1 AS INTEGER) AS cluster, i
     "dedup_all": f"WITH {_HASHED} SELECT DISTINCT b.id, b.cluster FROM b LEFT JOIN s USING (id) WHERE coalesce(max_sim, 0) <= 1 - 0.124::DOUBLE",
 }
 
-JOBS = {f.__name__: f for f in (pairwise_dot, euclidean_distance, seed_centers, dedup_centers, kmeans_assign, kmeans_update, kmeans_fit, kmeans_resume, cluster_sums, cluster_sizes, assignment_change_ratio, join_assignments, write_by_cluster, write_id_list, cluster_pair_sims, cluster_pair_sims_blocked, dedup_keep, dedup_all)} | {"l2_normalize": l2_normalized, "kmeans_fit_whole": kmeans_fit, "kmeans_resume_whole": kmeans_resume}
+JOBS = {f.__name__: f for f in (pairwise_dot, euclidean_distance, seed_centers, dedup_centers, kmeans_assign, kmeans_update, kmeans_fit, kmeans_resume, cluster_sums, cluster_sizes, assignment_change_ratio, join_assignments, write_by_cluster, write_id_list, cluster_pair_sims, cluster_pair_sims_blocked, dedup_keep, dedup_all)} | {"l2_normalize": l2_normalized}

@@ -1,12 +1,14 @@
 """K-means over a large table: rows stay where they are and are never rewritten; centres are broadcast, sums come back.
 
-A pass needs the centres before it and, for the share of rows that change, those of the pass before: both are matrices in one
-map pass. What a fit keeps is a small table of centres for each iteration, from which another session can go on.
+A pass needs the centres before it and, for the rows that change, those of the pass before: both are matrices in one map pass, in
+which bounds leave out most distances (`nearest`). From the second pass on only rows that change their cluster are added
+up (`sums`). What a fit keeps is a small table of centres for each iteration, from which another session can go on.
 """
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +16,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import matrix
+from ..functions.work import Work, counting
 from ..sources.tables import new_path, stage_table
-from .similarity import PASS_BYTES, QUERY_BYTES, over_rows, query_blocks, slices
+from .nearest import Groups, grouped, moved, nearest
+from .similarity import PASS_BYTES, QUERY_BYTES, over_rows, query_blocks
+from .sums import Sums, blocks_schema, combined, most_tasks
+
+#: Passes of a fit after which sums are taken of all rows again.
+REFRESH = 20
 
 
 def seed_centers(rows: DataFrame, k: int, seed: int, chunk_col: str | None = None, n_chunks: int = 1) -> DataFrame:
@@ -71,71 +79,50 @@ def dedup_centers(centers: DataFrame, spares: DataFrame, limit: float = 0.9) ->
         centers, used = new, used + n
 
 
-def nearest_of_blocks(own, x: np.ndarray, before: list | None, clusters: np.ndarray, c: np.ndarray) -> list[pa.Array]:
-    """The nearest centre of each row so far and its squared distance less the row's own square; ties to the lowest cluster."""
-    gap = (c * c).sum(1) - 2 * x @ c.T
-    at = gap.argmin(1)
-    least, who = gap[np.arange(len(at)), at], clusters[at]
-    if before is not None:
-        old, old_who = before[1].to_numpy(), before[0].to_numpy()
-        keep = (old < least) | ((old == least) & (old_who < who))
-        least, who = np.where(keep, old, least), np.where(keep, old_who, who)
-    return [pa.array(who.astype(np.int32)), pa.array(least)]
+def _with_nearest(rows: DataFrame, blocks: Iterator[Groups], name: str, work: Work | None) -> DataFrame | None:
+    """`rows` with the number of the nearest centre and its gap; None without centres."""
+    count = counting(work)
+
+    def fold(own, x, before, *block):
+        g = Groups(*block)
+        found = nearest(x, g, None if before is None else (before[0].to_numpy().astype(np.int64), before[1].to_numpy()))
+        count(found.computed, len(x) * len(g.ids))
+        return [pa.array(found.ids.astype(np.int32)), pa.array(found.gaps)]
+
+    return over_rows(rows, "embedding", blocks, f"{name} int, __gap double", fold, keep_vector=True, width=1 << 10)
 
 
-def assign(rows: DataFrame, centers: DataFrame) -> DataFrame:
+def assign(rows: DataFrame, centers: DataFrame, work: Work | None = None) -> DataFrame:
     """(id, embedding, cluster, prev_cluster): the nearest centre of each row, ties to the lowest cluster; null for a row without a vector.
 
-    prev_cluster is the `cluster` that rows have already, if any. No centres are an error.
+    prev_cluster is the `cluster` that rows have already, if any. A row meets only groups of centres that can hold its nearest;
+    `work` counts the distances. No centres are an error.
     """
     before = F.col("cluster") if "cluster" in rows.columns else F.lit(None)
     rows = rows.select("id", "embedding", before.cast("int").alias("prev_cluster"))
-    found = over_rows(rows, "embedding", query_blocks(centers, "cluster", "center"), "cluster int, gap double", nearest_of_blocks, keep_vector=True)
+    found = _with_nearest(rows, (grouped(*b) for b in query_blocks(centers, "cluster", "center")), "cluster", work)
     if found is None:
         raise ValueError("there are no centres")
     return found.select("id", "embedding", "cluster", "prev_cluster")
 
 
-_SUMS = "cluster int, n long, n_changed long, sums array<double>"
-
-
-def _add(total: dict[int, list], x: np.ndarray, clusters: np.ndarray, counts: np.ndarray) -> None:
-    """Add rows up by cluster: [sum of vectors, sums of the two counts]."""
-    if len(x):
-        order = np.argsort(clusters, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(clusters[order]) != 0])
-        for c, s, n in zip(clusters[order][first].tolist(), np.add.reduceat(x[order], first, 0), np.add.reduceat(counts[order], first, 0)):
-            old = total.get(c)
-            total[c] = [s, n] if old is None else [old[0] + s, old[1] + n]
-
-
-def _sums(total: dict[int, list]) -> pa.RecordBatch:
-    sums = pa.array([s.tolist() for s, _ in total.values()], pa.list_(pa.float64()))
-    n = np.array([n for _, n in total.values()], np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(n[:, 0]), pa.array(n[:, 1]), sums], ["cluster", "n", "n_changed", "sums"])
-
-
-def _added_up(parts: DataFrame) -> DataFrame:
-    """One row for each cluster of rows (cluster, n, n_changed, sums); where they come from tasks, a cluster has as many as those."""
-
-    def run(batches):
-        total: dict[int, list] = {}
-        for batch in batches:
-            _add(total, matrix(batch.column(3)), batch.column(0).to_numpy(), np.stack([batch.column(i).to_numpy() for i in (1, 2)], 1))
-        yield _sums(total)
-
-    return parts.mapInArrow(run, _SUMS)
-
-
 def cluster_sums(assigned: DataFrame, changed: str = "false") -> DataFrame:
     """(cluster, n, n_changed, sums) of rows (embedding, cluster): counts, of rows where the expression `changed` holds too, and
     element-wise sums. Rows without a vector or a cluster take no part.
 
-    Each task adds up its own rows first; then the parts of a cluster, at most one from each task, are added up.
+    At most `most_tasks` tasks add up their own rows first; their sums leave in blocks of clusters, which are added up.
     """
     known = assigned.where("embedding IS NOT NULL AND cluster IS NOT NULL")
-    one = known.selectExpr("CAST(cluster AS INT) AS cluster", "1L AS n", f"CAST(coalesce({changed}, true) AS LONG) AS n_changed", "embedding AS sums")
-    return _added_up(_added_up(one).repartition("cluster"))
+    one = known.selectExpr("CAST(cluster AS INT) AS cluster", f"CAST(coalesce({changed}, true) AS LONG) AS n_changed", "embedding")
+
+    def run(batches):
+        total = Sums()
+        for batch in batches:
+            counts = np.stack((np.ones(batch.num_rows, np.int64), batch.column(1).to_numpy()), 1)
+            total.add(matrix(batch.column(2)), batch.column(0).to_numpy(), counts)
+        yield from total.blocks()
+
+    return combined(one.coalesce(most_tasks(one)).mapInArrow(run, blocks_schema()))
 
 
 Centers = tuple[np.ndarray, np.ndarray]
@@ -149,40 +136,47 @@ def center_matrix(centers: DataFrame) -> Centers:
     return np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
 
 
-def pass_sums(points: DataFrame, centers: Centers, before: Centers | None) -> DataFrame:
-    """`cluster_sums` of vectors (embedding) by their nearest of `centers`; changed are those whose nearest of `before` is another.
+def pass_sums(points: DataFrame, now: Groups, before: Groups | None, changes: bool, work: Work | None = None) -> DataFrame:
+    """`cluster_sums` of vectors (embedding) by their nearest centre `now`; changed are those whose nearest of `before` is another.
 
-    One map pass in which vectors only go to the workers. Where the centres are more than PASS_BYTES, vectors and numbers of
-    centres are written in between.
+    With `changes`, sums are those of rows that came to a cluster less those of rows that left it, so that a row that stays is
+    not added up. One map pass in which vectors only go to the workers; at most `most_tasks` tasks, so it shuffles at most that
+    many times clusters x dimension numbers. Where the centres are more than PASS_BYTES, vectors and numbers of centres
+    are written in between, and sums are of all rows.
     """
-    context = points.sparkSession.sparkContext
-    tables = [centers] if before is None else [centers, before]
-    step = max(1, QUERY_BYTES // max(centers[1][0].nbytes, 1))
-    blocks = [[(ids[i : i + step], c[i : i + step]) for i in range(0, len(ids), step)] for ids, c in tables]
-    if sum(c.nbytes for _, c in tables) > PASS_BYTES:
-        for some, name in zip(blocks, ("cluster", "prev_cluster")):
-            points = over_rows(points, "embedding", iter(some), f"{name} int, __gap double", nearest_of_blocks, keep_vector=True).drop("__gap")
+    tables = [now] if before is None else [now, before]
+    if sum(g.nbytes for g in tables) > PASS_BYTES:
+        step = max(1, QUERY_BYTES // max(now.centers[0].nbytes, 1))
+        for g, name in zip(tables, ("cluster", "prev_cluster")):
+            parts = (grouped(g.ids[i : i + step], g.centers[i : i + step]) for i in range(0, len(g.ids), step))
+            points = _with_nearest(points, parts, name, work).drop("__gap")
         return cluster_sums(points, "true" if before is None else "cluster <> prev_cluster")
-    held = [[context.broadcast(b) for b in some] for some in blocks]
-
-    def nearest(x, some):
-        found = None
-        for h in some:
-            found = nearest_of_blocks(None, x, found, *h.value)
-        return found[0].to_numpy()
+    held = [points.sparkSession.sparkContext.broadcast(tuple(g)) for g in tables]
+    count = counting(work)
 
     def run(batches):
-        total: dict[int, list] = {}
-        width = max(len(h.value[0]) for some in held for h in some)
+        now, *old = (Groups(*h.value) for h in held)
+        total = Sums()
         for batch in batches:
-            for part in slices(batch, width):
-                x = matrix(part.column(0))
-                now = nearest(x, held[0])
-                changed = nearest(x, held[1]) != now if len(held) > 1 else np.ones(len(x), bool)
-                _add(total, x, now, np.stack((np.ones(len(x), np.int64), changed.astype(np.int64)), 1))
-        yield _sums(total)
-
-    return _added_up(points.mapInArrow(run, _SUMS).repartition("cluster"))
+            x = matrix(batch.column(0))
+            found = nearest(x, now)
+            ones = np.ones(len(x), np.int64)
+            if not old:
+                count(found.computed, len(x) * len(now.ids))
+                total.add(x, found.ids, np.stack((ones, ones), 1))
+                continue
+            prev, computed = moved(x, found, now, old[0])
+            count(found.computed + computed, 2 * len(x) * len(now.ids))
+            other = prev != found.ids
+            if changes:
+                n = int(other.sum())
+                total.add(x[other], found.ids[other], np.ones((n, 2), np.int64))
+                total.add(-x[other], prev[other], np.tile(np.array([[-1, 0]]), (n, 1)))
+            else:
+                total.add(x, found.ids, np.stack((ones, other.astype(np.int64)), 1))
+        yield from total.blocks()
+
+    return combined(points.coalesce(most_tasks(points)).mapInArrow(run, blocks_schema()))
 
 
 def update(assigned: DataFrame, centers: DataFrame) -> DataFrame:
@@ -206,43 +200,53 @@ def saved_centers(spark, state: str, iteration: int) -> DataFrame:
     return spark.read.parquet(f"{state}/iteration={iteration}")
 
 
-def fit(rows: DataFrame, centers: DataFrame | None, limit: float = 1e-7, max_iterations: int | None = None, first: int = 0, state: str | None = None) -> tuple[DataFrame, DataFrame, int]:
+def fit(rows: DataFrame, centers: DataFrame | None, limit: float = 1e-7, max_iterations: int | None = None, first: int = 0, state: str | None = None, work: Work | None = None) -> tuple[DataFrame, DataFrame, int]:
     """(assigned, centers, iterations) after the passes until fewer than `limit` of the rows change, from the second on.
 
     `assigned` is that of the last pass, as `assign` gives it, made when it is read; the centres are its means. Each
     iteration's centres are written to `state`, a folder that all executors reach (by default a new one in the shared
     folder). With `first` the fit goes on after that iteration of `state`, from any session, and `centers` is not needed.
     `max_iterations` ends the fit earlier, with a warning where more rows than that still change; by default nothing does. Rows
-    without a vector have no cluster; a table without vectors keeps the centres. No centres are an error.
+    without a vector have no cluster; a table without vectors keeps the centres. No centres are an error. `work` counts the
+    distances of all passes.
     """
     spark = rows.sparkSession
     state = state or new_path(spark, "kmeans")
     points = rows.select("embedding").where(F.col("embedding").isNotNull())
     if first:
         saved = saved_centers(spark, state, first)
-        now, before = center_matrix(saved), center_matrix(saved.select("cluster", F.col("before").alias("center")))
+        now, old = center_matrix(saved), center_matrix(saved.select("cluster", F.col("before").alias("center")))[1]
     else:
-        now, before = center_matrix(centers), None
+        now, old = center_matrix(centers), None
+    clusters, new = now
+    groups = grouped(clusters, new)
+    before = None if old is None else grouped(clusters, old, groups.member)
+    total, n = np.zeros(new.shape), np.zeros(len(new), np.int64)
     iteration = first
     while True:
-        sums = pass_sums(points, now, before).toArrow()
+        # Sums of changes alone, but for the first pass and now and then one that takes rounding out of the totals.
+        changes = before is not None and (iteration - first) % REFRESH > 0 and 2 * groups.nbytes <= PASS_BYTES
+        found = pass_sums(points, groups, before, changes, work).toArrow()
         iteration += 1
-        clusters, new = now[0], now[1].copy()
-        at, n = np.searchsorted(clusters, sums["cluster"].to_numpy()), sums["n"].to_numpy()
-        if len(n):
-            new[at] = matrix(sums["sums"]) / n[:, None]
-        now, before = (clusters, new), now
+        at = np.searchsorted(clusters, found["cluster"].to_numpy())
+        if not changes:
+            total[:], n[:] = 0, 0
+        if len(at):
+            total[at] += matrix(found["sums"])
+            n[at] += found["n"].to_numpy()
+        old, new = new, np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], new)
+        before, groups = groups, grouped(clusters, new, groups.member)
         rows_of = lambda c: pa.FixedSizeListArray.from_arrays(pa.array(c.ravel()), c.shape[1]).cast(pa.list_(pa.float64()))
-        table = pa.table({"cluster": pa.array(clusters.astype(np.int32)), "center": rows_of(new), "before": rows_of(before[1])})
+        table = pa.table({"cluster": pa.array(clusters.astype(np.int32)), "center": rows_of(new), "before": rows_of(old)})
         spark.createDataFrame(table).write.mode("overwrite").parquet(f"{state}/iteration={iteration}")
-        ratio = sums["n_changed"].to_numpy().sum() / max(n.sum(), 1)
+        ratio = found["n_changed"].to_numpy().sum() / max(n.sum(), 1)
         if iteration > 1 and ratio < limit:
             break
         if max_iterations is not None and iteration >= max_iterations:
             warnings.warn(f"k-means ended unconverged at pass {iteration}: a share of {ratio} of the rows still changed", stacklevel=2)
             break
     saved = saved_centers(spark, state, iteration)
-    return assign(rows, saved.select("cluster", F.col("before").alias("center"))), saved.select("cluster", "center"), iteration
+    return assign(rows, saved.select("cluster", F.col("before").alias("center")), work), saved.select("cluster", "center"), iteration
 
 
 def join_assignments(vectors: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -58,12 +58,13 @@ def slices(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, step)
 
 
-def over_rows(rows: DataFrame, vector_col: str, blocks: Iterator[tuple], state: str, fold: Callable, keep_vector: bool = False) -> DataFrame | None:
+def over_rows(rows: DataFrame, vector_col: str, blocks: Iterator[tuple], state: str, fold: Callable, keep_vector: bool = False, width: int | None = None) -> DataFrame | None:
     """`rows`, without their vector unless `keep_vector`, with the columns of `state` after a `fold` for every block; None without blocks.
 
     `fold(own, vectors, before, *block)` takes the first column of some rows and their vectors. `before` and its result are
     lists of Arrow arrays, one for each column of `state`; `before` is None for the first block. Rows without a vector get
-    nulls. One pass holds PASS_BYTES of blocks; between passes the rows are written.
+    nulls. One pass holds PASS_BYTES of blocks; between passes the rows are written. `width` is the cells that a fold makes for a
+    row, by default one for each query of a block.
     """
     context, names = rows.sparkSession.sparkContext, [c.split()[0] for c in state.split(", ")]
     n, vector = len(rows.columns), rows.columns.index(vector_col)
@@ -73,9 +74,9 @@ def over_rows(rows: DataFrame, vector_col: str, blocks: Iterator[tuple], state:
         schema = ", ".join(f"`{df.schema[i].name}` {df.schema[i].dataType.simpleString()}" for i in keep) + f", {state}"
 
         def run(batches):
-            width = max(len(h.value[0]) for h in held)
+            cells = width or max(len(h.value[0]) for h in held)
             for batch in batches:
-                for part in slices(batch, width):
+                for part in slices(batch, cells):
                     there = np.flatnonzero(part.column(vector).is_valid().to_numpy(zero_copy_only=False))
                     known = part.take(pa.array(there))
                     own, x = known.column(0).to_numpy(zero_copy_only=False), matrix(known.column(vector))
