@@ -45,7 +45,7 @@ def pool(spark: SparkSession, folder: str) -> DataFrame:
 
 def hashed_documents(spark: SparkSession, folder: str, buckets: int = BUCKETS) -> DataFrame:
     """(id, cluster, embedding): word counts of documents hashed into unit vectors; the language is the cluster."""
-    words = read_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("cluster"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)).alias("w"))
+    words = read_table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("cluster"), F.explode(F.array_remove(F.split(F.lower("text"), "[^a-z0-9]+"), "")).alias("w"))
     bucket = (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long") % buckets).cast("int")
     counts = words.groupBy("id", "cluster", bucket.alias("b")).agg(F.count("*").cast("double").alias("n"))
     maps = counts.groupBy("id", "cluster").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))

@@ -19,8 +19,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.blocks import best_first, matrix
+from ..functions.work import Work, counting
 from ..sources.tables import stage_table
 from .bounds import BINS, kth_bounds, sampled
+from .nearest import Groups, grouped
+from .products import largest, over
 
 #: Bytes of query vectors in one matrix.
 QUERY_BYTES = 64 << 20
@@ -204,25 +207,34 @@ def topk(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     return merge_candidates(topk_by_chunk(queries, base.withColumn("__chunk", F.lit(0)), k, "__chunk"), k)
 
 
-def best_of_blocks(own: np.ndarray, x: np.ndarray, before: list | None, ids: np.ndarray, q: np.ndarray) -> list[pa.Array]:
-    """The largest similarity of each row so far and its query; ties to the smaller id."""
-    sims = x @ q.T
-    at = sims.argmax(1)
-    top, who = sims[np.arange(len(at)), at], ids[at]
-    if before is not None:
-        old, old_who = before[0].to_numpy(), before[1].to_numpy()
-        keep = (old > top) | ((old == top) & (old_who < who))
-        top, who = np.where(keep, old, top), np.where(keep, old_who, who)
-    return [pa.array(top), pa.array(who)]
+def _balls(blocks: Iterator[tuple]) -> Iterator[tuple]:
+    """Blocks of queries in balls; further columns in the order of the balls."""
+    for ids, q, *more in blocks:
+        g = grouped(ids, q)
+        order = np.lexsort((ids, g.member))
+        yield (*g, *(m[order] for m in more))
 
 
-def max_sims(base: DataFrame, queries: DataFrame) -> DataFrame:
+def with_largest(rows: DataFrame, blocks: Iterator[tuple], state: str, work: Work | None = None) -> DataFrame | None:
+    """`rows` (id, embedding) with their largest product with a query and its id as the columns `state`; None without queries."""
+    count = counting(work)
+
+    def fold(own, x, before, *block):
+        g = Groups(*block)
+        who, best, computed = largest(x, g, None if before is None else (before[1].to_numpy(), before[0].to_numpy()))
+        count(computed, len(x) * len(g.ids))
+        return [pa.array(best), pa.array(who)]
+
+    return over_rows(rows, "embedding", _balls(blocks), state, fold, width=1 << 10)
+
+
+def max_sims(base: DataFrame, queries: DataFrame, work: Work | None = None) -> DataFrame:
     """(id, max_sim, nearest_query) for every row of `base` with a vector, repeated ids too; ties to the smaller query.
 
-    Without queries there are no rows.
+    A row meets only balls of queries that can hold its best; `work` counts the products. Without queries there are no rows.
     """
     rows = base.select("id", "embedding").where(F.col("embedding").isNotNull())
-    found = over_rows(rows, "embedding", query_blocks(queries), "max_sim double, nearest_query bigint", best_of_blocks)
+    found = with_largest(rows, query_blocks(queries), "max_sim double, nearest_query bigint", work)
     empty = base.sparkSession.createDataFrame([], "id long, max_sim double, nearest_query long")
     return empty if found is None else found
 
@@ -257,11 +269,12 @@ def with_thresholds(queries: DataFrame, thresholds: DataFrame) -> DataFrame:
     return stage_table(known.withColumn("threshold", _needed("threshold", "id")), "thresholds")
 
 
-def violations_of_sets(queries: DataFrame, pool: DataFrame, thresholds: DataFrame, set_col: str = "eval_set") -> DataFrame:
+def violations_of_sets(queries: DataFrame, pool: DataFrame, thresholds: DataFrame, set_col: str = "eval_set", work: Work | None = None) -> DataFrame:
     """(eval_set, id, query_id, sim): for each evaluation set in `queries`, each pool row that is more similar to one of its queries
     than the query's threshold, with the smallest such query.
 
-    One pass over the pool for all sets, nothing shuffled but violators. The sets are few and named by rows of the table. A
+    One pass over the pool for all sets, nothing shuffled but violators; a row meets only balls of queries of which it can pass a
+    threshold, `work` counts the products. The sets are few and named by rows of the table. A
     query without threshold is an error, one without a set takes no part, no queries give no rows. A repeated id keeps one row
     for each set: the smallest query, then the highest similarity.
     """
@@ -270,24 +283,30 @@ def violations_of_sets(queries: DataFrame, pool: DataFrame, thresholds: DataFram
     number = F.array_position(F.array(*map(F.lit, names)), F.col("eval_set")).cast("int") - 1 if names else F.lit(0)
     none = np.iinfo(np.int64).max
 
-    def fold(own, x, before, ids, q, limit, of):
-        sims = x @ q.T
-        over = sims > limit
+    count = counting(work)
+
+    def fold(own, x, before, *block):
+        g, limit, of = Groups(*block[:-2]), *block[-2:]
         who = np.full((len(x), len(names)), none) if before is None else before[0].flatten().to_numpy().reshape(len(x), -1).copy()
         sim = np.zeros((len(x), len(names))) if before is None else before[1].flatten().to_numpy().reshape(len(x), -1).copy()
-        for s in range(len(names)):
-            mine = np.flatnonzero(of == s)
-            if len(mine):
-                first = over[:, mine].argmax(1)
-                at = mine[first]
-                better = over[np.arange(len(x)), at] & (ids[at] < who[:, s])
-                who[better, s], sim[better, s] = ids[at[better]], sims[better, at[better]]
+        computed = 0
+        for rows, held, sims in over(x, g, limit):
+            computed += sims.size
+            above = sims > limit[held]
+            for s in np.unique(of[held]).tolist():
+                # Several balls, and in the one product for all of them ids are not in order.
+                ids = np.where(above & (of[held] == s), g.ids[held], none)
+                at = ids.argmin(1)
+                least = ids[np.arange(len(rows)), at]
+                better = least < who[rows, s]
+                who[rows[better], s], sim[rows[better], s] = least[better], sims[better, at[better]]
+        count(computed + len(x) * len(g.pivots), len(x) * len(g.ids))
         as_list = lambda a: pa.FixedSizeListArray.from_arrays(pa.array(a.ravel()), len(names)).cast(pa.list_(pa.from_numpy_dtype(a.dtype)))
         return [as_list(who), as_list(sim)]
 
     rows = pool.select("id", "embedding").where(F.col("embedding").isNotNull())
     blocks = query_blocks(known.withColumn("of", number), more=["threshold", "of"]) if names else iter(())
-    found = over_rows(rows, "embedding", blocks, "who array<bigint>, how array<double>", fold)
+    found = over_rows(rows, "embedding", _balls(blocks), "who array<bigint>, how array<double>", fold, width=1 << 10)
     if found is None:
         return pool.sparkSession.createDataFrame([], "eval_set string, id long, query_id long, sim double")
     sets = F.array(*map(F.lit, names))

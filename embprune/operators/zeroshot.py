@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalize
-from .similarity import best_of_blocks, over_rows, query_blocks
+from .kmeans import cluster_sums
+from .similarity import over_rows, query_blocks, with_largest
 
 
 def expand_prompts(classes: DataFrame, templates: DataFrame) -> DataFrame:
@@ -23,10 +24,12 @@ def class_subset(classes: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def class_prototypes(prompts: DataFrame) -> DataFrame:
-    """(class_id, embedding): the normalised mean of a class's normalised prompt vectors."""
-    unit = prompts.select("class_id", F.posexplode(l2_normalize(F.col("embedding"))))
-    mean = unit.groupBy("class_id", "pos").agg(F.avg("col").alias("v")).groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("l"))
-    return mean.select("class_id", l2_normalize(F.col("l.v")).alias("embedding"))
+    """(class_id, embedding): the normalised mean of a class's normalised prompt vectors, added up as `cluster_sums` does.
+
+    Prompts without a vector, with a zero one or without a class take no part; a mean of zero gives null. Class ids are 32-bit.
+    """
+    unit = prompts.select(F.col("class_id").alias("cluster"), l2_normalize(F.col("embedding")).alias("embedding"))
+    return cluster_sums(unit).select(F.col("cluster").cast(prompts.schema["class_id"].dataType).alias("class_id"), l2_normalize(F.col("sums")).alias("embedding"))
 
 
 def logits(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -47,7 +50,7 @@ def predict(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
     A row without a vector has nulls. No classes give no rows.
     """
-    found = over_rows(rows.select("id", "embedding"), "embedding", query_blocks(classes, "class_id"), "logit double, pred bigint", best_of_blocks)
+    found = with_largest(rows.select("id", "embedding"), query_blocks(classes, "class_id"), "logit double, pred bigint")
     return rows.sparkSession.createDataFrame([], "id long, pred long, logit double") if found is None else found.select("id", "pred", "logit")
 
 
