@@ -1,11 +1,14 @@
-"""Subsets of exact size: random, nearest, farthest, by a global rank that no single task computes."""
+"""Subsets of exact size: random, nearest, farthest, by exact cuts; and a global rank that no single task computes."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import stage_table
+from .selection import Cut, select
 
 _IN_PARTITION = (1 << 33) - 1
 
@@ -30,27 +33,29 @@ def chunk_numbers(df: DataFrame, size: int, *order: Column | str) -> DataFrame:
 
 
 def prune_near(max_sims: DataFrame, n: int) -> DataFrame:
-    """The n ids of the lowest max_sim, ties to the smaller id."""
-    return global_rank(max_sims.select("id", "max_sim"), F.asc("max_sim"), F.asc("id")).where(F.col("rank") <= n).select("id")
+    """The n ids of the lowest max_sim, ties to the smaller id; rows without either take no part."""
+    return subset_ladder(max_sims, [n], ["near"]).select("id")
 
 
 def prune_far(max_sims: DataFrame, n: int) -> DataFrame:
-    """The n ids of the highest max_sim, ties to the smaller id."""
-    return global_rank(max_sims.select("id", "max_sim"), F.desc("max_sim"), F.asc("id")).where(F.col("rank") <= n).select("id")
+    """The n ids of the highest max_sim, ties to the smaller id; rows without either take no part."""
+    return subset_ladder(max_sims, [n], ["far"]).select("id")
+
 
+def subset_ladder(max_sims: DataFrame, sizes: list[int], kinds: Sequence[str] = ("near", "far")) -> DataFrame:
+    """(kind, size, id) for kinds near and far and all sizes: exactly `size` rows, or all there are.
 
-def subset_ladder(max_sims: DataFrame, sizes: list[int]) -> DataFrame:
-    """(kind, size, id) for kinds near and far and all sizes; each order is ranked once."""
-    spark = max_sims.sparkSession
-    steps = F.broadcast(spark.createDataFrame([(s,) for s in sizes], "size long"))
-    rows = max_sims.select("id", "max_sim")
-    near = global_rank(rows, F.asc("max_sim"), F.asc("id")).select(F.lit("near").alias("kind"), "id", "rank")
-    far = global_rank(rows, F.desc("max_sim"), F.asc("id")).select(F.lit("far").alias("kind"), "id", "rank")
-    return near.union(far).join(steps, F.col("rank") <= F.col("size")).select("kind", "size", "id")
+    (id, max_sim) is written once; the cuts of all kinds and sizes come from shared counts (`selection`), without a sort.
+    """
+    rows = stage_table(max_sims.select(F.col("id").cast("long").alias("id"), F.col("max_sim").cast("double").alias("max_sim")), "max-sims")
+    cuts = [(Cut(s, down=kind == "far"), [F.lit(kind).alias("kind"), F.lit(s).cast("long").alias("size")]) for kind in kinds for s in sizes]
+    return select(rows, ["max_sim", "id"], cuts, ["id"])
 
 
 def random_subset(pool: DataFrame, size: int, seed: int) -> DataFrame:
-    """Exactly `size` distinct ids, or all there are, in the order of a hash of seed, size and id: repeatable."""
+    """Exactly `size` distinct ids, or all there are, in the order of a hash of seed, size and id: repeatable. Null ids take no part."""
     key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(str(size)), F.col("id").cast("string")))
-    ids = pool.select("id").distinct().withColumn("__key", key)
-    return global_rank(ids, "__key", "id").where(F.col("rank") <= size).select("id")
+    # The hash as two words; hex digits order as the unsigned numbers do.
+    halves = [F.conv(F.substring("key", at, 16), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63))).alias(name) for at, name in ((1, "high"), (17, "low"))]
+    ids = pool.select(F.col("id").cast("long").alias("id")).distinct().withColumn("key", key).select("id", *halves)
+    return select(stage_table(ids, "hashed-ids"), ["high", "low", "id"], [(Cut(size), [])], ["id"])
