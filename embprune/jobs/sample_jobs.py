@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import norm
 from ..operators import samples, subsets, zeroshot
-from ..sources import embeddings, files, shards
+from ..sources import embeddings, files, npy, shards
 from ..sources.tables import new_path, read_table, stage_table
 from . import roles
 from .roles import ALLOWED, TEMPLATES
@@ -29,8 +29,8 @@ def _ranked(spark, d):
 
 def _chunks(spark, d):
     folder = new_path(spark, "npy")
-    files.write_files(embeddings.npy_files(_ranked(spark, d), "chunk", "pos"), folder).count()
-    return embeddings.read_npy(spark, f"{folder}/*.npy")
+    npy.write_npy(_ranked(spark, d), folder, "chunk", "pos")
+    return npy.read_npy(spark, f"{folder}/*.npy")
 
 
 def _metadata(spark, d):
@@ -166,6 +166,15 @@ def select_samples(spark, d):
     return samples.select_samples(read_table(spark, d, "documents"), _listed(spark, d), "doc_id").select("doc_id", "lang", "source")
 
 
+def select_from_shards(spark, d):
+    """Listed samples out of shards: the index is joined first, so that other members are not read."""
+    docs = read_table(spark, d, "documents").select(F.col("source").alias("shard"), F.format_string("%09d", "doc_id").alias("key"), F.lit("txt").alias("ext"), F.encode("text", "utf-8").alias("content"))
+    folder, _ = _written_shards(spark, docs)
+    index = shards.index_tar_shards(spark, f"{folder}/*.tar").where("key IS NOT NULL").withColumn("doc_id", F.col("key").cast("bigint"))
+    found = samples.decoded_only(shards.read_members(samples.select_samples(index, _listed(spark, d), "doc_id")))
+    return _shard_name(found).select("shard", F.col("key").cast("bigint").alias("doc_id"), F.sha2("content", 256).alias("sha"))
+
+
 def select_samples_labeled(spark, d):
     return samples.select_labeled(read_table(spark, d, "documents"), _listed(spark, d), "doc_id").select("doc_id", "lang", "cls")
 
@@ -273,8 +282,9 @@ SELECT worker, shard, out_shard, n FROM r""",
     "zero_shot_predict": f"WITH {_PROTO}, {_PRED} SELECT id, pred, round(logit, 6) AS logit FROM pr",
     "masked_predict": f"WITH {_PROTO}, s AS (SELECT class_id, c, CAST(row_number() OVER (ORDER BY class_id) - 1 AS INTEGER) AS sub_id FROM c WHERE class_id IN ({_ALLOWED})) SELECT q.id AS id, arg_max(sub_id, list_dot_product(q.e, s.c)) AS pred FROM q, s GROUP BY q.id",
     "accuracy": f"WITH {_PROTO}, {_PRED}, {_ACC} SELECT epoch, dataset, accuracy FROM ac",
+    "select_from_shards": f"SELECT source AS shard, doc_id, sha256(text) AS sha FROM documents WHERE doc_id IN (SELECT doc_id FROM ({_LISTED}))",
     "accuracy_resume": f"WITH {_PROTO}, {_PRED}, {_ACC} SELECT epoch, dataset, CASE WHEN epoch = 0 THEN -1.0::DOUBLE ELSE accuracy END AS accuracy FROM ac",
     "eval_subset": f"WITH {_PROTO}, {_PRED} SELECT id % 4 AS dataset, round(avg(CASE WHEN pred = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy FROM pr WHERE id IN (SELECT doc_id FROM labels) GROUP BY id % 4",
 }
 
-JOBS = {f.__name__: f for f in (load_embeddings, read_npy_chunks, zip_chunk_metadata, positional_ids, read_metadata_chunk, image_folder_index, read_tar_shards, read_tolerant, write_tar_shards, assign_output_shards, parse_label, sample_key, coalesce_fields, filter_has_field, map_fields, group_members, select_samples, select_samples_labeled, first_n_ids, expand_prompts, class_subset, class_prototypes, zero_shot_logits, zero_shot_predict, masked_predict, accuracy, accuracy_resume, eval_subset)}
+JOBS = {f.__name__: f for f in (load_embeddings, read_npy_chunks, zip_chunk_metadata, positional_ids, read_metadata_chunk, image_folder_index, read_tar_shards, read_tolerant, write_tar_shards, assign_output_shards, parse_label, sample_key, coalesce_fields, filter_has_field, map_fields, group_members, select_samples, select_from_shards, select_samples_labeled, first_n_ids, expand_prompts, class_subset, class_prototypes, zero_shot_logits, zero_shot_predict, masked_predict, accuracy, accuracy_resume, eval_subset)}

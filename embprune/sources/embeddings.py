@@ -3,16 +3,12 @@
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.blocks import matrix
-from .files import LOT_BYTES, list_files, open_input
 
 
 def read_embeddings(spark: SparkSession, *paths: str, id_col: str = "id", vector_col: str = "embedding", label_col: str | None = None) -> DataFrame:
@@ -26,52 +22,6 @@ def chunk_paths(folder: str, stem: str, numbers: list[int], suffix: str = "parqu
     return [f"{folder.rstrip('/')}/{stem}_{n:02d}.{suffix}" for n in numbers]
 
 
-def _npy_blocks(path: str) -> Iterator[np.ndarray]:
-    """Rows of a matrix file, in blocks of about LOT_BYTES; a file in column order is read whole."""
-    with open_input(path) as stream:
-        version = np.lib.format.read_magic(stream)
-        shape, columns_first, kind = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(stream)
-        if columns_first:
-            yield np.frombuffer(stream.read(), kind).reshape(shape, order="F")
-            return
-        width = int(np.prod(shape[1:]))
-        step = max(1, LOT_BYTES // max(width * kind.itemsize, 1))
-        for i in range(0, shape[0], step):
-            n = min(step, shape[0] - i)
-            yield np.frombuffer(stream.read(n * width * kind.itemsize), kind).reshape(n, width)
-
-
-def read_npy(spark: SparkSession, glob: str) -> DataFrame:
-    """(chunk, pos, embedding) from files that hold one matrix each; the chunk is the last number in the name.
-
-    Files may be of any size: a worker reads one in blocks.
-    """
-
-    def run(batches):
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                chunk, pos = int("".join(c if c.isdigit() else " " for c in path.rsplit("/", 1)[-1]).split()[-1]), 0
-                for rows in _npy_blocks(path):
-                    rows = rows.astype(np.float32)
-                    vectors = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float32()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), chunk)), pa.array(np.arange(pos, pos + len(rows))), vectors], ["chunk", "pos", "embedding"])
-                    pos += len(rows)
-
-    return list_files(spark, glob).select("path").mapInArrow(run, "chunk long, pos long, embedding array<float>")
-
-
-def npy_files(df: DataFrame, chunk_col: str, order_col: str, vector_col: str = "embedding") -> DataFrame:
-    """(path, content): the vectors of each chunk, in order, as one matrix file. A chunk must fit into a task."""
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(order_col)
-        out = io.BytesIO()
-        np.save(out, matrix(table[vector_col]).astype(np.float32))
-        return pa.table({"path": [f"img_emb_{table[chunk_col][0].as_py()}.npy"], "content": pa.array([out.getvalue()], pa.binary())})
-
-    return df.select(chunk_col, order_col, vector_col).groupBy(chunk_col).applyInArrow(run, "path string, content binary")
-
-
 def metadata_files(df: DataFrame, chunk_col: str, order_col: str, stem: str = "metadata") -> DataFrame:
     """(path, content): the rows of each chunk, in order, as one numbered parquet file. A chunk must fit into a task."""
 

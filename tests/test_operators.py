@@ -258,14 +258,8 @@ def test_tar_round_trip_and_broken_shards(spark, tmp_path, monkeypatch):
     assert {r.error.split(":")[0] for r in numbers.where("error IS NOT NULL").collect()} == {"ReadError", "ValueError"}
 
 
-def test_npy_files_and_paths(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(embeddings, "LOT_BYTES", 5)
-    for n in (3, 12):
-        np.save(tmp_path / f"img_emb_{n}.npy", np.arange(4, dtype=np.float16).reshape(2, 2) + n)
-    got = sorted((r.chunk, r.pos, r.embedding) for r in embeddings.read_npy(spark, f"file://{tmp_path}/img_emb_*.npy").collect())
-    assert got == [(3, 0, [3.0, 4.0]), (3, 1, [5.0, 6.0]), (12, 0, [12.0, 13.0]), (12, 1, [14.0, 15.0])]
+def test_chunk_paths():
     assert embeddings.chunk_paths("d/", "metadata", [3, 12, 120]) == ["d/metadata_03.parquet", "d/metadata_12.parquet", "d/metadata_120.parquet"]
-    assert np.load(io.BytesIO((tmp_path / "img_emb_3.npy").read_bytes())).shape == (2, 2)
 
 
 def test_masks_and_accuracy(spark):
