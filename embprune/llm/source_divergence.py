@@ -14,7 +14,7 @@ from ._shared import LOWER, UPPER, Tables
 
 #: Documents that a kept term is in, what is added to each count, the scale of frequencies, ranks of terms.
 LEAST_DOCS, ADDED, SCALE, MOST_TERMS = 30, 5, 1_000_000_000, 50
-WORD = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Numbers of groups (lang, source) whose array may be broadcast; beyond it the join shuffles.
 BROADCAST_GROUPS = 1 << 16
 
@@ -24,13 +24,13 @@ def _empty(column: str) -> Column:
 
 
 def count_terms(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and numbers of documents. The words of a text come sorted, so that the first of each term
-    counts the document."""
-    words = F.sort_array(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(WORD), 0))
-    sorted_words = docs.select("lang", "source", words.alias("words"))
-    told = F.transform("words", lambda w, i: F.struct(w.alias("term"), (~F.get("words", i - 1).eqNullSafe(w)).cast("long").alias("first")))
-    one = sorted_words.select("lang", "source", F.explode(told).alias("w"))
-    return one.groupBy("lang", "source", "w.term").agg(F.count("*").alias("n"), F.sum("w.first").alias("docs"))
+    """(lang, source, term, n, docs): occurrences and numbers of documents. The words of a text come sorted, each beside the one before it,
+    so that the first of each term counts the document."""
+    words = F.sort_array(F.array_remove(F.split(F.translate("text", UPPER, LOWER), BETWEEN), ""))
+    some = docs.select("lang", "source", words.alias("words")).where(F.size("words") > 0)
+    before = F.concat(F.array(F.lit("")), F.slice("words", 1, F.size("words") - 1))
+    one = some.select("lang", "source", F.explode(F.arrays_zip(F.col("words").alias("term"), before.alias("before"))).alias("w"))
+    return one.groupBy("lang", "source", "w.term").agg(F.count("*").alias("n"), F.count_if(F.col("w.term") != F.col("w.before")).alias("docs"))
 
 
 def wide_terms(counts: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
