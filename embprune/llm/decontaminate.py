@@ -3,26 +3,31 @@ r"""Benchmark decontamination: Wu-Manber multi-pattern search over words.
 A-Z are lower-cased; words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`. Windows are `WINDOW` consecutive words of a benchmark
 item; an item of fewer words, but not none, is one window. Windows of one length form one search: a table of two-word
 blocks gives how far the search may move on, a hash bucket of the windows' last two words gives those to test, and a
-direct comparison of all words decides. A document word inside any occurrence is hit.
+direct comparison of all bytes decides. A document word inside any occurrence is hit.
 
 The benchmark is the broadcast side. It is cut into blocks of at most `BLOCK_BYTES` of text, which bounds what a
-worker holds; a larger benchmark is searched block after block, with the hits so far kept in a table between.
+worker holds; a larger benchmark is searched block after block, with the hits so far kept in a table between. A worker process
+builds the tables of a block once, for all its tasks.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
 from ._shared import arrow_columns, stage_table
 
 WINDOW = 13
-#: Bytes of benchmark text that are broadcast and searched at once (a worker's windows take about ten times as much memory).
+#: Bytes of benchmark text that are broadcast and searched at once (see the README for what their tables take).
 BLOCK_BYTES = 16 << 20
+#: Words whose places are Python numbers at once.
+LOT = 1 << 16
 
 #: Byte by byte: letters lower-cased, other ASCII that is no digit turned into a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -32,48 +37,104 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
+class Items:
+    """The words of many items one after the other: their bytes, joined by single spaces, and where each word begins and ends."""
+
+    def __init__(self, texts: list[str | None]):
+        joined, lengths = [], []
+        for text in texts:
+            seq = words(text)
+            lengths.append(np.fromiter(map(len, seq), np.int32, len(seq)))
+            if seq:
+                joined.append(b" ".join(seq))
+        self.bytes = b" ".join(joined)
+        self.begins = np.cumsum([0, *map(len, lengths)])
+        each = np.concatenate([np.zeros(0, np.int32), *lengths])
+        self.ends = np.cumsum(each + 1, dtype=np.int32) - 1
+        self.starts = self.ends - each
+
+    def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the bytes from one word to another."""
+        view = memoryview(self.bytes)
+        parts = (zip(self.starts[first[k : k + LOT]].tolist(), self.ends[last[k : k + LOT]].tolist()) for k in range(0, len(first), LOT))
+        return np.fromiter((xxh3_64_intdigest(view[i:j]) for part in parts for i, j in part), np.uint64, len(first))
+
+
 class WuManber:
-    """Search for word windows that all have `length` words; `windows` maps each to the numbers of its items."""
+    """Search for the windows of `length` words of the given items: a shift for each hashed block of two words, windows in buckets by
+    the hashed block at their end, and in a bucket by a hash of the whole; bytes decide. All tables are flat arrays."""
 
-    def __init__(self, length: int, windows: dict[tuple, list[int]]):
-        self.length, self.block = length, min(2, length)
+    def __init__(self, length: int, items: Items, numbers: np.ndarray):
+        self.length, self.block, self.items = length, min(2, length), items
         self.default = length - self.block + 1
-        self.shift: dict = {}
-        self.bucket: dict = defaultdict(list)
-        for window, items in windows.items():
-            for end in range(self.block, length + 1):
-                key = self._key(window, end)
-                self.shift[key] = min(self.shift.get(key, self.default), length - end)
-            self.bucket[self._key(window, length)].append((list(window), items))
-
-    def _key(self, seq, end: int):
-        return seq[end - 1] if self.block == 1 else (seq[end - 2], seq[end - 1])
+        begins, sizes = items.begins[numbers], items.begins[numbers + 1] - items.begins[numbers]
+
+        def runs(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """(place in an item, item) of its first n words, for all items."""
+            return (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32), np.repeat(np.arange(len(n), dtype=np.int32), n)
+
+        # Blocks: the nearest end of a window behind one that begins at word i is that of the item's first, or its own.
+        at, item = runs(sizes - self.block + 1)
+        first = begins.astype(np.int32)[item] + at
+        # Sixteen slots for each block, so that few others share one.
+        self.mask = (1 << max(10, int(len(first) * 8).bit_length())) - 1
+        slots = (items.hashes(first, first + self.block - 1) & np.uint64(self.mask)).astype(np.int32)
+        shift = np.full(self.mask + 1, self.default, np.uint8)
+        np.minimum.at(shift, slots, np.maximum(0, length - self.block - at).astype(np.uint8))
+        self.shift = shift.tobytes()
+        # Windows, by the slot of their last block, then by hash; those of equal hashes lie together.
+        ends = np.flatnonzero(at >= length - self.block)
+        begin = first[ends] - (length - self.block)
+        whole = items.hashes(begin, begin + length - 1)
+        slots, owner = slots[ends], numbers.astype(np.int32)[item[ends]]
+        del at, item, first, ends
+        order = np.lexsort((owner, whole, slots))
+        self.begin, self.whole, self.owner, self.slots = begin[order], whole[order], owner[order], slots[order]
+
+    def found(self, slot: int, text: bytes) -> np.ndarray | None:
+        """The items that hold a window of these bytes whose last block has this slot."""
+        low, high = (self.slots.searchsorted(np.int32(slot), side) for side in ("left", "right"))
+        if low == high:
+            return None
+        key = np.uint64(xxh3_64_intdigest(text))
+        part = self.whole[low:high]
+        i, j = (low + part.searchsorted(key, side) for side in ("left", "right"))
+        starts, ends = self.items.starts[self.begin[i:j]], self.items.ends[self.begin[i:j] + self.length - 1]
+        same = [k for k, a, b in zip(range(i, j), starts.tolist(), ends.tolist()) if self.items.bytes[a:b] == text]
+        return self.owner[same] if same else None
 
     def occurrences(self, seq: list[bytes]):
         """(start, items) of each occurrence, by start."""
-        at, m, n, shift, default, bucket, key = self.length, self.length, len(seq), self.shift.get, self.default, self.bucket, self._key
+        at, m, n, shift, mask, one = self.length, self.length, len(seq), self.shift, self.mask, self.block == 1
         while at <= n:
-            k = key(seq, at)
-            move = shift(k, default)
+            slot = xxh3_64_intdigest(seq[at - 1] if one else seq[at - 2] + b" " + seq[at - 1]) & mask
+            move = shift[slot]
             if move:
                 at += move
                 continue
-            for window, items in bucket[k]:
-                if seq[at - m : at] == window:
-                    yield at - m, items
+            items = self.found(slot, b" ".join(seq[at - m : at]))
+            if items is not None:
+                yield at - m, items
             at += 1
 
 
 def searches(texts: list[str | None], window: int) -> list[WuManber]:
-    by_length: dict[int, dict[tuple, list[int]]] = defaultdict(dict)
-    for number, text in enumerate(texts):
-        seq = words(text)
-        m = min(window, len(seq))
-        for i in range(len(seq) - m + 1 if m else 0):
-            items = by_length[m].setdefault(tuple(seq[i : i + m]), [])
-            if not items or items[-1] != number:
-                items.append(number)
-    return [WuManber(m, found) for m, found in sorted(by_length.items())]
+    """One search for each length of windows."""
+    items = Items(texts)
+    sizes = np.minimum(np.diff(items.begins), window)
+    return [WuManber(m, items, np.flatnonzero(sizes == m)) for m in np.unique(sizes[sizes > 0]).tolist()]
+
+
+#: The searches of the block that this worker process had last, by the block's name.
+_BUILT: dict[str, list[WuManber]] = {}
+
+
+def searches_of(name: str, texts: list[str | None], window: int) -> list[WuManber]:
+    """`searches`, built once for each worker process and block."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = searches(texts, window)
+    return _BUILT[name]
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[int]:
@@ -89,11 +150,11 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[int]:
 
 def _search_block(df: DataFrame, text_col: str, items: list[tuple[str, str | None]], window: int) -> DataFrame:
     spark = df.sparkSession
-    held = spark.sparkContext.broadcast(items)
+    held, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def start():
         ids = [i for i, _ in held.value]
-        find = searches([t for _, t in held.value], window)
+        find = searches_of(name, [t for _, t in held.value], window)
 
         def work(texts, spans, found):
             n_words, out_spans, out_items = [], [], []
@@ -103,7 +164,7 @@ def _search_block(df: DataFrame, text_col: str, items: list[tuple[str, str | Non
                 for search in find:
                     for at, numbers in search.occurrences(seq):
                         hits.append((at, at + search.length))
-                        got.update(numbers)
+                        got.update(numbers.tolist())
                 n_words.append(len(seq))
                 out_spans.append(merge_spans(hits + list(zip(old[::2], old[1::2]))) if hits else old)
                 out_items.append(had + [ids[g] for g in got] if got else had)
