@@ -136,7 +136,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = stage_table(runs.repeated(), "line-repeated")
     runs.drop()
     taken = {"n_lines", "n_dropped"}
-    held = docs.withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    order = [c for c in docs.columns if c.lower() not in taken]
+    # The caller's columns as one, so that none of them meets a column that is made here.
+    whole = F.struct(*(F.col(f"`{c}`") for c in order if c != text_col)) if order != [text_col] else F.lit(0)
+    held = docs.select(whole.alias("row"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("__doc"))
     keys = None
     if repeated.count() <= broadcast_keys:
         table = repeated.toArrow().sort_by([("h1", "ascending"), ("h2", "ascending")])
@@ -146,7 +149,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         known = repeated.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "top")
         gone = lines.join(known, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & (F.col("doc") < F.col("top")))
         lists = gone.groupBy(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash")).agg(F.collect_set(F.struct("h1", "h2")).alias("__gone"))
-        held = held.withColumn("__hash", F.xxhash64(text_col)).join(stage_table(lists, "line-gone"), ["__doc", "__hash"], "left").drop("__hash")
+        held = held.withColumn("__hash", F.xxhash64("text")).join(stage_table(lists, "line-gone"), ["__doc", "__hash"], "left").drop("__hash")
     drop_table(lines)
 
     def start():
@@ -183,6 +186,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return work
 
-    fields = [T.StructField(text_col, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-    order = [c for c in docs.columns if c.lower() not in taken]
-    return arrow_columns(held, [text_col, "__doc", "__gone"], fields, start).select(*order, "n_lines", "n_dropped")
+    fields = [T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
+    done = arrow_columns(held, ["text", "__doc", "__gone"], fields, start)
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in order), "n_lines", "n_dropped")

@@ -87,7 +87,9 @@ def filter_urls(pages: DataFrame, blocklist: DataFrame, rules: list[Rule] = (),
     bloom, blocks = bloom_filter(listed, max_blocks=max_blocks)
     host, path = url_parts(F.col(url_col))
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    parts = pages.select(*kept, host.alias("host"), path.alias("path"))
+    # The caller's columns as one, so that none of them meets a column that is made here.
+    whole = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.lit(0)
+    parts = pages.select(whole.alias("page"), host.alias("host"), path.alias("path"))
     h, p = F.col("host"), F.col("path")
     url = F.col("__url")
     probed = (
@@ -98,8 +100,8 @@ def filter_urls(pages: DataFrame, blocklist: DataFrame, rules: list[Rule] = (),
     possible = F.col("__by_rule").isNull() & F.col("__w0").isNotNull()
     for j in range(4):
         possible = possible & (F.col(f"__w{j}").bitwiseAND(F.col(f"__m{j}")) == F.col(f"__m{j}"))
-    probed = probed.select(*kept, "host", "path", "rule", "__by_rule", "__url", F.coalesce(possible, F.lit(False)).alias("__possible"))
-    out = [*kept, "host", "path", "rule"]
+    probed = probed.select("page", "host", "path", "rule", "__by_rule", "__url", F.coalesce(possible, F.lit(False)).alias("__possible"))
+    out = [*(F.col("page").getField(c).alias(c) for c in kept), "host", "path", "rule"]
     passed = probed.where(~F.col("__possible")).select(*out, F.coalesce("__by_rule", F.lit("allow")).alias("verdict"))
     exact = listed.select(F.col("canonical").alias("__url"), F.lit(True).alias("__listed"))
     judged = probed.where("__possible").join(exact.hint("shuffle_hash"), "__url", "left")

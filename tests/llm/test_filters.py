@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql.functions import lit
 
 from embprune.llm import decontaminate, line_dedup, queries, url_filter
 from embprune.llm.url_filter import Rule
@@ -149,3 +150,50 @@ def test_repeated_benchmark_rows_are_collected_once(spark, make_docs, monkeypatc
     rows = decontaminate.find_contamination(make_docs(["one two three", "six"]), bench).collect()
     assert sorted(i for block in seen for i in block) == [("a", "one two three"), ("b", "four five")]
     assert sorted((r.doc_id, r.n_hit, r.item_ids) for r in rows) == [(0, 3, ["a"]), (1, 0, [])]
+
+
+def test_columns_of_internal_names_pass_the_filters(spark, make_docs):
+    names = ["__block", "__url", "__by_rule", "__possible", "__listed", "__w0", "__w3", "__m0", "__m3", "__doc", "__gone", "__hash", "row", "page", "a.b"]
+    more = [lit(f"own {n}").alias(n) for n in names]
+    pages = spark.createDataFrame([(1, "http://a.org/x"), (2, "http://b.net/y"), (3, None)], "page_id long, url string").select("*", *more)
+    listed = spark.createDataFrame([("b.net/y",)], "canonical string")
+    for blocks in (url_filter.MAX_BLOCKS, 1):
+        found = url_filter.filter_urls(pages, listed, [Rule("allow", "org", "/")], max_blocks=blocks)
+        assert found.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+        assert {r.page_id: r.verdict for r in found.collect()} == {1: "allow", 2: "block", 3: "allow"}
+        assert all(r[n] == f"own {n}" for r in found.collect() for n in names)
+    assert url_filter.filter_urls(pages.limit(0), listed, []).count() == 0
+    docs = make_docs(["a line that is long enough\nrest", "a line that is long enough", "A line that is long enough ", None]).select("*", *more)
+    for keys in (line_dedup.BROADCAST_KEYS, 0):
+        found = line_dedup.dedup_lines(docs, broadcast_keys=keys)
+        assert found.columns == [*docs.columns, "n_lines", "n_dropped"]
+        assert {r.doc_id: (r.text, r.n_dropped) for r in found.collect()} == {0: ("rest", 1), 1: ("", 1), 2: ("A line that is long enough ", 0), 3: ("", 0)}
+        assert all(r[n] == f"own {n}" for r in found.collect() for n in names)
+
+
+def test_a_full_block_of_the_benchmark_takes_bounded_memory():
+    """The tables of BLOCK_BYTES of words without repeats, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from embprune.llm import decontaminate as D
+rng = random.Random(1)
+texts, n = [], 0
+while n < D.BLOCK_BYTES:
+    texts.append(" ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(300)))
+    n += len(texts[-1])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = D.searches(texts, D.WINDOW)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10, len(list(found[0].occurrences(texts[7].encode().split()))))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) < 400 and int(out[1]) == 288
+
+
+def test_a_worker_builds_a_block_once():
+    texts = [" ".join(WORDS[:20])]
+    assert decontaminate.searches_of("one", texts, 13) is decontaminate.searches_of("one", texts, 13)
+    decontaminate.searches_of("two", texts, 13)
+    assert list(decontaminate._BUILT) == ["two"]

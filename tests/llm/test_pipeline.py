@@ -81,7 +81,7 @@ def test_last_stage_and_run(staged, spark):
         assert rows[i].decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
 
 
-MORE = ["n_lines", "lang_pred", "score", "row", "n_hit", "kept", "ids", "decoded"]
+MORE = ["n_lines", "lang_pred", "score", "row", "n_hit", "kept", "ids", "decoded", "_row", "__doc", "__gone", "__hash"]
 
 
 def test_nulls_repeats_and_clashing_columns_in_every_stage(spark, make_docs):
