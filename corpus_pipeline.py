@@ -66,14 +66,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told apart by a number that is written once, so repeated rows and ids and null ids are copies as any other; of
     rows that share the smallest id the one of the smallest number stays. A text without words is nobody's copy and stays. Texts
-    of any length are compared by all their shingles. An empty table stays empty. Columns beside those of `documents` pass.
+    of any length are compared by all their shingles. An empty table stays empty. Columns beside those of `documents`, of any
+    name, pass.
     """
     order = docs.columns
-    rows = stage_table(docs.withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
+    rows = stage_table(beside_text(docs, "doc_id").withColumn(ROW, F.monotonically_increasing_id()), "pipeline-rows")
     found = near_dup.near_duplicates(rows, row_col=ROW)
     gone = stage_table(found.where(~F.col("stays")).select(F.col("row").alias(ROW)), "pipeline-copies")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return rows.join(side, ROW, "left_anti").select(*order)
+    return rows.join(side, ROW, "left_anti").select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in order))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
