@@ -19,7 +19,8 @@ from ..functions.blocks import matrix
 from ..functions.work import Work, counting
 from ..sources.tables import new_path, stage_table
 from .nearest import Groups, grouped, moved, nearest
-from .similarity import PASS_BYTES, QUERY_BYTES, over_rows, query_blocks
+from .products import over
+from .similarity import PASS_BYTES, QUERY_BYTES, balls, over_rows, query_blocks
 from .sums import Sums, blocks_schema, combined, most_tasks
 
 #: Passes of a fit after which sums are taken of all rows again.
@@ -48,31 +49,55 @@ def seed_centers(rows: DataFrame, k: int, seed: int, chunk_col: str | None = Non
     return top.withColumn("cluster", F.row_number().over(place) - 1).select("cluster", "id", F.col("embedding").cast("array<double>").alias("center"))
 
 
-def close_centers(centers: DataFrame, limit: float = 0.9) -> DataFrame:
-    """(cluster,) of every centre that has another one of a similarity above `limit`."""
+def close_centers(centers: DataFrame, limit: float = 0.9, fresh: DataFrame | None = None, work: Work | None = None) -> DataFrame:
+    """(cluster,) of every centre of a pair whose similarity is above `limit`; with `fresh` (cluster, center), of pairs with one of these.
 
-    def fold(own, x, before, ids, c):
-        near = ((x @ c.T > limit) & (own[:, None] != ids)).any(1)
-        return [pa.array(near if before is None else near | before[0].to_numpy(zero_copy_only=False))]
+    Centres meet only balls of others that can hold such a pair (`products`); `work` counts the products.
+    """
+    rows, count = centers.select("cluster", "center"), counting(work)
+    others = rows if fresh is None else fresh.select("cluster", "center")
 
-    rows = centers.select("cluster", "center")
-    found = over_rows(rows, "center", query_blocks(rows, "cluster", "center"), "close boolean", fold)
-    return rows.select("cluster").limit(0) if found is None else found.where("close").select("cluster")
+    def fold(own, x, before, *block):
+        g = Groups(*block)
+        pairs, computed = [], len(x) * len(g.pivots)
+        for at, held, sims in over(x, g, np.full(len(g.ids), limit)):
+            computed += sims.size
+            i, j = np.nonzero((sims > limit) & (g.ids[held] != own[at][:, None]))
+            pairs.append((at[i], g.ids[held][j]))
+        count(computed, len(x) * len(g.ids))
+        i, j = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in pairs)]) for k in (0, 1))
+        order = np.argsort(i, kind="stable")
+        ends = np.concatenate(([0], np.cumsum(np.bincount(i, minlength=len(x)))))
+        found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(j[order]))
+        if before is not None:
+            found = pa.array([a + b for a, b in zip(before[0].to_pylist(), found.to_pylist())], found.type)
+        return [found]
+
+    found = over_rows(rows, "center", balls(query_blocks(others, "cluster", "center")), "near array<bigint>", fold, width=1 << 10)
+    if found is None:
+        return rows.select("cluster").limit(0)
+    close = found.where(F.size("near") > 0)
+    return close.select(F.explode(F.concat(F.array(F.col("cluster").cast("long")), "near")).alias("cluster")).distinct().select(F.col("cluster").cast("int").alias("cluster"))
 
 
-def dedup_centers(centers: DataFrame, spares: DataFrame, limit: float = 0.9) -> DataFrame:
+def dedup_centers(centers: DataFrame, spares: DataFrame, limit: float = 0.9, rounds: list[Work] | None = None) -> DataFrame:
     """Replace every centre of a too close pair by the next of `spares` (id, center by ascending `at` from 0), until none is left.
 
-    Close centres take spares in the order of their clusters. Raises if the spares run out.
+    Close centres take spares in the order of their clusters. After the first round only pairs with a replaced centre are
+    looked for, as all others are apart; `rounds` gets the products of each round. Raises if the spares run out.
     """
-    used = 0
+    used, fresh = 0, None
     while True:
+        work = Work(centers.sparkSession) if rounds is not None else None
         # Centres are a bounded table, so the single-partition rank is.
-        close = stage_table(close_centers(centers, limit).selectExpr("cluster", f"row_number() OVER (ORDER BY cluster) - 1 + {used} AS at"), "close-centers")
+        found = close_centers(centers, limit, fresh, work)
+        close = stage_table(found.selectExpr("cluster", f"row_number() OVER (ORDER BY cluster) - 1 + {used} AS at"), "close-centers")
         n = close.count()
+        if rounds is not None:
+            rounds.append(work)
         if not n:
             return centers
-        fresh = spares.join(close, "at").select("cluster", "id", "center")
+        fresh = stage_table(spares.join(close, "at").select("cluster", "id", "center"), "fresh-centers")
         new = stage_table(centers.join(close, "cluster", "left_anti").select("cluster", "id", "center").unionByName(fresh), "centers")
         if new.count() < centers.count():
             raise ValueError("centres stay too close: no spare rows left")

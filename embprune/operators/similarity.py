@@ -207,7 +207,7 @@ def topk(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
     return merge_candidates(topk_by_chunk(queries, base.withColumn("__chunk", F.lit(0)), k, "__chunk"), k)
 
 
-def _balls(blocks: Iterator[tuple]) -> Iterator[tuple]:
+def balls(blocks: Iterator[tuple]) -> Iterator[tuple]:
     """Blocks of queries in balls; further columns in the order of the balls."""
     for ids, q, *more in blocks:
         g = grouped(ids, q)
@@ -225,7 +225,7 @@ def with_largest(rows: DataFrame, blocks: Iterator[tuple], state: str, work: Wor
         count(computed, len(x) * len(g.ids))
         return [pa.array(best), pa.array(who)]
 
-    return over_rows(rows, "embedding", _balls(blocks), state, fold, width=1 << 10)
+    return over_rows(rows, "embedding", balls(blocks), state, fold, width=1 << 10)
 
 
 def max_sims(base: DataFrame, queries: DataFrame, work: Work | None = None) -> DataFrame:
@@ -306,7 +306,7 @@ def violations_of_sets(queries: DataFrame, pool: DataFrame, thresholds: DataFram
 
     rows = pool.select("id", "embedding").where(F.col("embedding").isNotNull())
     blocks = query_blocks(known.withColumn("of", number), more=["threshold", "of"]) if names else iter(())
-    found = over_rows(rows, "embedding", _balls(blocks), "who array<bigint>, how array<double>", fold, width=1 << 10)
+    found = over_rows(rows, "embedding", balls(blocks), "who array<bigint>, how array<double>", fold, width=1 << 10)
     if found is None:
         return pool.sparkSession.createDataFrame([], "eval_set string, id long, query_id long, sim double")
     sets = F.array(*map(F.lit, names))

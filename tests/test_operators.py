@@ -225,7 +225,11 @@ def test_centres_are_replaced_round_by_round_as_by_hand(spark):
     schema = "cluster int, id long, center array<double>"
     centers = table(spark, [(i, i, x[i].tolist()) for i in range(30)], schema)
     spares = table(spark, [(i - 30, i, x[i].tolist()) for i in range(30, 400)], "at int, id long, center array<double>")
-    got = kmeans.dedup_centers(centers, spares, 0.97)
+    done = []
+    got = kmeans.dedup_centers(centers, spares, 0.97, done)
+    products = [w.done.value for w in done]
+    # Only pairs with replaced centres are asked for again.
+    assert len(products) == rounds + 1 and max(products[1:]) <= products[0] / 3 and products[-1] < products[1]
     assert rounds > 2 and {r.cluster: r.id for r in got.collect()} == dict(enumerate(own))
 
 
