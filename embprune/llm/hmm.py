@@ -222,17 +222,19 @@ _STARTS, _MOVES = -1, -2
 
 
 def expected_rows(model: Model, table: DataFrame, tail: int | None = None, segment: int = SEGMENT, context: int = CONTEXT) -> DataFrame:
-    """(kind, token, s0, s1, ...): the expected counts of one pass over `table` (symbols, misses, which), summed in each task.
+    """(kind, token, c, s0, s1, ...): the expected counts of one pass over `table` (symbols, misses, which), summed in each task.
 
     Kinds are symbols, _STARTS and _MOVES - state. With `tail`, the number of the tier's symbols that the model has not, there
-    are also rows of those, and of the words that the tier lacks (kind null), one for each text and different word.
+    are also rows of those, and of the words that the tier lacks (kind null), one for each text and different word. For these words
+    c is the exact number of occurrences, 0 for all other rows.
     """
     states, symbols = model.emit.shape
     held = table.sparkSession.sparkContext.broadcast(model)
     names = [f"s{s}" for s in range(states)]
 
     def rows(kind, token, counts):
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int64()), pa.array(token, pa.string()), *(pa.array(counts[:, s].astype(np.float32)) for s in range(states))], ["kind", "token", *names])
+        none = pa.array(np.zeros(len(counts), np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int64()), pa.array(token, pa.string()), none, *(pa.array(counts[:, s].astype(np.float32)) for s in range(states))], ["kind", "token", "c", *names])
 
     def counted(at: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
         return np.stack([np.bincount(at, weights[:, s], minlength=size) for s in range(states)], 1)
@@ -261,8 +263,10 @@ def expected_rows(model: Model, table: DataFrame, tail: int | None = None, segme
                 # One row for each text and different word.
                 offset = np.concatenate(([0], np.cumsum(misses.value_lengths().to_numpy())))
                 at = np.concatenate([np.frombuffer(w, "<u4") + o for w, o in zip(which, offset)])
-                names, counts = misses.flatten(), counted(at.astype(np.int64), weights[flat == RARE], offset[-1])
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(names), pa.int64()), names, *(pa.array(counts[:, s].astype(np.float32)) for s in range(states))], ["kind", "token", *(f"s{s}" for s in range(states))])
+                words, at = misses.flatten(), at.astype(np.int64)
+                counts = counted(at, weights[flat == RARE], offset[-1])
+                own = pa.array(np.bincount(at, minlength=offset[-1]))
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), words, own, *(pa.array(counts[:, s].astype(np.float32)) for s in range(states))], ["kind", "token", "c", *names])
 
         for batch in batches:
             cells, which = batch.column(0).to_pylist(), batch.column(2).to_pylist()
@@ -276,7 +280,7 @@ def expected_rows(model: Model, table: DataFrame, tail: int | None = None, segme
             yield rows(kinds[used], [None] * int(used.sum()), counts[used])
         yield rows(np.concatenate(([_STARTS], _MOVES - np.arange(states))), [None] * (states + 1), np.concatenate((starts[None], moves)))
 
-    return table.select("symbols", "misses", "which").mapInArrow(run, "kind long, token string, " + ", ".join(f"{n} float" for n in names))
+    return table.select("symbols", "misses", "which").mapInArrow(run, "kind long, token string, c long, " + ", ".join(f"{n} float" for n in names))
 
 
 def summed(parts: DataFrame, *keys: str) -> DataFrame:
@@ -351,7 +355,8 @@ _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_scor
 
 
 def scored(table: DataFrame, held: Scorer) -> DataFrame:
-    """Scores of coded texts with `found`, an array of (k, counts by state): k is the place among the text's different misses."""
+    """Scores of coded texts with `found`, an array of (k, c, counts by state): k is the place among the text's different misses, c
+    the number of a word's occurrences in training."""
     states = len(held.unit)
     own = table.sparkSession.sparkContext.broadcast(held)
     log_unseen = math.log10(0.5)
@@ -373,7 +378,7 @@ def scored(table: DataFrame, held: Scorer) -> DataFrame:
             known = np.repeat(offset[:-1], n_found) + found.field("k").to_numpy()
             place, logs = np.full(offset[-1], RARE), np.zeros(offset[-1])
             place[known] = len(emit) + np.arange(len(known))
-            logs[known] = np.log10(np.round(counts.sum(1)) + 0.5) - log_unseen
+            logs[known] = np.log10(found.field("c").to_numpy() + 0.5) - log_unseen
             at, of = np.concatenate([w + o for w, o in zip(which, offset)]), np.repeat(np.arange(len(texts)), [len(w) for w in which])
             flat = np.concatenate(texts)
             flat[flat == RARE] = place[at]
@@ -413,6 +418,6 @@ def score_texts(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", tex
     # One row for each text and different word; what comes back for a text is no more than its words.
     misses = table.select("rid", F.posexplode("misses").alias("k", "token"))
     names = [F.col(f"s{s}").cast("float").alias(f"s{s}") for s in range(states)]
-    found = misses.join(words, "token").groupBy("rid").agg(F.collect_list(F.struct("k", *names)).alias("found"))
+    found = misses.join(words, "token").groupBy("rid").agg(F.collect_list(F.struct("k", "c", *names)).alias("found"))
     done = scored(table.join(found, "rid", "left"), scorer(model, others, rare, corpus))
     return done.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -358,3 +358,27 @@ def test_columns_of_any_name_play_no_part_in_a_search(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     clashing = rows.selectExpr("*", "'x' AS id", "7 AS vector", "7 AS part", "7 AS row", "7 AS score", "7 AS rank", "7 AS query_id")
     assert sorted(ann.search(clashing, clashing).collect()) == sorted(ann.search(rows, rows).collect())
+
+
+def test_counts_beyond_the_tier_are_exact_integers(spark):
+    """Counts above 2^24 of words that the tier lacks come from a column of their own, not from the shares by state."""
+    texts = ["a a a b b rare rare", "a b rare once", "b", "other"]
+    df = spark.createDataFrame([(i, t, False) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean")
+    corpus = hmm.corpus_of(hmm.word_counts(df, "text"), 2)
+    table = hmm.coded(df, corpus).cache()
+    model = hmm.first_model(corpus, 2, 1)
+    rows = hmm.expected_rows(model, table, len(corpus.words) - corpus.own)
+    assert {r.token: r.c for r in hmm.summed(rows, "kind", "token").where("token IS NOT NULL").collect()} == {w: " ".join(texts).split().count(w) for w in {w for t in texts for w in t.split()} - set(corpus.words)}
+    _, others, rare = hmm.baum_welch_step(model, hmm.summed(rows, "kind", "token"))
+    large = 3 * 10**9 + 1
+    misses = table.select("rid", F.posexplode("misses").alias("k", "token")).where("token = 'rare'")
+    share = [F.lit(large / 2 * 1.0000002).cast("float").alias(f"s{s}") for s in range(2)]
+    found = misses.groupBy("rid").agg(F.collect_list(F.struct("k", F.lit(large).cast("long").alias("c"), *share)).alias("found"))
+    got = {r.doc_id: r.base_score for r in hmm.scored(table.join(found, "rid", "left"), hmm.scorer(model, others, rare, corpus)).collect()}
+    n = {w: " ".join(texts).split().count(w) for w in corpus.words}
+
+    def base(text):
+        c = [large if w == "rare" else n.get(w, 0) for w in text.split()]
+        return sum(np.log10(x + 0.5) for x in [*c, len(texts)]) - (len(c) + 1) * corpus.base_log
+
+    assert all(abs(got[i] - base(t)) < 1e-9 for i, t in enumerate(texts) if "other" not in t and "once" not in t)
