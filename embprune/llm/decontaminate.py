@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh3_64_intdigest
 
 from ._shared import arrow_columns, stage_table
 
@@ -38,26 +37,31 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Items:
-    """The words of many items one after the other: their bytes, joined by single spaces, and where each word begins and ends."""
+    """The words of many items one after the other: their bytes, joined by single spaces, where each word begins and ends, and hashes of
+    the blocks that begin at each, of two words or, in an item of one, of that. Hashes hold for this process alone."""
 
     def __init__(self, texts: list[str | None]):
-        joined, lengths = [], []
+        joined, lengths, blocks = [], [], []
         for text in texts:
             seq = words(text)
             lengths.append(np.fromiter(map(len, seq), np.int32, len(seq)))
             if seq:
                 joined.append(b" ".join(seq))
+                # The last word of an item of several begins no block.
+                made = map(hash, zip(seq, [*seq[1:], b""])) if len(seq) > 1 else map(hash, seq)
+                blocks.append(np.fromiter(made, np.int64, len(seq)))
         self.bytes = b" ".join(joined)
         self.begins = np.cumsum([0, *map(len, lengths)])
         each = np.concatenate([np.zeros(0, np.int32), *lengths])
         self.ends = np.cumsum(each + 1, dtype=np.int32) - 1
         self.starts = self.ends - each
+        self.blocks = np.concatenate([np.zeros(0, np.int64), *blocks])
 
     def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the bytes from one word to another."""
+        """Hashes of the bytes from one word to another."""
         view = memoryview(self.bytes)
         parts = (zip(self.starts[first[k : k + LOT]].tolist(), self.ends[last[k : k + LOT]].tolist()) for k in range(0, len(first), LOT))
-        return np.fromiter((xxh3_64_intdigest(view[i:j]) for part in parts for i, j in part), np.uint64, len(first))
+        return np.fromiter((hash(view[i:j]) for part in parts for i, j in part), np.int64, len(first))
 
 
 class WuManber:
@@ -76,9 +80,9 @@ class WuManber:
         # Blocks: the nearest end of a window behind one that begins at word i is that of the item's first, or its own.
         at, item = runs(sizes - self.block + 1)
         first = begins.astype(np.int32)[item] + at
-        # Sixteen slots for each block, so that few others share one.
-        self.mask = (1 << max(10, int(len(first) * 8).bit_length())) - 1
-        slots = (items.hashes(first, first + self.block - 1) & np.uint64(self.mask)).astype(np.int32)
+        # Eight slots for each block, so that few others share one.
+        self.mask = (1 << max(10, int(len(first) * 4).bit_length())) - 1
+        slots = (items.blocks[first] & self.mask).astype(np.int32)
         shift = np.full(self.mask + 1, self.default, np.uint8)
         np.minimum.at(shift, slots, np.maximum(0, length - self.block - at).astype(np.uint8))
         self.shift = shift.tobytes()
@@ -86,6 +90,9 @@ class WuManber:
         ends = np.flatnonzero(at >= length - self.block)
         begin = first[ends] - (length - self.block)
         whole = items.hashes(begin, begin + length - 1)
+        seen = np.zeros(self.mask + 1, np.uint8)
+        seen[whole & self.mask] = 1
+        self.seen = seen.tobytes()
         slots, owner = slots[ends], numbers.astype(np.int32)[item[ends]]
         del at, item, first, ends
         order = np.lexsort((owner, whole, slots))
@@ -93,12 +100,14 @@ class WuManber:
 
     def found(self, slot: int, text: bytes) -> np.ndarray | None:
         """The items that hold a window of these bytes whose last block has this slot."""
+        key = hash(text)
+        if not self.seen[key & self.mask]:
+            return None
         low, high = (self.slots.searchsorted(np.int32(slot), side) for side in ("left", "right"))
         if low == high:
             return None
-        key = np.uint64(xxh3_64_intdigest(text))
         part = self.whole[low:high]
-        i, j = (low + part.searchsorted(key, side) for side in ("left", "right"))
+        i, j = (low + part.searchsorted(np.int64(key), side) for side in ("left", "right"))
         starts, ends = self.items.starts[self.begin[i:j]], self.items.ends[self.begin[i:j] + self.length - 1]
         same = [k for k, a, b in zip(range(i, j), starts.tolist(), ends.tolist()) if self.items.bytes[a:b] == text]
         return self.owner[same] if same else None
@@ -107,7 +116,7 @@ class WuManber:
         """(start, items) of each occurrence, by start."""
         at, m, n, shift, mask, one = self.length, self.length, len(seq), self.shift, self.mask, self.block == 1
         while at <= n:
-            slot = xxh3_64_intdigest(seq[at - 1] if one else seq[at - 2] + b" " + seq[at - 1]) & mask
+            slot = hash(seq[at - 1] if one else (seq[at - 2], seq[at - 1])) & mask
             move = shift[slot]
             if move:
                 at += move
