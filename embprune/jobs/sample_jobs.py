@@ -232,8 +232,9 @@ def accuracy(spark, d):
 
 def accuracy_resume(spark, d):
     done = zeroshot.accuracy(_scored(spark, d), "epoch", "dataset")
-    saved = done.where("epoch = 0").withColumn("accuracy", F.lit(-1.0))
-    return zeroshot.accuracy_resume(saved, done).withColumn("accuracy", F.round("accuracy", 6))
+    path = new_path(spark, "accuracies")
+    zeroshot.append_accuracies(done.where("epoch = 0").withColumn("accuracy", F.lit(-1.0)), path)
+    return zeroshot.append_accuracies(done, path).withColumn("accuracy", F.round("accuracy", 6))
 
 
 def eval_subset(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalize
+from ..sources.tables import exists, stage_table
 from .kmeans import cluster_sums
 from .similarity import over_rows, query_blocks, with_largest
 
@@ -66,6 +67,27 @@ def accuracy(predictions: DataFrame, *keys: str) -> DataFrame:
     return predictions.groupBy(*keys).agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("accuracy"))
 
 
+def missing_epochs(saved: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of `new` whose epoch is not among the saved ones."""
+    return new.join(saved.select("epoch").distinct(), "epoch", "left_anti")
+
+
 def accuracy_resume(saved: DataFrame, new: DataFrame) -> DataFrame:
     """Saved results and those of epochs that are not in them; order by epoch, newest first, when reading."""
-    return saved.unionByName(new.join(saved.select("epoch").distinct(), "epoch", "left_anti"))
+    return saved.unionByName(missing_epochs(saved, new))
+
+
+def append_accuracies(new: DataFrame, path: str) -> DataFrame:
+    """The table (epoch, dataset, accuracy) in the folder `path` after what it lacks of `new` has been added to it.
+
+    An epoch that the table has is left as it is, whatever `new` says; a folder that is not there is made. One writer at a
+    time. A row without an epoch is an error.
+    """
+    spark = new.sparkSession
+    checked = new.withColumn("epoch", F.coalesce("epoch", F.raise_error(F.lit("an accuracy without an epoch"))))
+    checked = checked.select(*(F.col(f.name).cast(f.dataType) for f in new.schema))
+    if exists(spark, path):
+        checked = missing_epochs(spark.read.schema(new.schema).parquet(path), checked)
+    # Written aside first: Spark must not read the folder that it adds to.
+    stage_table(checked, "accuracies").write.mode("append").parquet(path)
+    return spark.read.schema(new.schema).parquet(path)

@@ -297,3 +297,16 @@ def test_kmeans_goes_to_the_change_bound_and_says_where_it_does_not(cloud, spark
         assert {r.id: r.cluster for r in jobs()[name](spark, "/root/testdata/sf0.001").collect()} == want
     with pytest.warns(UserWarning, match="unconverged at pass 2"):
         kmeans.fit(cloud[1], kmeans.seed_centers(cloud[1], 5, 1), max_iterations=2)
+
+
+def test_saved_accuracies_grow_by_new_epochs(spark, tmp_path):
+    schema, path = "epoch int, dataset string, accuracy double", f"file://{tmp_path}/accuracies"
+    one = table(spark, [(0, "a", 0.1), (0, "b", 0.2)], schema)
+    two = table(spark, [(0, "a", 0.9), (1, "a", 0.3), (2, "b", 0.4)], schema)
+    assert zeroshot.append_accuracies(one.limit(0), path).count() == 0
+    zeroshot.append_accuracies(one, path)
+    got = zeroshot.append_accuracies(two, path)
+    want = [(0, "a", 0.1), (0, "b", 0.2), (1, "a", 0.3), (2, "b", 0.4)]
+    assert sorted(map(tuple, got.collect())) == want and sorted(map(tuple, zeroshot.append_accuracies(two, path).collect())) == want
+    with pytest.raises(Exception, match="without an epoch"):
+        zeroshot.append_accuracies(table(spark, [(None, "a", 0.5)], schema), path)
