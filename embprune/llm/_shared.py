@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ from ..operators.subsets import global_rank
 from ..sources.tables import drop_table, stage_table
 from ..sources.tables import read_table as read
 
-__all__ = ["LOWER", "SLICE_BYTES", "UPPER", "arrow_columns", "bound_batches", "crc_mod5", "drop_table", "most_frequent", "read", "slices", "stage_table", "Tables"]
+__all__ = ["LOWER", "SLICE_BYTES", "UPPER", "arrow_columns", "bound_batches", "crc_mod5", "drop_table", "give_back", "most_frequent", "read", "slices", "stage_table", "Tables"]
 
 #: Bytes of a batch that a worker handles at once.
 SLICE_BYTES = 8 << 20
@@ -51,16 +52,25 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         yield batch.slice(i, step)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: the worker lives on, beside others of its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_columns(
     df: DataFrame,
     inputs: list[str],
     fields: list[T.StructField],
     start: Callable[[], Callable[..., list[pa.Array]]],
+    most: int = SLICE_BYTES,
 ) -> DataFrame:
     """`df` with columns computed batch by batch in Arrow; columns of the same names are replaced.
 
     `start` runs once per task and returns a function that takes the `inputs` as Arrow arrays and returns
-    one array per field. All other columns pass through untouched. Batches are cut to about SLICE_BYTES.
+    one array per field. All other columns pass through untouched. Batches are cut to about `most` bytes.
     """
     bound_batches(df.sparkSession)
     made = [f.name for f in fields]
@@ -70,10 +80,10 @@ def arrow_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, most)):
             new = work(*(batch.column(batch.schema.get_field_index(n)) for n in inputs))
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in keep] + new, keep + made)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, T.StructType(kept + fields))
 

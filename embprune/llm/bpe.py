@@ -30,7 +30,11 @@ _PLAIN = re.compile("[\x00-\u052f]*")
 #: Pieces that no pre-token crosses, for texts that are not plain.
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Pre-tokens that a task keeps from text to text, and characters of these (scripts without spaces have long ones).
-CACHE_SIZE, CACHE_CHARS = 1 << 18, 1 << 22
+CACHE_SIZE, CACHE_CHARS = 1 << 17, 1 << 21
+#: Characters that are split at a time: the pre-tokens of a lot are the most that a worker holds beside its cache.
+LOT_CHARS = 1 << 20
+#: Bytes of a batch: texts, ids and decoded texts of one are held together.
+BATCH_BYTES = 2 << 20
 
 
 def _plain_pattern() -> re.Pattern:
@@ -200,7 +204,17 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian unsigned 32-bit integers, made in lots of LOT_CHARS characters of whole texts."""
+        out: list[bytes] = []
+        begin = held = 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held > LOT_CHARS or i + 1 == len(texts):
+                out += self._encode_lot(texts[begin : i + 1])
+                begin, held = i + 1, 0
+        return out
+
+    def _encode_lot(self, texts: list[str]) -> list[bytes]:
         split = [self.pre_tokens(t) for t in texts]
         used = set().union(*split)
         new = list(used - self.cache.keys())
@@ -244,7 +258,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", decoded
 
         return work
 
-    return arrow_columns(docs, [text_col], [T.StructField(n, t) for n, t in names], start)
+    return arrow_columns(docs, [text_col], [T.StructField(n, t) for n, t in names], start, BATCH_BYTES)
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Tables, bound_batches, drop_table, slices, stage_table
+from ._shared import Tables, bound_batches, drop_table, give_back, slices, stage_table
 
 SYMBOLS, CHUNK = 120, 5
 CHUNKS = SYMBOLS // CHUNK
@@ -138,6 +138,7 @@ def signed_documents(docs: DataFrame, id_col: str, text_col: str, width: int, ro
                 digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 sig.append(signature(found).tobytes() + sketch(found).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), b.column(2), b.column(3)], ["id", "digest", "n", "sig", "row", "text_hash"])
+        give_back()
 
     row = F.lit(None) if row_col is None else F.col(row_col)
     columns = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row.cast("long").alias("row"), F.xxhash64(text_col).alias("text_hash"))
@@ -215,6 +216,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int, involved:
                     sizes.append(len(found))
                     sets.append(found.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], ["cid", "n", "hashes"])
+        give_back()
 
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rep_id"), F.xxhash64(text_col).alias("rep_hash"), F.col(text_col).alias("text"))
     made = texts.join(side, ["rep_id", "rep_hash"]).select("cid", "digest", "text").mapInArrow(run, "cid long, n long, hashes binary")
@@ -352,6 +354,7 @@ def across_components(members: DataFrame, labels: DataFrame | None, classes: Dat
                 yield from pa.Table.from_batches(rows).combine_chunks().to_batches()
         if held:
             yield emit(held)
+        give_back()
 
     ordered = both.repartition("key", "mb", "ab").sortWithinPartitions("key", "mb", "ab")
     return ordered.mapInArrow(run, "a long, bs array<long>")
