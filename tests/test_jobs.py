@@ -1,6 +1,8 @@
 """Every job against its SQL, on the small tables."""
 
+import hashlib
 import os
+import re
 import subprocess
 import sys
 
@@ -9,6 +11,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from embprune.jobs import roles
 from embprune.jobs.registry import jobs, sql
 
 SF = "/root/testdata/sf0.001"
@@ -38,6 +41,20 @@ def test_job_equals_sql(spark, con, name):
     assert sorted((tuple(plain(r[n]) for n in names) for r in df.collect()), key=repr) == want
 
 
+def test_words_of_documents_are_hashed_where_the_texts_lie(spark, tmp_path):
+    texts = [(1, "A a\u212a b-B c1 \u00e9t\u00e9 0", "en"), (2, "", "en"), (3, None, "fr"), (4, "\u00e9 -- \n", "de"), (5, "x " * 9 + "y", None), (6, "one", "en"), (6, "two one", "en"), (6, "two", "fr")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    want: dict = {}
+    for i, text, lang in texts:
+        for w in re.findall("[a-z0-9]+", (text or "").lower()):
+            want.setdefault((i, lang), np.zeros(256))[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 256] += 1
+    df = roles.hashed_documents(spark, f"file://{tmp_path}")
+    got = {(r.id, r.cluster): np.array(r.embedding) for r in df.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], v / np.sqrt((v * v).sum()), atol=1e-15) for k, v in want.items())
+    # No row for each word is made.
+    assert "Generate" not in df._jdf.queryExecution().toString()
+
+
 def test_centres_are_apart(spark):
     found = jobs()["dedup_centers"](spark, SF).collect()
     assert sorted(r.cluster for r in found) == list(range(8)) and len({r.id for r in found}) == 8
