@@ -3,6 +3,11 @@
 A pass needs the centres before it and, for the rows that change, those of the pass before: both are matrices in one map pass, in
 which bounds leave out most distances (`nearest`). From the second pass on only rows that change their cluster are added
 up (`sums`). What a fit keeps is a small table of centres for each iteration, from which another session can go on.
+
+Late passes change few rows, nearly all of them near a border, so a scan does more than one pass. The driver reckons the next
+centres from the rows nearest to a border alone (`near_rows`, a bounded share). The scan then makes the sums of all rows for each
+of these passes; a pass counts only if its numbers of arrivals and its centres are those that were reckoned, up to the first one
+where they are not, of which the sums are right too. So a scan is one pass at least, and no row is ever taken on trust.
 """
 
 from __future__ import annotations
@@ -18,13 +23,18 @@ from pyspark.sql import functions as F
 from ..functions.blocks import matrix
 from ..functions.work import Work, counting
 from ..sources.tables import new_path, stage_table
-from .nearest import Groups, grouped, moved, nearest
+from .nearest import ROUNDING, Found, Groups, grouped, moved, nearest
 from .products import over
 from .similarity import PASS_BYTES, QUERY_BYTES, balls, over_rows, query_blocks
 from .sums import Sums, blocks_schema, combined, most_tasks
 
 #: Passes of a fit after which sums are taken of all rows again.
 REFRESH = 20
+#: Passes with a scan each, in which much moves; passes that a later scan may do; share, bytes and distances to all centres of the rows from which they are reckoned on the driver, at
+#: most, and the share below which too few passes would be right.
+SINGLE, AHEAD, NEAR_SHARE, NEAR_BYTES, NEAR_CELLS, NEAR_LEAST = 8, 32, 0.25, 64 << 20, 1 << 22, 0.05
+#: Difference of centres that are the same but for rounding.
+SAME = 1e-9
 
 
 def seed_centers(rows: DataFrame, k: int, seed: int, chunk_col: str | None = None, n_chunks: int = 1) -> DataFrame:
@@ -161,8 +171,80 @@ def center_matrix(centers: DataFrame) -> Centers:
     return np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks])
 
 
-def pass_sums(points: DataFrame, now: Groups, before: Groups | None, changes: bool, work: Work | None = None) -> DataFrame:
+def _later(total: Sums, x: np.ndarray, now: Groups, found: Found, sets: list[Groups]) -> tuple[np.ndarray, int]:
+    """Add the changes of later passes, with the centres `sets`, to `total`, and tell which rows have any, and the distances computed.
+
+    A cluster's number there is its place in order of clusters + pass x number of clusters.
+    """
+    k, ever = len(now.ids), np.zeros(len(x), bool)
+    if not sets:
+        return ever, 0
+    order, clusters = np.argsort(now.ids), np.sort(now.ids)
+    first = now.centers[order]
+    movement = max(np.sqrt(((s.centers[np.argsort(s.ids)] - first) ** 2).sum(1)).max() for s in sets)
+    own = np.sqrt(np.maximum((x * x).sum(1) + found.gaps, 0))
+    # A row that is nearer to its centre than the movement can change keeps it in all passes.
+    open_ = np.flatnonzero(found.others - movement <= own + movement + ROUNDING * (1 + own))
+    rows, held = x[open_], Found(found.ids[open_], found.gaps[open_], found.others[open_], 0)
+    prev, computed = held.ids, 0
+    for at, centers in enumerate(sets, 1):
+        here, n = moved(rows, held, now, centers)
+        computed += n
+        other = np.flatnonzero(here != prev)
+        to, since = (np.searchsorted(clusters, ids[other]) + at * k for ids in (here, prev))
+        total.add(rows[other], to, np.ones((len(other), 2), np.int64))
+        total.add(-rows[other], since, np.tile(np.array([[-1, 0]]), (len(other), 1)))
+        ever[open_[other]] = True
+        prev = here
+    return ever, computed
+
+
+def near_rows(points: DataFrame, now: Groups, share: float, passed: list[Groups] | None = None, work: Work | None = None) -> np.ndarray:
+    """The vectors of about `share` of the rows (embedding), on the driver: those that change their cluster among the centres `passed`,
+    then those whose second-nearest centre of `now` is the least farther than the nearest."""
+    held = points.sparkSession.sparkContext.broadcast([tuple(g) for g in (now, *(passed or []))])
+    count = counting(work)
+
+    def run(batches):
+        now, *passed = (Groups(*g) for g in held.value)
+        for batch in batches:
+            x = matrix(batch.column(0))
+            n = int(share * len(x))
+            found = nearest(x, now)
+            margin = found.others - np.sqrt(np.maximum((x * x).sum(1) + found.gaps, 0))
+            ever, computed = _later(Sums(), x, now, found, passed)
+            count(found.computed + computed, 0)
+            margin[ever] = -np.inf
+            at = np.argpartition(margin, n)[:n] if n < len(x) else np.arange(len(x))
+            yield batch.take(pa.array(np.sort(at)))
+
+    return matrix(points.coalesce(most_tasks(points)).mapInArrow(run, points.schema).toArrow()["embedding"])
+
+
+def _ahead(x: np.ndarray, clusters: np.ndarray, before: Groups, now: Groups, total: np.ndarray, n: np.ndarray, most: int, limit: float) -> tuple[list[Groups], list[np.ndarray]]:
+    """Up to `most` sets of centres from `now` on, and the arrivals by cluster with each, if no rows but `x` change. The last set may
+    be one with which fewer than `limit` of the rows change."""
+    total, n = total.copy(), n.copy()
+    place = lambda g: np.searchsorted(clusters, g.ids[(g.squares - 2 * x @ g.centers.T).argmin(1)])
+    sets, arrivals, prev = [now], [], place(before)
+    while True:
+        here = place(sets[-1])
+        other = np.flatnonzero(here != prev)
+        np.add.at(total, here[other], x[other])
+        np.subtract.at(total, prev[other], x[other])
+        came, left = (np.bincount(p[other], minlength=len(n)) for p in (here, prev))
+        n += came - left
+        arrivals.append(came)
+        if len(sets) >= most or len(other) < limit * n.sum():
+            return sets, arrivals
+        old = sets[-1].centers[np.argsort(sets[-1].ids)]
+        sets.append(grouped(clusters, np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], old), now.member))
+        prev = here
+
+
+def pass_sums(points: DataFrame, now: Groups, before: Groups | None, changes: bool, work: Work | None = None, then: list[Groups] | None = None) -> DataFrame:
     """`cluster_sums` of vectors (embedding) by their nearest centre `now`; changed are those whose nearest of `before` is another.
+    With sets of centres `then`, the changes of their passes too; a cluster is then numbered by its place + pass x number of clusters.
 
     With `changes`, sums are those of rows that came to a cluster less those of rows that left it, so that a row that stays is
     not added up. One map pass in which vectors only go to the workers; at most `most_tasks` tasks, so it shuffles at most that
@@ -177,14 +259,23 @@ def pass_sums(points: DataFrame, now: Groups, before: Groups | None, changes: bo
             points = _with_nearest(points, parts, name, work).drop("__gap")
         return cluster_sums(points, "true" if before is None else "cluster <> prev_cluster")
     held = [points.sparkSession.sparkContext.broadcast(tuple(g)) for g in tables]
+    later = points.sparkSession.sparkContext.broadcast([tuple(g) for g in then or []])
+    clusters = np.sort(now.ids)
     count = counting(work)
 
     def run(batches):
         now, *old = (Groups(*h.value) for h in held)
+        sets = [Groups(*g) for g in later.value]
         total = Sums()
+        # Numbers are those of the clusters, or their places where passes follow.
+        if sets:
+            now, *old = (g._replace(ids=np.searchsorted(clusters, g.ids), names=np.searchsorted(clusters, g.names)) for g in (now, *old))
+            sets = [g._replace(ids=np.searchsorted(clusters, g.ids), names=np.searchsorted(clusters, g.names)) for g in sets]
         for batch in batches:
             x = matrix(batch.column(0))
             found = nearest(x, now)
+            _, more = _later(total, x, now, found, sets)
+            count(more, len(sets) * len(x) * len(now.ids))
             ones = np.ones(len(x), np.int64)
             if not old:
                 count(found.computed, len(x) * len(now.ids))
@@ -244,32 +335,55 @@ def fit(rows: DataFrame, centers: DataFrame | None, limit: float = 1e-7, max_ite
     else:
         now, old = center_matrix(centers), None
     clusters, new = now
-    groups = grouped(clusters, new)
+    k, groups = len(clusters), grouped(clusters, new)
     before = None if old is None else grouped(clusters, old, groups.member)
-    total, n = np.zeros(new.shape), np.zeros(len(new), np.int64)
-    iteration = first
+    total, n = np.zeros(new.shape), np.zeros(k, np.int64)
+    rows_of = lambda c: pa.FixedSizeListArray.from_arrays(pa.array(c.ravel()), c.shape[1]).cast(pa.list_(pa.float64()))
+    in_order = lambda g: g.centers[np.argsort(g.ids)]
+    iteration, whole, near, most = first, first, None, AHEAD
     while True:
+        sets, arrivals = [groups], []
+        if near is not None and most > 1:
+            sets, arrivals = _ahead(near, clusters, before, groups, total, n, most, limit)
         # Sums of changes alone, but for the first pass and now and then one that takes rounding out of the totals.
-        changes = before is not None and (iteration - first) % REFRESH > 0 and 2 * groups.nbytes <= PASS_BYTES
-        found = pass_sums(points, groups, before, changes, work).toArrow()
-        iteration += 1
-        at = np.searchsorted(clusters, found["cluster"].to_numpy())
-        if not changes:
-            total[:], n[:] = 0, 0
-        if len(at):
-            total[at] += matrix(found["sums"])
-            n[at] += found["n"].to_numpy()
-        old, new = new, np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], new)
-        before, groups = groups, grouped(clusters, new, groups.member)
-        rows_of = lambda c: pa.FixedSizeListArray.from_arrays(pa.array(c.ravel()), c.shape[1]).cast(pa.list_(pa.float64()))
-        table = pa.table({"cluster": pa.array(clusters.astype(np.int32)), "center": rows_of(new), "before": rows_of(old)})
-        spark.createDataFrame(table).write.mode("overwrite").parquet(f"{state}/iteration={iteration}")
-        ratio = found["n_changed"].to_numpy().sum() / max(n.sum(), 1)
+        changes = before is not None and 0 < iteration - whole < REFRESH and 2 * groups.nbytes <= PASS_BYTES
+        whole = whole if changes else iteration
+        found = pass_sums(points, groups, before, changes, work, sets[1:]).toArrow()
+        at = found["cluster"].to_numpy() if len(sets) > 1 else np.searchsorted(clusters, found["cluster"].to_numpy())
+        sums, counts = matrix(found["sums"]), np.stack((found["n"].to_numpy(), found["n_changed"].to_numpy()), 1)
+        done, ratio = [], 1.0
+        for i, used in enumerate(sets):
+            if i == 0 and not changes:
+                total[:], n[:] = 0, 0
+            own = np.flatnonzero(at // k == i)
+            came = np.zeros(k, np.int64)
+            if len(own):
+                total[at[own] - i * k] += sums[own]
+                n[at[own] - i * k] += counts[own, 0]
+                came[at[own] - i * k] = counts[own, 1]
+            iteration += 1
+            old = in_order(used)
+            new = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], old)
+            ratio = came.sum() / max(n.sum(), 1)
+            # The next set is that of the next pass only if no other row has changed.
+            goes_on = i + 1 < len(sets) and (came == arrivals[i]).all() and np.abs(in_order(sets[i + 1]) - new).max() <= SAME * max(1.0, np.abs(new).max())
+            new = in_order(sets[i + 1]) if goes_on else new
+            done.append(pa.table({"cluster": pa.array(clusters.astype(np.int32)), "center": rows_of(new), "before": rows_of(old), "iteration": pa.array(np.full(k, iteration, np.int32))}))
+            if not goes_on or (iteration > 1 and ratio < limit):
+                break
+        spark.createDataFrame(pa.concat_tables(done)).write.partitionBy("iteration").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(state)
         if iteration > 1 and ratio < limit:
             break
         if max_iterations is not None and iteration >= max_iterations:
             warnings.warn(f"k-means ended unconverged at pass {iteration}: a share of {ratio} of the rows still changed", stacklevel=2)
             break
+        before, groups = sets[len(done) - 1], grouped(clusters, new, groups.member)
+        # As far ahead as the last scan came, and further; no farther than the centres of all passes can be sent along.
+        most = max(4, 2 * len(done))
+        most = min(most, AHEAD, PASS_BYTES // max(groups.nbytes, 1) - 2, AHEAD if max_iterations is None else max_iterations - iteration)
+        share = min(NEAR_SHARE, min(NEAR_BYTES // new[0].nbytes, NEAR_CELLS // k) / max(n.sum(), 1))
+        near = near_rows(points, groups, share, sets, work) if iteration - first >= SINGLE and most > 1 and share >= NEAR_LEAST and n.sum() else None
+        near = near if near is not None and len(near) else None
     saved = saved_centers(spark, state, iteration)
     return assign(rows, saved.select("cluster", F.col("before").alias("center")), work), saved.select("cluster", "center"), iteration
 

@@ -123,3 +123,49 @@ def test_single_rows_leave_as_32_bit_vectors_where_they_are_such():
         again.take(batch)
     clusters, counts, added = again.table()
     assert clusters.tolist() == [5, 7, 900_000] and counts[:, 0].tolist() == [2, 2, 4] and added.tolist() == [[1.0, 2.0], [0.2, 0.4], [6.0, 6.0]]
+
+
+def plain_passes(x: np.ndarray, c: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(assignment, means) of each pass until no row changes."""
+    done = []
+    while len(done) < 2 or (done[-1][0] != done[-2][0]).any():
+        at = ((c * c).sum(1) - 2 * x @ c.T).argmin(1)
+        c = np.stack([x[at == k].mean(0) if (at == k).any() else c[k] for k in range(len(c))])
+        done.append((at, c))
+    return done
+
+
+@pytest.fixture(scope="module")
+def even(spark):
+    """Rows without clusters, which take many passes, with all of these."""
+    x = np.random.default_rng(10).normal(size=(4000, 16)).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>").repartition(4)
+    centers = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:6])], "cluster int, center array<double>")
+    return rows, centers, plain_passes(x.astype(float), x[:6].astype(float))
+
+
+def scans(monkeypatch) -> list:
+    done, one = [], kmeans.pass_sums
+    monkeypatch.setattr(kmeans, "pass_sums", lambda *a: done.append(a) or one(*a))
+    return done
+
+
+def test_a_fit_of_many_passes_takes_few_scans_and_keeps_every_pass(even, monkeypatch, spark, tmp_path):
+    rows, centers, want = even
+    looked, state = scans(monkeypatch), f"file://{tmp_path}/state"
+    done, _, passes = kmeans.fit(rows, centers, state=state)
+    assert passes == len(want) > 40 and len(looked) < passes / 2
+    assert [r.cluster for r in done.orderBy("id").collect()] == want[-1][0].tolist()
+    for i in (1, 2, 15, 33, passes):
+        saved = kmeans.saved_centers(spark, state, i).orderBy("cluster").collect()
+        assert [r.cluster for r in saved] == list(range(6)) and np.allclose([r.center for r in saved], want[i - 1][1], atol=1e-9)
+        assert i == 1 or np.allclose([r.before for r in saved], want[i - 2][1], atol=1e-9)
+
+
+def test_passes_that_were_reckoned_wrongly_do_not_count(even, monkeypatch):
+    rows, centers, want = even
+    near = kmeans.near_rows
+    # The rows from which passes are reckoned miss most that change.
+    monkeypatch.setattr(kmeans, "near_rows", lambda *a: near(*a)[::7])
+    done, _, passes = kmeans.fit(rows, centers)
+    assert passes == len(want) and [r.cluster for r in done.orderBy("id").collect()] == want[-1][0].tolist()
