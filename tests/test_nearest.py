@@ -169,3 +169,14 @@ def test_passes_that_were_reckoned_wrongly_do_not_count(even, monkeypatch):
     monkeypatch.setattr(kmeans, "near_rows", lambda *a: near(*a)[::7])
     done, _, passes = kmeans.fit(rows, centers)
     assert passes == len(want) and [r.cluster for r in done.orderBy("id").collect()] == want[-1][0].tolist()
+
+
+def test_a_resumed_fit_takes_few_scans_too(even, monkeypatch, spark, tmp_path):
+    rows, centers, want = even
+    state = f"file://{tmp_path}/state"
+    with pytest.warns(UserWarning, match="unconverged at pass 13"):
+        kmeans.fit(rows, centers, max_iterations=13, state=state)
+    looked = scans(monkeypatch)
+    done, _, passes = kmeans.fit(rows, None, first=13, state=state)
+    assert passes == len(want) and len(looked) < (passes - 13) / 2
+    assert [r.cluster for r in done.orderBy("id").collect()] == want[-1][0].tolist()
